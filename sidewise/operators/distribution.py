@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from sidewise.errors import ComparisonError
 from sidewise.functions.columns import classify_column, col, select_ignoring_case
+from sidewise.functions.times import epoch_micros
 from sidewise.operators.profile import APPROX, EXACT
 from sidewise.plans.quantiles import ACCURACY, Request, exact_quantiles
 
@@ -270,5 +271,5 @@ def _number(field: T.StructField) -> Column | None:
     """A column as the number its histogram is drawn over: its value, or epoch seconds for dates and timestamps."""
     kind = classify_column(field.dataType)
     if kind == "datetime":
-        return F.unix_micros(col(field.name).cast("timestamp")) / F.lit(1e6)
+        return epoch_micros(col(field.name), field.dataType) / F.lit(1e6)
     return col(field.name).cast("double") if kind == "numeric" else None

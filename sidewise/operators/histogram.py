@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from sidewise.errors import ComparisonError, UnsupportedTypeError
 from sidewise.functions.columns import col, comparison_class, histogram_supported, resolve_columns, type_family
+from sidewise.functions.times import epoch_micros
 from sidewise.plans.sides import BASE, CURRENT, of_side, stack
 
 # Default bin count, spans in days above which bins are years and months, bins aimed at for years, and
@@ -86,9 +87,8 @@ def _numeric_histogram(values: DataFrame, num_bins: int) -> DataFrame:
 def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
     value = F.col("value")
     low, high = F.min(value), F.max(value)
-    days = F.date_diff(high, low) if isinstance(dtype, T.DateType) else F.timestamp_diff("DAY", low, high)
     row = values.agg(
-        days.alias("days"),
+        ((epoch_micros(high, dtype) - epoch_micros(low, dtype)) / 86_400_000_000).alias("days"),
         F.year(low).alias("first_year"),
         F.month(low).alias("first_month"),
         F.year(high).alias("last_year"),
@@ -102,12 +102,13 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
     first_year, first_month = row["first_year"], row["first_month"]
     within = row["last_year"] < LAST_YEAR
     end_year = row["last_year"] + 1 if within else max(LAST_YEAR, first_year + 1)
-    if row["days"] > YEARLY_ABOVE_DAYS:
+    days = math.floor(row["days"])
+    if days > YEARLY_ABOVE_DAYS:
         years = math.ceil((end_year - first_year) / YEARLY_BINS)
         bins = math.ceil((end_year - first_year) / years)
         index = F.floor((F.year(value) - F.lit(first_year)) / F.lit(years))
         origin, months, step_days = f"{first_year:04d}-01-01", 12 * years, 0
-    elif row["days"] > MONTHLY_ABOVE_DAYS:
+    elif days > MONTHLY_ABOVE_DAYS:
         last = (row["last_year"], row["last_month"] + 1) if within else (end_year, 1)
         bins = max((last[0] - first_year) * 12 + last[1] - first_month, 1)
         index = (F.year(value) - F.lit(first_year)) * 12 + F.month(value) - F.lit(first_month)

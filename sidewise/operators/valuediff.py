@@ -207,12 +207,17 @@ def first_rows(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
 
 
 def impact_value_diff(
-    base: DataFrame, current: DataFrame, pk: str | Sequence[str], columns: Sequence[str] | None = None
+    base: DataFrame,
+    current: DataFrame,
+    pk: str | Sequence[str],
+    columns: Sequence[str] | None = None,
+    facts: KeyFacts | None = None,
 ) -> DataFrame:
     """Rows added, removed and changed, and per column the changed rows and the mean of either side.
 
     One row per column: ``column, changed, base_mean, current_mean, rows_added, rows_removed, rows_changed,
     affected_row_count``. The key need not be unique: rows of a repeated key count as the pairs a join would form.
+    ``facts`` passes on a key check already made.
     """
     keys = key_columns(base, pk)
     values = [c for c in common_columns(base, current, keys, columns) if c not in keys]
@@ -221,8 +226,9 @@ def impact_value_diff(
         for v in values
         if type_family(base.schema[v].dataType) == type_family(current.schema[v].dataType) == "numeric"
     ]
-    counts = _joined_changes(base, current, keys, values, numeric)
-    if key_facts(base, current, keys).repeated:
+    if not (facts or key_facts(base, current, keys)).repeated:
+        counts = _joined_changes(base, current, keys, values, numeric)
+    else:
         single, repeated = split_repeated(base, current, keys)
         counts = _joined_changes(*single, keys, values, numeric)
         pairs = pair_counts(*repeated, keys, values, numeric)

@@ -52,21 +52,29 @@ def rows_per_key(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> Data
 
 
 def key_facts(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> KeyFacts:
-    """Run the uniqueness check of both sides as one job that returns a single row."""
-    holds_null = any_of(col(k).isNull() for k in pk)
-    repeated = {BASE: F.col(BASE_ROWS) > 1, CURRENT: F.col(CURRENT_ROWS) > 1}
-    row = (
-        rows_per_key(base, current, pk)
-        .filter(repeated[BASE] | repeated[CURRENT])
-        .agg(
-            F.count_if(repeated[BASE] & ~holds_null).alias("base"),
-            F.count_if(repeated[CURRENT] & ~holds_null).alias("current"),
-            F.count_if(repeated[BASE] & holds_null).alias("base_null"),
-            F.count_if(repeated[CURRENT] & holds_null).alias("current_null"),
+    """Check the uniqueness of a key on both sides; one job that returns one row."""
+    return key_facts_many([(base, current, pk)])[0]
+
+
+def key_facts_many(comparisons: Sequence[tuple[DataFrame, DataFrame, Sequence[str]]]) -> list[KeyFacts]:
+    """The key checks of several comparisons as one job that returns one row for each."""
+    parts = []
+    for i, (base, current, pk) in enumerate(comparisons):
+        holds_null = any_of(col(k).isNull() for k in pk)
+        base_repeated, current_repeated = F.col(BASE_ROWS) > 1, F.col(CURRENT_ROWS) > 1
+        parts.append(
+            rows_per_key(base, current, pk)
+            .filter(base_repeated | current_repeated)
+            .agg(
+                F.count_if(base_repeated & ~holds_null).alias("base"),
+                F.count_if(current_repeated & ~holds_null).alias("current"),
+                F.count_if(base_repeated & holds_null).alias("base_null"),
+                F.count_if(current_repeated & holds_null).alias("current_null"),
+            )
+            .select(F.lit(i).alias("i"), "*")
         )
-        .first()
-    )
-    return KeyFacts(row["base"], row["current"], row["base_null"], row["current_null"])
+    rows = sorted(reduce(DataFrame.unionByName, parts).collect())
+    return [KeyFacts(r["base"], r["current"], r["base_null"], r["current_null"]) for r in rows]
 
 
 def require_unique(base: DataFrame, current: DataFrame, pk: Sequence[str], ignore_null: bool) -> KeyFacts:

@@ -112,26 +112,29 @@ class Environment:
 
     def sql(self, query: str) -> DataFrame:
         """Run a query whose table names are resolved in this environment."""
-        with self._names_bound():
+        with self._names_bound(query.lower()):
             return self.spark.sql(query)
 
     def _model(self, name: str) -> Model | None:
         return self.models.get(name) or self.find(name)
 
     @contextmanager
-    def _names_bound(self) -> Iterator[None]:
-        """Bind the listed models as temporary views while a query is analysed, then restore the former views.
+    def _names_bound(self, query: str) -> Iterator[None]:
+        """Bind the models a query can mention as temporary views while it is analysed, then restore the former views.
 
         The analysed plan keeps what it resolved, so the result stays valid afterwards.
         """
         catalog = self.spark.catalog
         former = {}
         for name, model in self.models.items():
+            if name.lower() not in query:
+                continue
             resolved = self.resolve(name)
             if resolved.frame is None and resolved.status != UNSUPPORTED_RESOURCE_TYPE:
                 continue
             former[name] = self._temp_view(name)
-            (resolved.frame or model.open()).createOrReplaceTempView(quote(name))
+            frame = model.open() if resolved.frame is None else resolved.frame
+            frame.createOrReplaceTempView(quote(name))
         try:
             yield
         finally:
