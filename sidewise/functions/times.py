@@ -9,9 +9,7 @@ def epoch_micros(value: Column, dtype: T.DataType) -> Column:
     """Microseconds since 1970-01-01 00:00; a timestamp without time zone and a date are read as UTC."""
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(value)
-    days = F.unix_date(value.cast("date")).cast("long") * 86_400_000_000
     if isinstance(dtype, T.DateType):
-        return days
-    seconds = F.hour(value) * 3600 + F.minute(value) * 60
-    micros = (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
-    return days + seconds.cast("long") * 1_000_000 + micros
+        return F.unix_date(value).cast("long") * 86_400_000_000
+    since = (value - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).cast("interval second")
+    return (since.cast("decimal(20,6)") * 1_000_000).cast("long")

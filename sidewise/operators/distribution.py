@@ -63,9 +63,7 @@ def quantile_edges(df: DataFrame, columns: Sequence[str] | None = None, mode: st
     if not fields:
         return df.sparkSession.createDataFrame([], f"column string, cuts {_POINTS}")
     if mode == EXACT:
-        found = exact_quantiles([Request(df, _number(f), CUT_FRACTIONS) for f in fields])
-        rows = [(f.name, cuts if cuts[0] is not None else None) for f, cuts in zip(fields, found)]
-        return df.sparkSession.createDataFrame(rows, f"column string, cuts {_POINTS}")
+        return _exact_cuts({"": (df, fields)})[""]
     fractions = F.array(*[F.lit(f) for f in CUT_FRACTIONS])
     sketches = [
         F.percentile_approx(_number(f), fractions, F.lit(ACCURACY)).cast(_POINTS).alias(f"cuts_{i}")
@@ -174,14 +172,42 @@ def distribution_diff(
         raise ComparisonError("The table exists on neither side")
     if mode not in (EXACT, APPROX):
         raise ComparisonError(f"Mode is {EXACT!r} or {APPROX!r}, not {mode!r}")
-    sides = {"base": base, "curr": current}
-    probes = {s: [] if df is None else distribution_probe(df, columns, mode).collect() for s, df in sides.items()}
+    sides = {side: df for side, df in (("base", base), ("curr", current)) if df is not None}
+    probes = _probes(sides, columns, mode)
     unique = _practically_unique(probes)
-    described = {}
-    for side, df in sides.items():
-        if df is not None:
-            described[side] = _described_side(df, probes[side], unique, mode, k)
-    return _assembled(described, k)
+    cuts = _cuts(sides, probes, mode)
+    return _assembled({s: _described_side(df, probes[s], cuts[s], unique, mode, k) for s, df in sides.items()}, k)
+
+
+def _probes(sides: dict[str, DataFrame], columns: Sequence[str] | None, mode: str) -> dict[str, list]:
+    """The probes of all sides, from one job; one row per column and side."""
+    parts = [distribution_probe(df, columns, mode).select(F.lit(s).alias("side"), "*") for s, df in sides.items()]
+    rows = reduce(DataFrame.unionByName, parts).collect()
+    return {side: [row for row in rows if row["side"] == side] for side in sides}
+
+
+def _cuts(sides: dict[str, DataFrame], probes: dict[str, list], mode: str) -> dict[str, DataFrame]:
+    """Inner cuts of the continuous columns of each side; exact ones are searched for on all sides together."""
+    continuous = {s: [r["column"] for r in rows if r["class"] != "categorical"] for s, rows in probes.items()}
+    if mode == EXACT:
+        return _exact_cuts({s: (df, _described(df, continuous[s]) if continuous[s] else []) for s, df in sides.items()})
+    schema = f"column string, cuts {_POINTS}"
+    return {
+        s: quantile_edges(df, continuous[s]) if continuous[s] else df.sparkSession.createDataFrame([], schema)
+        for s, df in sides.items()
+    }
+
+
+def _exact_cuts(tables: dict[str, tuple[DataFrame, list[T.StructField]]]) -> dict[str, DataFrame]:
+    found = iter(
+        exact_quantiles([Request(df, _number(f), CUT_FRACTIONS) for df, fields in tables.values() for f in fields])
+    )
+    result = {}
+    for side, (df, fields) in tables.items():
+        rows = [(f.name, next(found)) for f in fields]
+        rows = [(name, None if cuts[0] is None else cuts) for name, cuts in rows]
+        result[side] = df.sparkSession.createDataFrame(rows, f"column string, cuts {_POINTS}")
+    return result
 
 
 def _practically_unique(probes: dict[str, list]) -> set[str]:
@@ -195,15 +221,13 @@ def _practically_unique(probes: dict[str, list]) -> set[str]:
     return {name for name, count in cardinality.items() if total > 0 and count >= UNIQUE_SHARE * total}
 
 
-def _described_side(df: DataFrame, probe: list, unique: set[str], mode: str, k: int) -> DataFrame:
+def _described_side(df: DataFrame, probe: list, cuts: DataFrame, unique: set[str], mode: str, k: int) -> DataFrame:
     spark = df.sparkSession
     bounds = spark.createDataFrame(
         [(r["column"], r["class"], r["total"], r["min"], r["max"]) for r in probe],
         "column string, class string, total long, min double, max double",
     )
-    continuous = [r["column"] for r in probe if r["class"] != "categorical"]
     ranked = [r["column"] for r in probe if r["class"] == "categorical" and r["column"] not in unique]
-    cuts = quantile_edges(df, continuous, mode) if continuous else spark.createDataFrame([], f"column string, cuts {_POINTS}")
     top = top_values(df, ranked, k, mode) if ranked else spark.createDataFrame([], f"column string, top {_TOP}")
     return bounds.join(cuts, "column", "left").join(top, "column", "left")
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sidewise.errors import ComparisonError, UnsupportedTypeError
 from sidewise.functions.columns import col, comparison_class, histogram_supported, resolve_columns, type_family
 from sidewise.functions.times import epoch_micros
-from sidewise.plans.sides import BASE, CURRENT, of_side, stack
+from sidewise.plans.sides import BASE, of_side, stack
 
 # Default bin count, spans in days above which bins are years and months, bins aimed at for years, and
 # the first year that is no longer told apart.
@@ -22,13 +22,8 @@ LAST_YEAR = 3000
 
 def column_bounds(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """Joint minimum and maximum of a column over both sides and the non-NULL rows of each; one row."""
-    value, in_base = F.col("value"), of_side(BASE)
-    return _values(base, current, column).agg(
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.count(F.when(in_base, value)).alias("base_total"),
-        F.count(F.when(~in_base, value)).alias("curr_total"),
-    )
+    value = F.col("value")
+    return _values(base, current, column).agg(F.min(value).alias("min"), F.max(value).alias("max"), *_totals())
 
 
 def histogram_diff(base: DataFrame, current: DataFrame, column: str, num_bins: int = NUM_BINS) -> DataFrame:
@@ -58,7 +53,7 @@ def _values(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
 
 def _integer_histogram(values: DataFrame, num_bins: int) -> DataFrame:
     value = F.col("value")
-    low, high = _range(values, value)
+    low, high, totals = _range(values, value)
     if low is None:
         return _empty(values, "long")
     bins = min(num_bins, high - low + 1)
@@ -67,21 +62,21 @@ def _integer_histogram(values: DataFrame, num_bins: int) -> DataFrame:
         value = value.cast("decimal(38,0)")
     index = F.call_function("div", value - F.lit(low), F.lit(size)).cast("long")
     start = F.lit(low) + F.col("bin") * F.lit(size)
-    return _counted(values, index, bins, start, start + F.lit(size), "long")
+    return _counted(values, index, bins, start, start + F.lit(size), "long", totals)
 
 
 def _numeric_histogram(values: DataFrame, num_bins: int) -> DataFrame:
     value = F.col("value").cast("double")
     finite = F.when(F.abs(value) < F.lit(float("inf")), value)
-    low, high = _range(values, finite)
+    low, high, totals = _range(values, finite)
     if low is None:
         return _empty(values, "double")
     size = (high - low) / num_bins
     if size == 0:
-        return _counted(values, F.when(finite.isNotNull(), 0), 1, F.lit(low), F.lit(high), "double")
+        return _counted(values, F.when(finite.isNotNull(), 0), 1, F.lit(low), F.lit(high), "double", totals)
     index = F.floor((finite - F.lit(low)) / F.lit(size))
     start = F.lit(low) + F.col("bin") * F.lit(size)
-    return _counted(values, index, num_bins, start, start + F.lit(size), "double")
+    return _counted(values, index, num_bins, start, start + F.lit(size), "double", totals)
 
 
 def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
@@ -96,6 +91,7 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
         F.date_diff(high.cast("date"), low.cast("date")).alias("last_day"),
         F.date_diff(F.lit(f"{LAST_YEAR}-01-01").cast("date"), low.cast("date")).alias("days_left"),
         low.cast("date").cast("string").alias("first_date"),
+        *_totals(),
     ).first()
     if row["days"] is None:
         return _empty(values, "date")
@@ -124,16 +120,30 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
             return F.date_add(start, number.cast("int"))
         return F.add_months(start, (number * months).cast("int"))
 
-    return _counted(values, index.cast("long"), bins, edge(F.col("bin")), edge(F.col("bin") + 1), "date")
+    return _counted(values, index.cast("long"), bins, edge(F.col("bin")), edge(F.col("bin") + 1), "date", row)
+
+
+def _totals() -> list[Column]:
+    """Non-NULL rows of either side."""
+    in_base = of_side(BASE)
+    return [
+        F.count(F.when(in_base, F.col("value"))).alias("base_total"),
+        F.count(F.when(~in_base, F.col("value"))).alias("curr_total"),
+    ]
 
 
 def _range(values: DataFrame, value: Column) -> tuple:
-    row = values.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
-    return row["low"], row["high"]
+    row = values.agg(F.min(value).alias("low"), F.max(value).alias("high"), *_totals()).first()
+    return row["low"], row["high"], row
+
 
+def _counted(
+    values: DataFrame, index: Column, bins: int, start: Column, end: Column, edge_type: str, totals
+) -> DataFrame:
+    """Count both sides per bin in one shuffle of bin numbers, then fill in the bins without rows.
 
-def _counted(values: DataFrame, index: Column, bins: int, start: Column, end: Column, edge_type: str) -> DataFrame:
-    """Count both sides per bin in one shuffle of bin numbers, then fill in the bins without rows."""
+    ``totals`` is the row of bounds, which holds the totals of both sides too.
+    """
     in_base = of_side(BASE)
     counts = (
         values.select(F.least(index, F.lit(bins - 1)).cast("long").alias("bin"), "__in_base", "value")
@@ -143,9 +153,6 @@ def _counted(values: DataFrame, index: Column, bins: int, start: Column, end: Co
             F.count(F.when(~in_base, F.col("value"))).alias("curr_count"),
         )
     )
-    totals = counts.agg(
-        F.struct(F.sum("base_count").alias("base_total"), F.sum("curr_count").alias("curr_total")).alias("totals")
-    ).scalar()
     every = values.sparkSession.range(bins).select(F.col("id").alias("bin"))
     filled = every.join(counts.filter(F.col("bin").isNotNull()), "bin", "left")
     return filled.select(
@@ -155,8 +162,9 @@ def _counted(values: DataFrame, index: Column, bins: int, start: Column, end: Co
         F.concat_ws("-", start.cast(edge_type).cast("string"), end.cast(edge_type).cast("string")).alias("label"),
         F.coalesce("base_count", F.lit(0)).alias("base_count"),
         F.coalesce("curr_count", F.lit(0)).alias("curr_count"),
-        totals.alias("t"),
-    ).select("bin", "bin_start", "bin_end", "label", "base_count", "curr_count", "t.base_total", "t.curr_total")
+        F.lit(totals["base_total"]).cast("long").alias("base_total"),
+        F.lit(totals["curr_total"]).cast("long").alias("curr_total"),
+    )
 
 
 def _empty(values: DataFrame, edge_type: str) -> DataFrame:

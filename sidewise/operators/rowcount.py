@@ -15,22 +15,19 @@ from sidewise.functions.labels import (
     presence_status,
 )
 from sidewise.plans.sides import BASE, CURRENT
-from sidewise.sources.environments import EnvPair
+from sidewise.sources.environments import OK, EnvPair
 
 
 def row_count(env: EnvPair, names: Sequence[str], side: str = CURRENT) -> DataFrame:
     """``name, row_count, status`` for each table; the count is NULL unless the status is ok."""
-    return reduce(DataFrame.unionByName, [_count(env, name, side) for name in names])
+    return _counts(env, names, (side,)).select("name", "row_count", "status")
 
 
 def row_count_diff(env: EnvPair, names: Sequence[str]) -> DataFrame:
-    """``name, base, curr, base_status, curr_status`` for each table, all counts in one job."""
-    counts = [
-        _count(env, name, side).select(F.lit(side).alias("side"), "*") for name in names for side in (BASE, CURRENT)
-    ]
+    """``name, base, curr, base_status, curr_status`` for each table."""
     of = {side: F.col("side") == side for side in (BASE, CURRENT)}
     return (
-        reduce(DataFrame.unionByName, counts)
+        _counts(env, names, (BASE, CURRENT))
         .groupBy("name")
         .agg(
             F.max(F.when(of[BASE], F.col("row_count"))).alias("base"),
@@ -57,13 +54,22 @@ def row_count_labels(counts: DataFrame) -> DataFrame:
     )
 
 
-def _count(env: EnvPair, name: str, side: str) -> DataFrame:
-    environment = env.side(side)
-    found = environment.resolve(name)
-    if found.frame is None:
-        return environment.spark.range(1).select(
-            F.lit(name).alias("name"), F.lit(None).cast("long").alias("row_count"), F.lit(found.status).alias("status")
-        )
-    return found.frame.agg(F.count(F.lit(1)).alias("row_count")).select(
-        F.lit(name).alias("name"), "row_count", F.lit(found.status).alias("status")
+def _counts(env: EnvPair, names: Sequence[str], sides: Sequence[str]) -> DataFrame:
+    """``side, name, status, row_count``: all tables counted in one stage, one partial count per task and table."""
+    found = {(side, name): env.side(side).resolve(name) for name in names for side in sides}
+    spark = env.side(sides[0]).spark
+    status = spark.createDataFrame(
+        [(*key, resolved.status) for key, resolved in found.items()], "side string, name string, status string"
     )
+    tables = [
+        resolved.frame.select(F.lit(side).alias("side"), F.lit(name).alias("name"))
+        for (side, name), resolved in found.items()
+        if resolved.frame is not None
+    ]
+    if not tables:
+        return status.withColumn("row_count", F.lit(None).cast("long"))
+    rows = reduce(DataFrame.unionByName, tables)
+    counts = rows.groupBy("side", "name").agg(F.count(F.lit(1)).alias("counted"))
+    # An empty table has no group: its count is zero, while a table that was not found has none.
+    count = F.when(F.col("status") == OK, F.coalesce("counted", F.lit(0)))
+    return status.join(counts, ["side", "name"], "left").select("side", "name", "status", count.alias("row_count"))

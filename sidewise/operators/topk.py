@@ -14,16 +14,21 @@ TOP_K = 10
 
 
 def category_counts(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """Rows per category, as text, on both sides; NULL is a category here."""
-    names = [resolve_columns([column], df.columns)[0] for df in (base, current)]
-    sides = [df.select(col(name).cast("string").alias("category")) for df, name in zip((base, current), names)]
+    """Rows per category, as text, on both sides; NULLs are left out."""
     return (
-        stack(*sides, ["category"])
+        _categories(base, current, column)
+        .filter(F.col("category").isNotNull())
         .groupBy("category")
         .agg(F.count_if(of_side(BASE)).alias("base_count"), F.count_if(of_side(CURRENT)).alias("curr_count"))
     )
 
 
+def _categories(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
+    names = [resolve_columns([column], df.columns)[0] for df in (base, current)]
+    sides = [df.select(col(name).cast("string").alias("category")) for df, name in zip((base, current), names)]
+    return stack(*sides, ["category"])
+
+
 def column_totals(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
     """All rows and non-NULL rows of a column, one row per side."""
     parts = []
@@ -44,22 +49,18 @@ def top_k_diff(base: DataFrame, current: DataFrame, column: str, k: int = TOP_K)
     """
     if k < 1:
         raise ComparisonError("k must be positive")
-    counts = category_counts(base, current, column)
-    filled = F.col("category").isNotNull()
-    totals = counts.agg(
+    # Counted from a scan of the one column, without the shuffle that the categories need.
+    totals = _categories(base, current, column).agg(
         F.struct(
             *[
-                F.coalesce(F.sum(value), F.lit(0)).alias(f"{side}_{kind}")
-                for side in ("base", "curr")
-                for kind, value in (
-                    ("total", F.col(f"{side}_count")),
-                    ("valids", F.when(filled, F.col(f"{side}_count"))),
-                )
+                F.count(F.when(of_side(side), value)).alias(f"{name}_{kind}")
+                for side, name in ((BASE, "base"), (CURRENT, "curr"))
+                for kind, value in (("total", F.lit(1)), ("valids", F.col("category")))
             ]
-        ).alias("totals")
+        )
     ).scalar()
     return (
-        counts.filter(filled)
+        category_counts(base, current, column)
         .orderBy(F.col("curr_count").desc(), F.col("base_count").desc(), F.col("category").asc())
         .limit(k)
         .select("*", totals.alias("t"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
@@ -27,32 +28,49 @@ def closure(
     """
     if direction not in (UP, DOWN):
         raise ComparisonError(f"Direction is {UP!r} or {DOWN!r}, not {direction!r}")
-    source, target = (PARENT, CHILD) if direction == DOWN else (CHILD, PARENT)
-    steps = edges.select(F.col(source).alias("__from"), F.col(target).alias("__to")).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    steps = _steps(edges).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        levels = [cut(seeds.select(VERTEX).distinct().withColumn(DEGREE, F.lit(0)))]
-        while max_degree is None or len(levels) <= max_degree:
-            level = cut(_next_level(steps, levels))
-            if level.isEmpty():
-                break
-            levels.append(level)
+        return _spread(steps, cut(seeds.select(VERTEX).distinct()), direction, max_degree)
+    finally:
+        steps.unpersist()
+
+
+def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
+    """``vertex``: the seeds with all their ancestors and descendants."""
+    steps = _steps(edges).persist(StorageLevel.MEMORY_AND_DISK)
+    start = cut(seeds.select(VERTEX).distinct())
+    try:
+        ways = [way for way, wanted in ((UP, up), (DOWN, down)) if wanted]
+        reached = [_spread(steps, start, way, None).filter(F.col(DEGREE) > 0).select(VERTEX) for way in ways]
     finally:
         steps.unpersist()
+    return reduce(DataFrame.unionByName, [start, *reached]).distinct()
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(PARENT, CHILD)
+
+
+def _spread(steps: DataFrame, start: DataFrame, direction: str, max_degree: int | None) -> DataFrame:
+    """All levels reached from stored seeds; each level is stored before the next is planned."""
+    levels = [start.withColumn(DEGREE, F.lit(0))]
+    size = _size(start)
+    while size.count and (max_degree is None or len(levels) <= max_degree):
+        level = cut(_next_level(steps, levels, direction, size.bytes <= BROADCAST_BYTES))
+        size = _size(level)
+        if size.count:
+            levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
-def _next_level(steps: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    frontier = levels[-1].select(VERTEX)
+def _next_level(steps: DataFrame, levels: list[DataFrame], direction: str, small: bool) -> DataFrame:
+    source, target = (PARENT, CHILD) if direction == DOWN else (CHILD, PARENT)
     # The frontier has each vertex once: the join emits at most one row per edge, however many edges a hub has.
-    size = frontier.agg(F.sum(F.octet_length(F.col(VERTEX).cast("string")) + 16)).first()[0]
-    reached = steps.join(
-        F.broadcast(frontier) if (size or 0) <= BROADCAST_BYTES else frontier, F.col("__from") == F.col(VERTEX)
-    )
+    frontier = levels[-1].select(VERTEX)
+    reached = steps.join(F.broadcast(frontier) if small else frontier, F.col(source) == F.col(VERTEX))
     seen = reduce(DataFrame.unionByName, levels).select(F.col(VERTEX).alias("__seen"))
     return (
-        reached.select(F.col("__to").alias(VERTEX))
+        reached.select(F.col(target).alias(VERTEX))
         .filter(F.col(VERTEX).isNotNull())
         .distinct()
         .join(seen, F.col(VERTEX) == F.col("__seen"), "left_anti")
@@ -60,8 +78,12 @@ def _next_level(steps: DataFrame, levels: list[DataFrame]) -> DataFrame:
     )
 
 
-def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
-    """``vertex``: the seeds with all their ancestors and descendants."""
-    parts = [seeds.select(VERTEX)]
-    parts += [closure(edges, seeds, way).select(VERTEX) for way, wanted in ((UP, up), (DOWN, down)) if wanted]
-    return reduce(DataFrame.unionByName, parts).distinct()
+class _Size(NamedTuple):
+    count: int
+    bytes: int
+
+
+def _size(level: DataFrame) -> _Size:
+    width = F.octet_length(F.col(VERTEX).cast("string")) + 16
+    row = level.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
+    return _Size(row["n"], row["b"])

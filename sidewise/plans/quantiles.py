@@ -8,7 +8,7 @@ still holds too many rows is narrowed again. No rows are shuffled: each pass is
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -52,6 +52,10 @@ class _Search:
         place = (self.rows - 1) * self.fraction
         return math.floor(place), math.ceil(place)
 
+    @property
+    def fetch(self) -> bool:
+        return self.inside <= FETCH_LIMIT
+
     def finish(self, first: float, second: float) -> None:
         place = (self.rows - 1) * self.fraction
         self.result = first if first == second else first + (second - first) * (place - math.floor(place))
@@ -78,7 +82,7 @@ def _start(requests: Sequence[Request]) -> list[_Search]:
     parts = []
     for i, request in enumerate(requests):
         fractions = [_clip(f + d * MARGIN / ACCURACY) for f in request.fractions for d in (-1, 1)]
-        sketch = F.percentile_approx(request.value, F.array(*[F.lit(f) for f in fractions]), F.lit(ACCURACY))
+        sketch = F.percentile_approx(request.value, _numbers(fractions), F.lit(ACCURACY))
         parts.append(_one_row(request.df, i, F.count(request.value).alias("n"), sketch.alias("edges")))
     searches = []
     for row in _run(parts):
@@ -92,42 +96,93 @@ def _start(requests: Sequence[Request]) -> list[_Search]:
 
 
 def _advance(requests: Sequence[Request], waiting: Sequence[_Search]) -> None:
-    """One pass: count around every bracket, and fetch its inside or sketch it for a narrower one."""
+    """One pass: count around all brackets, and fetch their insides or sketch them for narrower ones."""
     parts = []
-    for n, search in enumerate(waiting):
-        value = requests[search.request].value
-        below = F.lit(False) if search.low is None else value < search.low
-        above = F.lit(False) if search.high is None else value > search.high
-        at_low = F.lit(False) if search.low is None else value == search.low
-        at_high = F.lit(False) if search.high is None or search.high == search.low else value == search.high
-        inside = F.when(~(below | above | at_low | at_high), value)
-        fetch = search.inside <= FETCH_LIMIT
-        parts.append(
-            _one_row(
-                requests[search.request].df,
-                n,
-                F.count_if(below).alias("below"),
-                F.count_if(at_low).alias("at_low"),
-                F.count(inside).alias("inside"),
-                F.count_if(at_high).alias("at_high"),
-                (F.array_sort(F.collect_list(inside)) if fetch else F.lit(None).cast("array<double>")).alias("values"),
-                (
-                    F.lit(None).cast("array<double>")
-                    if fetch
-                    else F.percentile_approx(inside, F.array(*[F.lit(t / SLICES) for t in range(1, SLICES)]), F.lit(ACCURACY))
-                ).alias("edges"),
-            )
-        )
-    for row in _run(parts):
-        _settle(waiting[row["i"]], row)
-
-
-def _settle(search: _Search, row) -> None:
-    start, stop = row["below"] + row["at_low"], row["below"] + row["at_low"] + row["inside"]
-    if search.ranks[0] < row["below"]:
+    of_request: dict[int, list[_Search]] = {}
+    for search in waiting:
+        of_request.setdefault(search.request, []).append(search)
+    for i, searches in of_request.items():
+        df, value, edges = requests[i].df, requests[i].value, _edges(searches)
+        filled = df.select(value.alias("x")).filter(F.col("x").isNotNull())
+        placed = filled.select("x", F.expr(_place(edges)).alias("place"))
+        fetched = [_between(s, edges) for s in searches if s.fetch]
+        kept = F.when(F.expr(" or ".join(fetched)), F.col("x")) if fetched else F.lit(None).cast("double")
+        counts = placed.groupBy("place", kept.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(counts.select(*_found(i, place=F.col("place"), x=F.col("x"), n=F.col("n"))))
+        for j, search in enumerate(searches):
+            if not search.fetch:
+                inside = F.when(F.expr(_between(search, edges)), F.col("x"))
+                cuts = F.percentile_approx(inside, _numbers(t / SLICES for t in range(1, SLICES)), F.lit(ACCURACY))
+                sketch = placed.agg(cuts.alias("cuts"))
+                parts.append(sketch.select(*_found(i, search=F.lit(j), cuts=F.col("cuts"))))
+    rows = _run(parts)
+    for i, searches in of_request.items():
+        mine, edges = [r for r in rows if r["i"] == i], _edges(searches)
+        counts: dict[int, int] = {}
+        for r in mine:
+            if r["place"] is not None:
+                counts[r["place"]] = counts.get(r["place"], 0) + r["n"]
+        values = sorted(((r["x"], r["n"]) for r in mine if r["x"] is not None), key=lambda v: _order(v[0]))
+        cuts = {r["search"]: r["cuts"] for r in mine if r["search"] is not None}
+        for j, search in enumerate(searches):
+            _settle(search, _span(search, edges), counts, values, cuts.get(j))
+
+
+def _found(i: int, **columns: Column) -> list[Column]:
+    types = {"place": "int", "x": "double", "n": "long", "search": "int", "cuts": "array<double>"}
+    rest = [columns.get(name, F.lit(None)).cast(t).alias(name) for name, t in types.items()]
+    return [F.lit(i).alias("i"), *rest]
+
+
+def _edges(searches: Sequence[_Search]) -> list[float]:
+    return sorted({e for s in searches for e in (s.low, s.high) if e is not None}, key=_order)
+
+
+def _order(value: float) -> tuple[bool, float]:
+    """Spark's order of floats: NaN is the greatest."""
+    return (True, 0.0) if math.isnan(value) else (False, value)
+
+
+def _place(edges: Sequence[float]) -> str:
+    """Where ``x`` lies among the edges: 2i+1 on edge i, 2i between the edges i-1 and i.
+
+    The many comparisons are written as one SQL expression, which is quicker to build than as many Columns.
+    """
+    steps = [f"cast(x >= {_number(e)} as int) + cast(x > {_number(e)} as int)" for e in edges]
+    return " + ".join(steps) or "0"
+
+
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def _numbers(values: Iterable[float]) -> Column:
+    return F.expr(f"array({', '.join(_number(v) for v in values)})")
+
+
+def _span(search: _Search, edges: Sequence[float]) -> tuple[int, int]:
+    """The places of a bracket's own edges; just outside all places where it has none."""
+    low = -1 if search.low is None else 2 * edges.index(search.low) + 1
+    high = 2 * len(edges) + 1 if search.high is None else 2 * edges.index(search.high) + 1
+    return low, high
+
+
+def _between(search: _Search, edges: Sequence[float]) -> str:
+    low, high = _span(search, edges)
+    return f"(place > {low} and place < {high})"
+
+
+def _settle(search: _Search, span: tuple[int, int], counts: dict[int, int], values: list, cuts: list | None) -> None:
+    low, high = span
+    below = sum(n for place, n in counts.items() if place < low)
+    start = below + counts.get(low, 0)
+    inside = sum(n for place, n in counts.items() if low < place < high)
+    stop = start + inside
+    end = stop + (counts.get(high, 0) if high != low else 0)
+    if search.ranks[0] < below:
         search.low, search.inside = None, search.rows
         return
-    if search.ranks[1] >= stop + row["at_high"]:
+    if search.ranks[1] >= end:
         search.high, search.inside = None, search.rows
         return
     found = []
@@ -136,26 +191,38 @@ def _settle(search: _Search, row) -> None:
             found.append(search.low)
         elif rank >= stop:
             found.append(search.high)
-        elif row["values"] is not None:
-            found.append(row["values"][rank - start])
+        elif search.fetch:
+            found.append(_pick(values, search, rank - start))
     if len(found) == 2:
         search.finish(*found)
-    elif row["edges"] is None:
-        search.inside = row["inside"]
+    elif cuts is None:
+        search.inside = inside
     else:
-        _narrow(search, row["edges"], row["inside"], start)
+        _narrow(search, cuts, inside, start)
+
+
+def _pick(values: list, search: _Search, rank: int) -> float:
+    """The value at a rank among the fetched ones that lie inside the bracket."""
+    seen = 0
+    for value, count in values:
+        above_low = search.low is None or _order(value) > _order(search.low)
+        if above_low and (search.high is None or _order(value) < _order(search.high)):
+            seen += count
+            if rank < seen:
+                return value
+    raise AssertionError("the fetched values do not reach the rank")
 
 
-def _narrow(search: _Search, edges: Sequence[float], inside: int, start: int) -> None:
+def _narrow(search: _Search, cuts: Sequence[float], inside: int, start: int) -> None:
     """Keep the part of the bracket between the sketched edges around the wanted ranks."""
     step = inside / SLICES
     slack = inside * MARGIN / ACCURACY + 1
     first = math.floor((search.ranks[0] - start - slack) / step)
     last = math.ceil((search.ranks[1] - start + slack) / step)
     if first >= 1:
-        search.low = edges[min(first, SLICES - 1) - 1]
+        search.low = cuts[min(first, SLICES - 1) - 1]
     if last < SLICES:
-        search.high = edges[max(last, 1) - 1]
+        search.high = cuts[max(last, 1) - 1]
     search.inside = min(inside, math.ceil((last - first) * step + 2 * slack))
 
 

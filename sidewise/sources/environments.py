@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -36,13 +37,20 @@ DENIED_CONDITIONS = ("INSUFFICIENT_PERMISSIONS", "PERMISSION_DENIED", "INSUFFICI
 
 @dataclass(frozen=True)
 class Model:
-    """A named table of an environment and how to open it."""
+    """A named table of an environment and how to open it; opened once, since that reads file footers or the catalog."""
 
     name: str
-    open: Callable[[], DataFrame]
+    opener: Callable[[], DataFrame]
     resource_type: str = "model"
     materialized: str | None = "table"
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.opener()
+
+    def open(self) -> DataFrame:
+        return self.frame
+
 
 @dataclass(frozen=True)
 class Resolved:
