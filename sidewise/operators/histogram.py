@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sidewise.errors import ComparisonError, UnsupportedTypeError
 from sidewise.functions.columns import col, comparison_class, histogram_supported, resolve_columns, type_family
 from sidewise.functions.times import epoch_micros
-from sidewise.plans.sides import BASE, of_side, stack
+from sidewise.plans.sides import BASE, IN_BASE, of_side, stack
 
 # Default bin count, spans in days above which bins are years and months, bins aimed at for years, and
 # the first year that is no longer told apart.
@@ -145,8 +145,9 @@ def _counted(
     ``totals`` is the row of bounds, which holds the totals of both sides too.
     """
     in_base = of_side(BASE)
+    bin_number = F.when(index.isNotNull(), F.least(index, F.lit(bins - 1))).cast("long")
     counts = (
-        values.select(F.least(index, F.lit(bins - 1)).cast("long").alias("bin"), "__in_base", "value")
+        values.select(bin_number.alias("bin"), IN_BASE, "value")
         .groupBy("bin")
         .agg(
             F.count(F.when(in_base, F.col("value"))).alias("base_count"),

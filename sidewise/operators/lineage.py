@@ -198,11 +198,7 @@ def impact_radius(
         return node_rows
     listed = columns.select("node_id", "column_name").distinct()
     hit = reached.filter(F.col("column_name").isNotNull())
-    column_rows = (
-        listed.join(hit, ["node_id", "column_name"], "left_semi")
-        .join(node_rows.select("node_id"), "node_id", "left_semi")
-        .select("node_id", "column_name", F.lit(True).alias("impacted"))
-    )
+    column_rows = listed.join(hit, ["node_id", "column_name"], "left_semi").withColumn("impacted", F.lit(True))
     return node_rows.unionByName(column_rows)
 
 

@@ -174,8 +174,7 @@ def _radius_sql(node_only: bool) -> str:
         ""
         if node_only
         else """ union all
-    select distinct c.node_id, c.column_name, true from columns_t c join hits h on c.node_id = h.node_id and c.column_name = h.column_name
-    where c.node_id in (select node_id from node_rows)"""
+    select distinct c.node_id, c.column_name, true from columns_t c join hits h on c.node_id = h.node_id and c.column_name = h.column_name"""
     )
 
 
