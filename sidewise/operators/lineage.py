@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sidewise.functions.columns import col
 from sidewise.functions.labels import normalize_category
-from sidewise.plans.closure import CHILD, DEGREE, DOWN, PARENT, UP, VERTEX, closure, closure_both_ways
+from sidewise.plans.closure import CHILD, DEGREE, DOWN, PARENT, UP, VERTEX, closure, closure_both_ways, closures
 from sidewise.plans.sides import BASE, CURRENT
 
 # Categories whose changes reach every reader of a node, with and without column lineage.
@@ -112,15 +112,13 @@ def mixed_edges(col_edges: DataFrame) -> DataFrame:
 
 def column_lineage(col_edges: DataFrame, node_id: str, column_name: str) -> DataFrame:
     """``node_id, column_name, direction, degree`` of all columns one column is made of or flows into, and itself."""
-    edges = mixed_edges(col_edges)
     start = col_edges.sparkSession.range(1).select(
         F.struct(F.lit(node_id).alias("node_id"), F.lit(column_name).alias("column_name")).alias(VERTEX)
     )
-    walks = [
-        closure(edges, start, way).filter((F.col(DEGREE) > 0) | (F.lit(way) == UP)).withColumn("direction", F.lit(way))
-        for way in (UP, DOWN)
-    ]
-    rows = walks[0].unionByName(walks[1]).select(f"{VERTEX}.*", "direction", DEGREE)
+    above, below = closures(mixed_edges(col_edges), start, [UP, DOWN])
+    above = above.withColumn("direction", F.lit(UP))
+    below = below.filter(F.col(DEGREE) > 0).withColumn("direction", F.lit(DOWN))
+    rows = above.unionByName(below).select(f"{VERTEX}.*", "direction", DEGREE)
     return rows.filter(F.col("column_name").isNotNull()).withColumn(
         "direction", F.when(F.col(DEGREE) == 0, "self").otherwise(F.col("direction"))
     )

@@ -83,10 +83,14 @@ def upsert_latest(existing: DataFrame, incoming: DataFrame) -> DataFrame:
         .groupBy(content_hash().alias("__hash"))
         .agg(F.max("check_id").alias("__preset"))
     )
+    # Only presets have a content to match by; leaving the others out keeps them from meeting in one NULL key.
+    is_preset = F.coalesce("is_preset", F.lit(False))
+    by_content = incoming.filter(is_preset).withColumn("__hash", content_hash()).join(presets, "__hash", "left")
+    by_id_only = incoming.filter(~is_preset).withColumn("__preset", F.lit(None).cast("string"))
     targeted = (
-        incoming.withColumn("__hash", F.when(F.col("is_preset"), content_hash()))
+        by_content.drop("__hash")
+        .unionByName(by_id_only)
         .join(known, F.col("check_id") == F.col("__known"), "left")
-        .join(presets, "__hash", "left")
         .withColumn("__target", F.coalesce("__known", "__preset", "check_id"))
         .select(*[col(c) for c in existing.columns], "__target", F.lit(0).alias("__old"))
     )

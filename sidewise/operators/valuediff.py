@@ -226,20 +226,7 @@ def impact_value_diff(
         for v in values
         if type_family(base.schema[v].dataType) == type_family(current.schema[v].dataType) == "numeric"
     ]
-    if not (facts or key_facts(base, current, keys)).repeated:
-        counts = _joined_changes(base, current, keys, values, numeric)
-    else:
-        single, repeated = split_repeated(base, current, keys)
-        counts = _joined_changes(*single, keys, values, numeric)
-        pairs = pair_counts(*repeated, keys, values, numeric)
-        more = pairs.select(
-            "added",
-            "removed",
-            (F.col("common") - F.col("identical")).alias("changed"),
-            *[(F.col("common") - F.col(f"equal_{i}")).alias(f"changed_{i}") for i in range(len(values))],
-            *[F.col(f"{s}_{kind}_{i}") for i in range(len(numeric)) for s in (BASE, CURRENT) for kind in ("sum", "count")],
-        )
-        counts = add_up([counts, more])
+    counts = _changes(base, current, keys, values, numeric, facts or key_facts(base, current, keys))
 
     def mean(side: str, name: str) -> Column:
         if name not in numeric:
@@ -265,6 +252,27 @@ def impact_value_diff(
     )
 
 
+def _changes(
+    base: DataFrame, current: DataFrame, keys: list[str], values: list[str], numeric: list[str], facts: KeyFacts
+) -> DataFrame:
+    """One row of change counts: unique keys are joined, repeated ones counted without forming their pairs."""
+    if not facts.repeated:
+        return _joined_changes(base, current, keys, values, numeric)
+    parts, repeated = [], (base, current)
+    if not facts.mostly_repeated:
+        single, repeated = split_repeated(base, current, keys)
+        parts.append(_joined_changes(*single, keys, values, numeric))
+    sums = [f"{s}_{kind}_{i}" for i in range(len(numeric)) for s in (BASE, CURRENT) for kind in ("sum", "count")]
+    pairs = pair_counts(*repeated, keys, values, numeric).select(
+        "added",
+        "removed",
+        (F.col("common") - F.col("identical")).alias("changed"),
+        *[(F.col("common") - F.col(f"equal_{i}")).alias(f"changed_{i}") for i in range(len(values))],
+        *sums,
+    )
+    return add_up([*parts, pairs])
+
+
 def _joined_changes(base: DataFrame, current: DataFrame, keys: list[str], values: list[str], numeric: list[str]) -> DataFrame:
     joined = match(base, current, keys, values, values)
     pairs = [_pair(base, current, v) for v in values]
@@ -311,7 +319,7 @@ def _counts(base: DataFrame, current: DataFrame, keys: list[str], values: list[s
     counts = _joined_counts(left, right, keys, values, statuses)
     if not apart:
         return counts
-    pairs = pair_counts(unkeyed(base, keys), unkeyed(current, keys), keys, values)
+    pairs = pair_counts(unkeyed(base, keys), unkeyed(current, keys), keys, values, nulls=statuses)
     pairs = pairs.withColumn("key_null_0", F.col("common"))
     return add_up([counts, pairs.select(*counts.columns)])
 

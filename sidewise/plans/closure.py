@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -28,27 +29,27 @@ def closure(
     """
     if direction not in (UP, DOWN):
         raise ComparisonError(f"Direction is {UP!r} or {DOWN!r}, not {direction!r}")
-    steps = _steps(edges).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _spread(steps, cut(seeds.select(VERTEX).distinct()), direction, max_degree)
-    finally:
-        steps.unpersist()
+    return closures(edges, seeds, [direction], max_degree)[0]
 
 
-def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
-    """``vertex``: the seeds with all their ancestors and descendants."""
-    steps = _steps(edges).persist(StorageLevel.MEMORY_AND_DISK)
-    start = cut(seeds.select(VERTEX).distinct())
+def closures(
+    edges: DataFrame, seeds: DataFrame, directions: Sequence[str], max_degree: int | None = None
+) -> list[DataFrame]:
+    """The closure in each direction; edges and seeds are computed once for all."""
+    steps = edges.select(PARENT, CHILD).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ways = [way for way, wanted in ((UP, up), (DOWN, down)) if wanted]
-        reached = [_spread(steps, start, way, None).filter(F.col(DEGREE) > 0).select(VERTEX) for way in ways]
+        start = cut(seeds.select(VERTEX).distinct())
+        return [_spread(steps, start, direction, max_degree) for direction in directions]
     finally:
         steps.unpersist()
-    return reduce(DataFrame.unionByName, [start, *reached]).distinct()
 
 
-def _steps(edges: DataFrame) -> DataFrame:
-    return edges.select(PARENT, CHILD)
+def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
+    """``vertex``: the seeds with all their ancestors and descendants."""
+    wanted = [way for way, on in ((UP, up), (DOWN, down)) if on]
+    if not wanted:
+        return seeds.select(VERTEX).distinct()
+    return reduce(DataFrame.unionByName, closures(edges, seeds, wanted)).select(VERTEX).distinct()
 
 
 def _spread(steps: DataFrame, start: DataFrame, direction: str, max_degree: int | None) -> DataFrame:

@@ -17,6 +17,7 @@ from sidewise.errors import DuplicateKeyError
 from sidewise.functions.columns import col, type_family
 from sidewise.functions.compare import all_of, any_of, comparable
 from sidewise.plans.sides import BASE, CURRENT, of_side, stack
+from sidewise.plans.storage import cut
 
 BASE_ROWS, CURRENT_ROWS = "__base_rows", "__current_rows"
 
@@ -29,6 +30,13 @@ class KeyFacts:
     current_duplicates: int
     base_null_duplicates: int
     current_null_duplicates: int
+    repeated_rows: int
+    rows: int
+
+    @property
+    def mostly_repeated(self) -> bool:
+        """Whether so many rows have a repeated key that telling them apart costs more than it saves."""
+        return self.repeated_rows * 4 >= self.rows
 
     @property
     def repeated(self) -> bool:
@@ -62,19 +70,20 @@ def key_facts_many(comparisons: Sequence[tuple[DataFrame, DataFrame, Sequence[st
     for i, (base, current, pk) in enumerate(comparisons):
         holds_null = any_of(col(k).isNull() for k in pk)
         base_repeated, current_repeated = F.col(BASE_ROWS) > 1, F.col(CURRENT_ROWS) > 1
+        rows = F.col(BASE_ROWS) + F.col(CURRENT_ROWS)
         parts.append(
             rows_per_key(base, current, pk)
-            .filter(base_repeated | current_repeated)
             .agg(
                 F.count_if(base_repeated & ~holds_null).alias("base"),
                 F.count_if(current_repeated & ~holds_null).alias("current"),
                 F.count_if(base_repeated & holds_null).alias("base_null"),
                 F.count_if(current_repeated & holds_null).alias("current_null"),
+                F.coalesce(F.sum(F.when(base_repeated | current_repeated, rows)), F.lit(0)).alias("repeated_rows"),
+                F.coalesce(F.sum(rows), F.lit(0)).alias("rows"),
             )
             .select(F.lit(i).alias("i"), "*")
         )
-    rows = sorted(reduce(DataFrame.unionByName, parts).collect())
-    return [KeyFacts(r["base"], r["current"], r["base_null"], r["current_null"]) for r in rows]
+    return [KeyFacts(*row[1:]) for row in sorted(reduce(DataFrame.unionByName, parts).collect())]
 
 
 def require_unique(base: DataFrame, current: DataFrame, pk: Sequence[str], ignore_null: bool) -> KeyFacts:
@@ -99,12 +108,13 @@ def unkeyed(df: DataFrame, pk: Sequence[str]) -> DataFrame:
 
 # A set of repeated keys is sent to every executor only when its measured size stays below this many bytes.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# grouping_id is a 64-bit number, one bit per grouped column; wider tables are counted in several passes.
-GROUPED_COLUMNS = 32
 
 
 def split_repeated(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> tuple[tuple, tuple]:
-    """Divide both sides into ``(rows of keys unique on both sides, rows of the other keys)``."""
+    """Divide both sides into ``(rows of keys unique on both sides, rows of the other keys)``.
+
+    The latter are stored, since counting them reads them once per column.
+    """
     keys = rows_per_key(base, current, pk).filter((F.col(BASE_ROWS) > 1) | (F.col(CURRENT_ROWS) > 1))
     names = [f"__repeated_{i}" for i in range(len(pk))]
     repeated = keys.select(*[col(k).alias(n) for k, n in zip(pk, names)])
@@ -118,19 +128,27 @@ def split_repeated(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> tu
 
     return (
         (rows(base, "left_anti"), rows(current, "left_anti")),
-        (rows(base, "left_semi"), rows(current, "left_semi")),
+        (cut(rows(base, "left_semi")), cut(rows(current, "left_semi"))),
     )
 
 
-def pair_counts(base: DataFrame, current: DataFrame, pk: Sequence[str], columns: Sequence[str], means: Sequence[str] = ()) -> DataFrame:
+def pair_counts(
+    base: DataFrame,
+    current: DataFrame,
+    pk: Sequence[str],
+    columns: Sequence[str],
+    means: Sequence[str] = (),
+    nulls: bool = False,
+) -> DataFrame:
     """What a full outer join on ``pk`` would count, without building its pairs; one row.
 
     ``common``, ``added``, ``removed`` rows; ``identical`` pairs (equal in all columns); per column i ``equal_i`` (equal,
-    both NULL included), ``both_null_i``, ``base_null_i``, ``current_null_i``; per column in ``means`` the sum and the
-    non-NULL count of either side over the joined rows.
+    both NULL included) and, with ``nulls``, ``both_null_i``, ``base_null_i``, ``current_null_i``; per column in
+    ``means`` the sum and the non-NULL count of either side over the joined rows.
     """
     rows = _comparable_rows(base, current, [*pk, *columns], means)
-    return add_up([_per_key(rows, pk, columns, means), *_equal_pairs(rows, pk, columns)])
+    per_key = _per_key(rows, pk, columns if nulls else (), means)
+    return add_up([per_key, *_equal_pairs(rows, pk, columns)])
 
 
 def add_up(parts: Sequence[DataFrame]) -> DataFrame:
@@ -194,22 +212,16 @@ def _per_key(rows: DataFrame, pk: Sequence[str], columns: Sequence[str], means:
 
 
 def _equal_pairs(rows: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> list[DataFrame]:
-    both = [F.count_if(of_side(BASE)).alias("nb"), F.count_if(of_side(CURRENT)).alias("nc")]
+    """Pairs of rows of one key that are equal in a column, and in all columns.
+
+    Each column is grouped on its own, from a scan of the key and that column: grouping by all of them at once would
+    multiply the rows by the number of columns before the shuffle.
+    """
+    groups = {"identical": list(columns), **{f"equal_{i}": [c] for i, c in enumerate(columns)}}
     pairs = F.sum(F.col("nb") * F.col("nc"))
-    result = [rows.groupBy(*[col(k) for k in [*pk, *columns]]).agg(*both).agg(pairs.alias("identical"))]
-    for start in range(0, len(columns), GROUPED_COLUMNS):
-        chunk = list(columns[start : start + GROUPED_COLUMNS])
-        key_set = [col(k) for k in pk]
-        sets = [key_set + [col(c)] for c in chunk]
-        grouped = rows.groupingSets(sets, *key_set, *[col(c) for c in chunk]).agg(F.grouping_id().alias("gid"), *both)
-        last = len(chunk) - 1
-        # In a grouping id the bits of the columns left out are set; the last column has the lowest bit.
-        everything = (1 << len(chunk)) - 1
-        counted = [
-            F.sum(F.when(F.col("gid") == everything - (1 << (last - j)), F.col("nb") * F.col("nc"))).alias(
-                f"equal_{start + j}"
-            )
-            for j in range(len(chunk))
-        ]
-        result.append(grouped.agg(*counted))
-    return result
+    return [
+        rows.groupBy(*[col(c) for c in [*pk, *group]])
+        .agg(F.count_if(of_side(BASE)).alias("nb"), F.count_if(of_side(CURRENT)).alias("nc"))
+        .agg(pairs.alias(name))
+        for name, group in groups.items()
+    ]

@@ -480,7 +480,7 @@ def _model_sql(name: str) -> str:
 @query(
     f""", counted as ({" union all ".join(_model_sql(n) for n in MODEL_KEYS)})
     select name, base_rows, current_rows, current_rows - base_rows as delta,
-        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) as delta_pct, rows_added, rows_removed, rows_changed,
+        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) + 0 as delta_pct, rows_added, rows_removed, rows_changed,
         rows_added + rows_removed + rows_changed as affected_row_count,
         case when rows_added is null then 'potential' when rows_added + rows_removed + rows_changed > 0 then 'confirmed' else 'none' end as data_impact,
         case when name = 'supplier' then 'low' when name = 'lineitem' then 'medium'

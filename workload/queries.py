@@ -492,7 +492,7 @@ def row_count_diff_all(spark, folder):
         case when base = curr then '0' else concat(case when base < curr then '+' else '-' end,
              case when abs(curr - base) * 100.0 / base >= 0.1 then format('{{:.1f}}', cast(abs(curr - base) as double) / base * 100)
                   else ' <0.1 ' end, '%') end as delta_label,
-        round(cast(curr - base as double) / base * 100, 1) as delta_pct_of_base,
+        round(cast(curr - base as double) / base * 100, 1) + 0 as delta_pct_of_base,  -- + 0: no negative zero
         case when base <> curr then round(cast(curr - base as double) / curr * 100, 2) end as delta_pct_of_current,
         case when curr > base then 'increase' when curr < base then 'decrease' else 'unchanged' end as direction,
         case when base <> curr then 'modified' end as status from ({COUNTS_SQL}) c""",
