@@ -132,12 +132,13 @@ _EDGES = """
 _COLUMNS = {
     "base": """
     select 'base' as env, concat('order.', l_orderkey) as node_id, concat('line_', l_linenumber) as column_name,
-           row_number() over (partition by l_orderkey order by l_linenumber) as ordinal, min(l_returnflag) as data_type
+           cast(row_number() over (partition by l_orderkey order by l_linenumber) as int) as ordinal,
+           min(l_returnflag) as data_type
     from lineitem group by l_orderkey, l_linenumber""",
     "current": """
     select 'current' as env, concat('order.', l_orderkey) as node_id, concat('line_', l_linenumber) as column_name,
-           row_number() over (partition by l_orderkey
-                              order by case when l_orderkey % 5 = 0 then (l_linenumber * 3) % 7 else l_linenumber end) as ordinal,
+           cast(row_number() over (partition by l_orderkey
+                                   order by case when l_orderkey % 5 = 0 then (l_linenumber * 3) % 7 else l_linenumber end) as int) as ordinal,
            case when l_orderkey % 10 = 0 then 'X' else min(l_returnflag) end as data_type
     from lineitem where l_orderkey % 97 <> 0 and not (l_linenumber = 7 and l_orderkey % 3 = 0)
     group by l_orderkey, l_linenumber""",
