@@ -8,26 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sidewise.functions.columns import col
 from sidewise.functions.compare import any_changed
-from sidewise.operators import (
-    distribution,
-    histogram,
-    impact,
-    lineage,
-    profile,
-    querydiff,
-    results,
-    rowcount,
-    rowdiff,
-    schema,
-    topk,
-    valuediff,
-)
-from sidewise.operators.selection import LineageGraph
+from sidewise.operators import distribution, histogram, profile, querydiff, rowcount, rowdiff, topk, valuediff
 from sidewise.plans.sides import base_of, current_of
 from sidewise.plans.storage import shared_path
-from sidewise.sources.environments import EnvPair, Environment
 from sidewise.sources.export import export_rows
-from workload.tables import CURRENT_SQL, NAMES, derived, environments, with_tables
+from workload.tables import CURRENT_SQL, NAMES, environments, with_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
