@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from sidewise.errors import ComparisonError
@@ -36,12 +35,9 @@ def closures(
     edges: DataFrame, seeds: DataFrame, directions: Sequence[str], max_degree: int | None = None
 ) -> list[DataFrame]:
     """The closure in each direction; edges and seeds are computed once for all."""
-    steps = edges.select(PARENT, CHILD).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        start = cut(seeds.select(VERTEX).distinct())
-        return [_spread(steps, start, direction, max_degree) for direction in directions]
-    finally:
-        steps.unpersist()
+    steps = cut(edges.select(PARENT, CHILD), "edges")
+    start = cut(seeds.select(VERTEX).distinct(), "seeds")
+    return [_spread(steps, start, direction, max_degree) for direction in directions]
 
 
 def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
@@ -57,7 +53,7 @@ def _spread(steps: DataFrame, start: DataFrame, direction: str, max_degree: int
     levels = [start.withColumn(DEGREE, F.lit(0))]
     size = _size(start)
     while size.count and (max_degree is None or len(levels) <= max_degree):
-        level = cut(_next_level(steps, levels, direction, size.bytes <= BROADCAST_BYTES))
+        level = cut(_next_level(steps, levels, direction, size.bytes <= BROADCAST_BYTES), "level")
         size = _size(level)
         if size.count:
             levels.append(level)

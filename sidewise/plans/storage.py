@@ -11,7 +11,7 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the one the cluster names, else one already set, else (local master only) a new one."""
+    """The shared folder: the one the cluster names, else one already set, else (local master only) a new one."""
     context = spark.sparkContext
     named = spark.conf.get(CHECKPOINT_SETTING, None) or context.getConf().get(CHECKPOINT_SETTING)
     active = context.getCheckpointDir()
@@ -25,12 +25,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Store ``df`` in the checkpoint folder and continue from the stored rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, purpose: str = "rows") -> DataFrame:
+    """Store ``df`` as Parquet below the shared folder and continue from the stored rows (in no particular order).
+
+    The stored columns have positional names, so any names will do, repeated ones included. The files go when the
+    session ends.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, purpose)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    return spark.read.parquet(path).toDF(*df.columns)
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path below the checkpoint folder, reachable by all executors."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, reachable by all executors and deleted when the session ends."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/sidewise"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        system.mkdirs(target)
+        system.deleteOnExit(target)
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
