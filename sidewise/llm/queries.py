@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import packing, tokenfiles
+from sidewise.llm import chat, exactdedup, packing, tokenfiles
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,23 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(
+    r"""with turns as (select distinct conv_id, turn, role, text from conversations),
+    placed as (select *, row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as p from turns),
+    whole as (
+        select conv_id, count(*) as n_turns, list({'role': role, 'text': text} order by p) as said,
+            string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' order by p) as rendered
+        from placed group by conv_id),
+    single as (
+        select min(conv_id) as conv_id, n_turns, said, any_value(rendered) as rendered, count(*) as copies
+        from whole group by n_turns, said)
+    select conv_id, n_turns, copies, rendered from single a where not exists (
+        select 1 from single b where b.said[1] = a.said[1] and b.n_turns > a.n_turns and b.said[1:a.n_turns] = a.said)"""
+)
+def op1_maximal_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.maximal_conversations(table(spark, folder, "conversations"))
+
+
 @query()
 def op2_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -51,3 +68,14 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     target = shared_path(spark, "tokens")
     tokenfiles.write_token_files(table(spark, folder, "documents"), target, vocabulary("byte_bpe_50k.json"), end_id=0)
     return tokenfiles.read_token_files(spark, target)
+
+
+@query(
+    """select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,
+        row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
+        sha256(coalesce(text, '')) as text_sha256
+    from documents window same as (partition by coalesce(text, ''))"""
+)
+def op8_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = exactdedup.find_exact_duplicates(table(spark, folder, "documents"), carry=False)
+    return found.decisions.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
