@@ -39,6 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.largest_id = max(self.library.get_vocab(with_added_tokens=True).values(), default=0)
         self._merge = self.library.model.tokenize
         self._special = [token.content for token in self.library.get_added_tokens_decoder().values()]
         self._letters = _byte_letters()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, packing, tokenfiles
+from sidewise.llm import chat, exactdedup, packing, pii, tokenfiles
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,14 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
 def op8_exact_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = exactdedup.find_exact_duplicates(table(spark, folder, "documents"), carry=False)
     return found.decisions.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query()
+def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select(
+        F.col("c0").alias("doc_id"),
+        *[pii.counted(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
+        pii.described(F.col("spans")).alias("spans"),
+    )

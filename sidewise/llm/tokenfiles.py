@@ -1,7 +1,7 @@
-"""Token ids in flat binary files: unsigned 32-bit ids, 64-bit document offsets, read through memory maps.
+"""Token ids in flat binary files: unsigned ids, 64-bit document offsets, read through memory maps.
 
-Documents are sorted by id over range partitions. Each partition writes ``<part>.bin`` (ids, little-endian), ``<part>.idx``
-(n + 1 offsets within the file, little-endian unsigned 64-bit) and ``<part>.doc`` (document ids, an Arrow file). The place
+Documents are sorted by id over range partitions. Each partition writes ``<part>.bin`` (ids, little-endian; 16 bits wide if
+the whole vocabulary fits, else 32, as ``dataset.json`` says), ``<part>.idx`` (n + 1 offsets within the file, little-endian unsigned 64-bit) and ``<part>.doc`` (document ids, an Arrow file). The place
 of a partition in the whole corpus, its base, is the sum of the token counts before it; ``dataset.json`` keeps the bases.
 
 A retried task writes files under new names, and only the files named by the task that Spark committed are in
@@ -37,7 +37,8 @@ def write_token_files(
     """Encode ``docs`` and write their ids to ``folder`` in ascending order of id; each document ends with ``end_id``."""
     rows = only(docs, id=id_column, text=text_column).withColumn("tie", F.monotonically_increasing_id())
     ordered = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
-    parts = cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id), _PARTS), "token-parts")
+    dtype = "<u2" if max(encoder(tokenizer).largest_id, end_id) < 1 << 16 else "<u4"
+    parts = cut(ordered.mapInArrow(_writer(folder, tokenizer, end_id, dtype), _PARTS), "token-parts")
     # One row per partition of the sorted table.
     found = parts.orderBy("part").collect()
     bases = [0, *accumulate(row["tokens"] for row in found)]
@@ -45,10 +46,10 @@ def write_token_files(
     system, path = open_folder(folder)
     system.create_dir(path, recursive=True)
     with system.open_output_stream(f"{path}/dataset.json") as out:
-        out.write(json.dumps({"tokens": bases[-1], "parts": entries}).encode())
+        out.write(json.dumps({"tokens": bases[-1], "ids": dtype, "parts": entries}).encode())
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, dtype: str):
     end = end_id.to_bytes(4, "little")
 
     def write(batches):
@@ -64,7 +65,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
             for text in texts_of(batch, "text"):
                 ids = encode(text) + end
                 lengths.append(len(ids) // 4)
-                out.write(ids)
+                out.write(np.frombuffer(ids, "<u4").astype(dtype).tobytes())
         if out is None:
             return
         out.close()
@@ -85,9 +86,9 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 class TokenPart:
     """One partition's files, memory-mapped where the folder is local, else read."""
 
-    def __init__(self, folder: str, name: str):
+    def __init__(self, folder: str, name: str, dtype: str):
         system, path = open_folder(folder)
-        self.ids = _mapped(system, f"{path}/{name}.bin", "<u4")
+        self.ids = _mapped(system, f"{path}/{name}.bin", dtype)
         self.offsets = _mapped(system, f"{path}/{name}.idx", "<u8")
         with system.open_input_file(f"{path}/{name}.doc") as file:
             self.keys = pa.ipc.open_file(file).read_all().column("id").combine_chunks()
@@ -112,25 +113,26 @@ def read_token_files(spark: SparkSession, folder: str, id_type: str = "long") ->
     """``doc_id, start, n_tokens, ids_crc32`` of every document in the files; one task reads one partition's files."""
     system, path = open_folder(folder)
     with system.open_input_stream(f"{path}/dataset.json") as file:
-        parts = json.loads(file.read())["parts"]
+        dataset = json.loads(file.read())
+    parts = dataset["parts"]
     files = spark.createDataFrame([(p["name"], p["base"]) for p in parts], "name string, base long")
     if parts:
         files = files.repartition(len(parts))
-    return files.mapInArrow(_reader(folder), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(_reader(folder, dataset["ids"]), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
 
 
-def _reader(folder: str):
+def _reader(folder: str, dtype: str):
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                part = TokenPart(folder, row["name"])
+                part = TokenPart(folder, row["name"], dtype)
                 offsets = np.asarray(part.offsets).astype("i8")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.keys,
                         pa.array(offsets[:-1] + row["base"]),
                         pa.array(np.diff(offsets)),
-                        pa.array([zlib.crc32(part[i]) for i in range(len(part))], pa.int64()),
+                        pa.array([zlib.crc32(part[i].astype("<u4")) for i in range(len(part))], pa.int64()),
                     ],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
