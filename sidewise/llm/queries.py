@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, packing, pii, tokenfiles
+from sidewise.llm import chat, exactdedup, neardup, packing, pii, tokenfiles
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(pii.described(F.col("base")), 256).alias("base_sha256"),
         pii.described(F.col("spans")).alias("spans"),
     )
+
+
+@query()
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents")).drop("row")
