@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, neardup, packing, pii, tokenfiles
+from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,3 +95,13 @@ def op3_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
+@query()
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = languageid.learn(docs, may_learn=~held_out)
+    return languageid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
+    )
