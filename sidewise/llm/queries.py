@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles
+from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles, vectors, wordbpe
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,3 +105,25 @@ def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     return languageid.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score")
     )
+
+
+@query(
+    """with v as (
+        select distinct vec_id, [floor(256 * x::double)::bigint for x in embedding] as vec from embeddings
+        where vec_id is not null and len(embedding) > 0
+            and len([x for x in embedding if x is not null and isfinite(x)]) = len(embedding)),
+    scored as (
+        select q.vec_id as query_id, c.vec_id, list_inner_product(q.vec::double[], c.vec::double[])::bigint as score
+        from v q join v c on q.vec_id != c.vec_id and len(q.vec) = len(c.vec) where q.vec_id % 50 = 0)
+    select query_id, rank::int as rank, vec_id, score from (
+        select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+    where rank <= 5"""
+)
+def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.top_k(table(spark, folder, "embeddings"), F.col("id") % 50 == 0, k=5, scale=256)
+
+
+@query()
+def op5_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    coded = wordbpe.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+    return coded.withColumnRenamed("id", "doc_id")
