@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles, vectors, wordbpe
+from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles, vectors, warc, wordbpe
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,17 @@ def op9_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def op5_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     coded = wordbpe.encode_decode(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
     return coded.withColumnRenamed("id", "doc_id")
+
+
+@query(
+    """with p as (select page_id, coalesce(html, '') as body from pages),
+    d as (select page_id, octet_length(encode(body)) as payload_bytes, sha1(body) as payload_digest, body from p),
+    r as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by body) else page_id end as response from d)
+    select page_id, payload_bytes, payload_digest, case when response = page_id then 'response' else 'revisit' end as record_type,
+        case when response != page_id then response end as refers_to from r"""
+)
+def op6_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
+    target = shared_path(spark, "warc")
+    archives = warc.write_archives(table(spark, folder, "pages"), target)
+    captures = warc.read_archives(spark, target, archives)
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
