@@ -81,6 +81,8 @@ def write_archives(
     rows = rows.withColumn("bytes", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
     if not time_column:
         rows = rows.withColumn("time", F.lit(FIRST_CAPTURE) + F.coalesce(F.col("id"), F.lit(0)) % (10 * 365 * 86_400))
+    # Stored, so that both uses see the same row numbers.
+    rows = cut(rows, "pages")
     # Only the digests are grouped; few are shared. One digest may be a third of all rows, so the rows that meet it are salted.
     shared = (
         rows.select("digest", "bytes", "id", "row").filter(F.col("bytes") >= revisit_bytes)

@@ -128,7 +128,8 @@ def _assembled(docs: DataFrame, tokenizer: str, id_column: str, text_column: str
     spark = docs.sparkSession
     rows = only(docs, id=id_column, text=text_column)
     ways = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = rows.select("text").mapInArrow(_word_lists(ways), "block long, bucket int, words binary")
+    # Both passes read the same columns, so that the same plan deals the same rows.
+    lists = rows.mapInArrow(_word_lists(ways), "block long, bucket int, words binary")
     answers = lists.repartition(ways, "bucket").sortWithinPartitions("bucket").mapInArrow(
         _encoded(tokenizer), "answer_block long, bucket int, checked long, ids binary"
     )
