@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+import re
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from sidewise.errors import ComparisonError
 from sidewise.functions.columns import quote
 from sidewise.plans.sides import BASE, CURRENT
 
@@ -119,44 +122,85 @@ class Environment:
         return Resolved(frame, OK)
 
     def sql(self, query: str) -> DataFrame:
-        """Run a query whose table names are resolved in this environment."""
-        with self._names_bound(query.lower()):
-            return self.spark.sql(query)
+        """Run a query whose table names are resolved in this environment, and nowhere else.
+
+        Exactly the tables that the query names are opened, under view names of this call alone, so that neither the
+        session's own tables nor a query of another thread can be read instead. A name without a table is an error.
+        """
+        views: dict[str, str] = {}
+        try:
+            text = query
+            # From the last one on, so that the earlier positions stay valid.
+            for table in sorted(tables_named(self.spark, query), key=lambda t: t.start, reverse=True):
+                if table.name not in views:
+                    view = f"sidewise_{uuid.uuid4().hex}"
+                    self._open(table.name).createOrReplaceTempView(view)
+                    views[table.name] = view
+                bound = views[table.name] + ("" if table.aliased else f" as {quote(table.name.split('.')[-1])}")
+                text = text[: table.start] + bound + text[table.end :]
+            return self.spark.sql(text)
+        finally:
+            # The analysed plan keeps what it resolved.
+            for view in views.values():
+                self.spark.catalog.dropTempView(view)
+
+    def _open(self, name: str) -> DataFrame:
+        resolved = self.resolve(name)
+        if resolved.frame is not None:
+            return resolved.frame
+        model = self._model(name)
+        if model is not None and resolved.status in (UNSUPPORTED_RESOURCE_TYPE, UNSUPPORTED_MATERIALIZATION):
+            return model.open()
+        raise ComparisonError(f"The query reads {name!r}, which this environment cannot open: {resolved.status}")
 
     def _model(self, name: str) -> Model | None:
         return self.models.get(name) or self.find(name)
 
-    @contextmanager
-    def _names_bound(self, query: str) -> Iterator[None]:
-        """Bind the models a query can mention as temporary views while it is analysed, then restore the former views.
 
-        The analysed plan keeps what it resolved, so the result stays valid afterwards.
-        """
-        catalog = self.spark.catalog
-        former = {}
-        for name, model in self.models.items():
-            if name.lower() not in query:
-                continue
-            resolved = self.resolve(name)
-            if resolved.frame is None and resolved.status != UNSUPPORTED_RESOURCE_TYPE:
-                continue
-            former[name] = self._temp_view(name)
-            frame = model.open() if resolved.frame is None else resolved.frame
-            frame.createOrReplaceTempView(quote(name))
-        try:
-            yield
-        finally:
-            for name, view in former.items():
-                if view is None:
-                    catalog.dropTempView(name)
-                else:
-                    view.createOrReplaceTempView(quote(name))
-
-    def _temp_view(self, name: str) -> DataFrame | None:
-        """The temporary view now bound to ``name``, if there is one."""
-        if not self.spark.catalog.tableExists(quote(name)) or not self.spark.catalog.getTable(quote(name)).isTemporary:
-            return None
-        return self.spark.table(quote(name))
+class NamedTable(NamedTuple):
+    """A table that a query names, the place of the name in its text, and whether the query gives it an alias."""
+
+    name: str
+    start: int
+    end: int
+    aliased: bool
+
+
+_IDENTIFIER = re.compile(r"(?:`(?:[^`]|``)*`|\w+)(?:\s*\.\s*(?:`(?:[^`]|``)*`|\w+))*")
+
+
+def tables_named(spark: SparkSession, query: str) -> list[NamedTable]:
+    """The tables that a query reads by name, subqueries included, common table expressions left out."""
+    found: list[NamedTable] = []
+
+    def items(sequence) -> list:
+        return [sequence.apply(i) for i in range(sequence.size())]
+
+    def walk(node, known: frozenset[str], aliased: bool = False) -> None:
+        kind = node.nodeName()
+        if kind == "UnresolvedRelation":
+            parts = items(node.multipartIdentifier())
+            if len(parts) > 1 or parts[0].lower() not in known:
+                start = node.origin().startIndex().get()
+                text = _IDENTIFIER.match(query, start)
+                found.append(NamedTable(".".join(parts), start, text.end(), aliased))
+            return
+        if kind == "UnresolvedWith":
+            # A definition sees those before it; its own name means the table outside unless it recurses.
+            for entry in items(node.cteRelations()):
+                own = frozenset({entry._1().lower()})
+                walk(entry._2(), known | own if node.allowRecursion() else known)
+                known = known | own
+            walk(node.child(), known)
+            return
+        inner = kind == "SubqueryAlias"
+        for child in items(node.children()):
+            walk(child, known, inner)
+        for child in items(node.subqueries()):
+            walk(child, known)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(query), frozenset())
+    return found
 
 
 @dataclass(frozen=True)
