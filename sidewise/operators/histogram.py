@@ -11,13 +11,12 @@ from sidewise.functions.columns import col, comparison_class, histogram_supporte
 from sidewise.functions.times import epoch_micros
 from sidewise.plans.sides import BASE, IN_BASE, of_side, stack
 
-# Default bin count, spans in days above which bins are years and months, bins aimed at for years, and
-# the first year that is no longer told apart.
+# Default bin count, spans in days above which bins are years and months, and bins aimed at for years.
 NUM_BINS = 50
 YEARLY_ABOVE_DAYS = 365 * 4
 MONTHLY_ABOVE_DAYS = 60
 YEARLY_BINS = 50
-LAST_YEAR = 3000
+NON_FINITE = ("base_non_finite", "curr_non_finite")
 
 
 def column_bounds(base: DataFrame, current: DataFrame, column: str) -> DataFrame:
@@ -29,9 +28,10 @@ def column_bounds(base: DataFrame, current: DataFrame, column: str) -> DataFrame
 def histogram_diff(base: DataFrame, current: DataFrame, column: str, num_bins: int = NUM_BINS) -> DataFrame:
     """Rows of both sides per bin, empty bins included.
 
-    ``bin, bin_start, bin_end, label, base_count, curr_count, base_total, curr_total``; integers get integer-wide bins,
-    other numbers ``num_bins`` equal ones, dates and timestamps whole years, months or days depending on their span.
-    The last bin includes its end. Without any value there are no bins.
+    ``bin, bin_start, bin_end, label, base_count, curr_count, base_total, curr_total, base_non_finite, curr_non_finite``;
+    integers get integer-wide bins, other numbers ``num_bins`` equal ones, dates and timestamps whole years, months or days
+    depending on their span. The last bin includes its end. NaN and infinities lie in no bin; the totals hold them and the
+    last two columns count them. Without any finite value there are no bins.
     """
     if num_bins < 1:
         raise ComparisonError("num_bins must be positive")
@@ -89,15 +89,13 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
         F.year(high).alias("last_year"),
         F.month(high).alias("last_month"),
         F.date_diff(high.cast("date"), low.cast("date")).alias("last_day"),
-        F.date_diff(F.lit(f"{LAST_YEAR}-01-01").cast("date"), low.cast("date")).alias("days_left"),
         low.cast("date").cast("string").alias("first_date"),
         *_totals(),
     ).first()
     if row["days"] is None:
         return _empty(values, "date")
     first_year, first_month = row["first_year"], row["first_month"]
-    within = row["last_year"] < LAST_YEAR
-    end_year = row["last_year"] + 1 if within else max(LAST_YEAR, first_year + 1)
+    end_year = row["last_year"] + 1
     days = math.floor(row["days"])
     if days > YEARLY_ABOVE_DAYS:
         years = math.ceil((end_year - first_year) / YEARLY_BINS)
@@ -105,12 +103,11 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
         index = F.floor((F.year(value) - F.lit(first_year)) / F.lit(years))
         origin, months, step_days = f"{first_year:04d}-01-01", 12 * years, 0
     elif days > MONTHLY_ABOVE_DAYS:
-        last = (row["last_year"], row["last_month"] + 1) if within else (end_year, 1)
-        bins = max((last[0] - first_year) * 12 + last[1] - first_month, 1)
+        bins = (row["last_year"] - first_year) * 12 + row["last_month"] + 1 - first_month
         index = (F.year(value) - F.lit(first_year)) * 12 + F.month(value) - F.lit(first_month)
         origin, months, step_days = f"{first_year:04d}-{first_month:02d}-01", 1, 0
     else:
-        bins = max(row["last_day"] + 1 if within else row["days_left"], 1)
+        bins = row["last_day"] + 1
         origin, months, step_days = row["first_date"], 0, 1
         index = F.date_diff(value.cast("date"), F.lit(origin).cast("date"))
 
@@ -125,15 +122,22 @@ def _calendar_histogram(values: DataFrame, dtype: T.DataType) -> DataFrame:
 
 def _totals() -> list[Column]:
     """Non-NULL rows of either side."""
+    return _of_sides(F.col("value").isNotNull(), "total")
+
+
+def _of_sides(condition: Column, name: str) -> list[Column]:
     in_base = of_side(BASE)
     return [
-        F.count(F.when(in_base, F.col("value"))).alias("base_total"),
-        F.count(F.when(~in_base, F.col("value"))).alias("curr_total"),
+        F.count_if(in_base & condition).alias(f"base_{name}"),
+        F.count_if(~in_base & condition).alias(f"curr_{name}"),
     ]
 
 
 def _range(values: DataFrame, value: Column) -> tuple:
-    row = values.agg(F.min(value).alias("low"), F.max(value).alias("high"), *_totals()).first()
+    non_finite = F.col("value").isNotNull() & value.isNull()
+    row = values.agg(
+        F.min(value).alias("low"), F.max(value).alias("high"), *_totals(), *_of_sides(non_finite, "non_finite")
+    ).first()
     return row["low"], row["high"], row
 
 
@@ -165,6 +169,7 @@ def _counted(
         F.coalesce("curr_count", F.lit(0)).alias("curr_count"),
         F.lit(totals["base_total"]).cast("long").alias("base_total"),
         F.lit(totals["curr_total"]).cast("long").alias("curr_total"),
+        *[F.lit(totals[name] if name in totals else 0).cast("long").alias(name) for name in NON_FINITE],
     )
 
 
@@ -172,5 +177,5 @@ def _empty(values: DataFrame, edge_type: str) -> DataFrame:
     return values.sparkSession.createDataFrame(
         [],
         f"bin long, bin_start {edge_type}, bin_end {edge_type}, label string, base_count long, curr_count long, "
-        "base_total long, curr_total long",
+        "base_total long, curr_total long, base_non_finite long, curr_non_finite long",
     )

@@ -16,13 +16,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sidewise.functions.columns import col
 from sidewise.functions.labels import normalize_category
 from sidewise.plans.closure import CHILD, DEGREE, DOWN, PARENT, UP, VERTEX, closure, closure_both_ways, closures
+from sidewise.plans.limits import Limited, first
 from sidewise.plans.sides import BASE, CURRENT
 
 # Categories whose changes reach every reader of a node, with and without column lineage.
 PROPAGATING = ("breaking", "unknown")
 PROPAGATING_NODE_ONLY = ("breaking", "partial_breaking", "unknown")
-# Fixed value: nodes a lineage view holds.
-VIEW_LIMIT = 300
 
 
 def of_env(side: str) -> Column:
@@ -283,13 +282,8 @@ def inferred_primary_key(columns: DataFrame, node_tests: DataFrame) -> DataFrame
     return flagged.groupBy("env", "node_id").agg(F.min_by("column_name", "ordinal").alias("primary_key"))
 
 
-def lineage_view(nodes: DataFrame, impacted: DataFrame, limit: int = VIEW_LIMIT) -> DataFrame:
-    """The first ``limit`` merged nodes, changed or impacted ones first, then by id."""
+def lineage_view(nodes: DataFrame, impacted: DataFrame, limit: int | None) -> Limited:
+    """The first ``limit`` merged nodes, changed or impacted ones first, then by id, with how many there are in all."""
     flagged = nodes.join(impacted.select("node_id", F.lit(True).alias("__hit")).distinct(), "node_id", "left")
     priority = F.when(F.col("change_status").isNotNull() | F.col("__hit"), 0).otherwise(1)
-    return (
-        flagged.withColumn("priority", priority)
-        .orderBy("priority", "node_id")
-        .limit(limit)
-        .drop("__hit")
-    )
+    return first(flagged.withColumn("priority", priority).drop("__hit"), [F.col("priority"), F.col("node_id")], limit)

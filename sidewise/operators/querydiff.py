@@ -11,29 +11,37 @@ from pyspark.sql import DataFrame, functions as F
 from sidewise.errors import ComparisonError
 from sidewise.functions.columns import key_columns, quote
 from sidewise.operators.rowdiff import row_diff, row_diff_positional
-from sidewise.operators.valuediff import first_rows, one_sided_rows
+from sidewise.operators.valuediff import one_sided_rows, report_order
+from sidewise.plans.limits import Limited, first
 from sidewise.plans.sides import BASE, CURRENT
+from sidewise.plans.storage import cut
 from sidewise.sources.environments import EnvPair
 
-# Fixed value: rows a query shows.
-QUERY_LIMIT = 2000
-
 
 @dataclass(frozen=True)
 class QueryResult:
-    """The first rows of a query. ``more`` tells whether it has further ones, ``total`` how many in all."""
+    """Rows of a query. ``more`` tells whether it has further ones, ``total`` how many in all if that was asked for."""
 
     rows: DataFrame
-    limit: int
+    limit: int | None
     more: bool
     total: int | None = None
 
 
-def run_query(env: EnvPair, sql: str, side: str = CURRENT, limit: int = QUERY_LIMIT, count: bool = False) -> QueryResult:
-    """Run ``sql`` on one side and keep its first ``limit`` rows; one more row is fetched to learn whether there are more."""
+def run_query(env: EnvPair, sql: str, limit: int | None, side: str = CURRENT, count: bool = False) -> QueryResult:
+    """Run ``sql`` on one side and keep its first ``limit`` rows (all with None).
+
+    One row more is fetched and stored, from which both the rows and ``more`` are taken; only ``count`` runs the query again.
+    """
     result = env.sql(sql, side)
-    more = result.limit(limit + 1).count() > limit
-    return QueryResult(result.limit(limit), limit, more, query_row_count(env, sql, side) if count else None)
+    total = query_row_count(env, sql, side) if count else None
+    if limit is None:
+        return QueryResult(result, None, False, total)
+    names = result.columns
+    placed = result.limit(limit + 1).toDF(*[f"c{i}" for i in range(len(names))])
+    head = cut(placed.withColumn("place", F.monotonically_increasing_id()), "query")
+    more = head.count() > limit
+    return QueryResult(head.orderBy("place").limit(limit).drop("place").toDF(*names), limit, more, total)
 
 
 def query_row_count(env: EnvPair, sql: str, side: str = CURRENT) -> int | None:
@@ -62,19 +70,29 @@ def query_diff(
     sql: str,
     base_sql: str | None = None,
     pk: str | Sequence[str] | None = None,
-    limit: int | None = QUERY_LIMIT,
     current_model: str | None = None,
 ) -> DataFrame:
-    """Distinct rows of either result that the other lacks, flagged ``in_a``/``in_b`` and ordered by ``pk``."""
+    """Distinct rows of either result that the other lacks, flagged ``in_a``/``in_b``, in no order."""
     base, current = query_pair(env, sql, base_sql, current_model)
     if not pk:
         raise ComparisonError("Name the key columns, or use query_diff_side_by_side with a row order")
-    keys = key_columns(current, pk)
-    shared = [c for c in base.columns if c in current.columns]
+    key_columns(current, pk)
     if set(base.columns) != set(current.columns):
         raise ComparisonError(f"The results differ in their columns: {base.columns} and {current.columns}")
-    rows = one_sided_rows(base, current, shared)
-    return rows if limit is None else first_rows(rows, keys, limit)
+    return one_sided_rows(base, current, [c for c in base.columns if c in current.columns])
+
+
+def query_diff_report(
+    env: EnvPair,
+    sql: str,
+    pk: str | Sequence[str],
+    limit: int | None,
+    base_sql: str | None = None,
+    current_model: str | None = None,
+) -> Limited:
+    """The first ``limit`` differing rows by key, base before current, with their total."""
+    rows = query_diff(env, sql, base_sql, pk, current_model)
+    return first(rows, report_order(rows, key_columns(rows, pk)), limit)
 
 
 def query_diff_side_by_side(
@@ -93,7 +111,7 @@ def query_diff_side_by_side(
     return row_diff_positional(base, current, order_by or [], changed_only)
 
 
-def query_totals(env: EnvPair, sql: str, base_sql: str | None = None, limit: int = QUERY_LIMIT) -> DataFrame:
+def query_totals(env: EnvPair, sql: str, limit: int, base_sql: str | None = None) -> DataFrame:
     """Total rows of both results and whether they exceed ``limit``: ``side, total_row_count, more``."""
     base, current = query_pair(env, sql, base_sql)
     counts = [

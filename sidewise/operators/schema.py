@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sidewise.functions.columns import merge_columns, table_columns
 from sidewise.operators.lineage import of_env
+from sidewise.plans.limits import Limited, first
 from sidewise.plans.sides import BASE, CURRENT
 
-# Rows and unchecked nodes a report holds, and node kinds that never have catalogued columns.
-SCHEMA_DIFF_LIMIT = 100
-UNCHECKED_LIMIT = 50
 NON_RELATION_TYPES = ("exposure", "metric", "semantic_model", "saved_query")
 
 
@@ -60,10 +58,9 @@ def schema_diff(columns: DataFrame) -> DataFrame:
     )
 
 
-def schema_diff_report(columns: DataFrame, limit: int = SCHEMA_DIFF_LIMIT) -> tuple[DataFrame, bool]:
-    """The first ``limit`` schema changes by node and column, and whether there are more."""
-    changes = schema_diff(columns)
-    return changes.orderBy("node_id", "column_name").limit(limit), changes.limit(limit + 1).count() > limit
+def schema_diff_report(columns: DataFrame, limit: int | None) -> Limited:
+    """The first ``limit`` schema changes by node and column, their total, and whether there are more."""
+    return first(schema_diff(columns), [F.col("node_id"), F.col("column_name")], limit)
 
 
 def schema_diff_ordered(columns: DataFrame) -> DataFrame:
@@ -126,17 +123,20 @@ def unchecked_nodes(nodes: DataFrame, columns: DataFrame) -> DataFrame:
     return expected.join(_comparable_nodes(columns), "node_id", "left_anti")
 
 
-def schema_coverage(nodes: DataFrame, columns: DataFrame) -> DataFrame:
-    """One row: ``status`` complete or partial, the first unchecked nodes by id, how many there are, and whether more."""
+def schema_coverage(nodes: DataFrame, columns: DataFrame, limit: int) -> DataFrame:
+    """One row: ``status`` complete or partial, the first ``limit`` unchecked nodes by id, how many there are, and whether more.
+
+    ``unchecked_nodes`` has all their names.
+    """
     unchecked = unchecked_nodes(nodes, columns)
-    listed = unchecked.orderBy("node_id").limit(UNCHECKED_LIMIT)
+    listed = unchecked.orderBy("node_id").limit(limit)
     names = listed.agg(F.array_sort(F.collect_list("node_id")).alias("names")).scalar()
     count = F.col("unchecked_node_count")
     return unchecked.agg(F.count(F.lit(1)).alias("unchecked_node_count")).select(
         F.when(count > 0, "partial").otherwise("complete").alias("status"),
         names.alias("unchecked_nodes"),
         "unchecked_node_count",
-        (count > UNCHECKED_LIMIT).alias("more"),
+        (count > limit).alias("more"),
     )
 
 

@@ -10,6 +10,7 @@ from sidewise.errors import DuplicateKeyError
 from sidewise.functions.columns import col, common_columns, key_columns, type_family
 from sidewise.functions.compare import any_changed, comparable, same_value
 from sidewise.plans.keys import KeyFacts, add_up, key_facts, keyed, pair_counts, require_unique, split_repeated, unkeyed
+from sidewise.plans.limits import Limited, first
 from sidewise.plans.sides import (
     BASE,
     CURRENT,
@@ -34,9 +35,6 @@ NULL_BASE = "value is null in a only"
 NULL_CURRENT = "value is null in b only"
 MISMATCH = "values do not match"
 
-# Fixed value: rows shown by the detail report.
-DETAIL_LIMIT = 1000
-
 
 def duplicate_keys(df: DataFrame, pk: str | Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their row count. A key of one column may repeat its NULL."""
@@ -153,20 +151,31 @@ def value_diff_detail(
     current: DataFrame,
     pk: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    limit: int | None = DETAIL_LIMIT,
     multiset: bool = False,
     check_key: bool = True,
 ) -> DataFrame:
-    """Distinct rows found on one side only, flagged ``in_a`` (base) or ``in_b`` (current), ordered by key.
+    """Distinct rows found on one side only, flagged ``in_a`` (base) or ``in_b`` (current), in no order.
 
-    ``multiset=True`` counts copies too: a row held three times in base and once in current comes out twice. With
-    ``limit=None`` all rows come back, unordered.
+    ``multiset=True`` counts copies too: a row held three times in base and once in current comes out twice. Rows are
+    grouped, never joined, so the key need not be unique; ``check_key`` raises an error when it is not.
     """
     keys = key_columns(base, pk)
     if check_key:
         require_unique(base, current, keys, ignore_null=isinstance(pk, str))
-    rows = one_sided_rows(base, current, common_columns(base, current, keys, columns), multiset)
-    return rows if limit is None else first_rows(rows, keys, limit)
+    return one_sided_rows(base, current, common_columns(base, current, keys, columns), multiset)
+
+
+def value_diff_detail_report(
+    base: DataFrame,
+    current: DataFrame,
+    pk: str | Sequence[str],
+    limit: int | None,
+    columns: Sequence[str] | None = None,
+    multiset: bool = False,
+) -> Limited:
+    """The first ``limit`` rows of the detail by key, their total, and whether there are more."""
+    rows = value_diff_detail(base, current, pk, columns, multiset)
+    return first(rows, report_order(rows, key_columns(base, pk)), limit)
 
 
 def one_sided_rows(base: DataFrame, current: DataFrame, columns: Sequence[str], multiset: bool = False) -> DataFrame:
@@ -197,13 +206,12 @@ def one_sided_rows(base: DataFrame, current: DataFrame, columns: Sequence[str],
     )
 
 
-def first_rows(rows: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+def report_order(rows: DataFrame, keys: Sequence[str]) -> list[Column]:
     """The report order: key columns, then base before current; remaining columns settle ties."""
     rest = [c for c in rows.columns if c not in keys and c not in ("in_a", "in_b")]
     sortable = [c for c in rest if rows.schema[c].dataType.typeName() != "map"]
     order = [col(k).asc_nulls_last() for k in keys]
-    order += [F.col("in_a").desc(), F.col("in_b").desc()] + [col(c).asc_nulls_last() for c in sortable]
-    return rows.orderBy(*order).limit(limit)
+    return order + [F.col("in_a").desc(), F.col("in_b").desc()] + [col(c).asc_nulls_last() for c in sortable]
 
 
 def impact_value_diff(

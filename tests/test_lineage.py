@@ -170,7 +170,8 @@ def test_reordering_matches_the_merged_list(spark):
 def test_schema_diff(spark):
     columns = columns_table(spark, [[("a", "int"), ("b", "int")], [("a", "int")]], [[("b", "long"), ("c", "int")]])
     assert {tuple(r) for r in S.schema_diff(columns).collect()} == {("n0", "a", "removed"), ("n0", "b", "modified"), ("n0", "c", "added")}
-    rows, more = S.schema_diff_report(columns, limit=2)
+    report = S.schema_diff_report(columns, limit=2)
+    rows, more = report.rows, report.more
     assert rows.count() == 2 and more
     assert {r["node_id"]: r["schema_changed"] for r in S.schema_changed(columns).collect()} == {"n0": True, "n1": None}
 
@@ -179,8 +180,8 @@ def test_schema_coverage(spark):
     nodes = [(e, n, k, m) for e in ("base", "current") for n, k, m in (("n0", "model", "table"), ("n1", "model", "table"), ("e", "exposure", None), ("inl", "model", "ephemeral"))]
     nodes = spark.createDataFrame([*nodes, ("current", "new", "model", "table")], "env string, node_id string, resource_type string, materialized string")
     columns = columns_table(spark, [[("a", "int")], [("a", "int")]], [[("a", "int")]])
-    assert tuple(S.schema_coverage(nodes, columns).first()) == ("partial", ["n1"], 1, False)
-    assert S.schema_coverage(nodes.filter("node_id <> 'n1'"), columns).first()["status"] == "complete"
+    assert tuple(S.schema_coverage(nodes, columns, 50).first()) == ("partial", ["n1"], 1, False)
+    assert S.schema_coverage(nodes.filter("node_id <> 'n1'"), columns, 50).first()["status"] == "complete"
 
 
 def test_constraints_and_key(spark):

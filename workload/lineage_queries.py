@@ -275,14 +275,15 @@ def inferred_primary_key_rows(spark, folder):
     """, merged as (select n.node_id, d.change_status from (select distinct node_id from nodes_t) n
         left join lineage_diff_t d on n.node_id = d.node_id)
     select node_id, change_status, case when change_status is not null or node_id in (select child_id from edges_t where parent_id = 'nation.3')
-        then 0 else 1 end as priority from merged order by priority, node_id limit 300""",
+        then 0 else 1 end as priority, (select count(*) from merged) as total, (select count(*) from merged) > 300 as more
+    from merged order by priority, node_id limit 300""",
     "nodes_t lineage_diff_t edges_t",
 )
 def lineage_view_rows(spark, folder):
     nodes, edges = derived(spark, folder, "nodes_t", "edges_t")
     below = edges.filter("parent_id = 'nation.3'").select(F.col("child_id").alias("node_id"))
-    view = lineage.lineage_view(lineage.merged_nodes(nodes), below)
-    return view.select("node_id", "change_status", "priority")
+    view = lineage.lineage_view(lineage.merged_nodes(nodes), below, 300).flagged()
+    return view.select("node_id", "change_status", "priority", "total", "more")
 
 
 # Selection
@@ -348,9 +349,13 @@ def schema_diff_rows(spark, folder):
     return schema.schema_diff(*derived(spark, folder, "columns_t"))
 
 
-@query(f", {_BOTH}, {_PAIRS} {_SCHEMA_CHANGES} order by node_id, column_name limit 100", "columns_t")
+@query(
+    f", {_BOTH}, {_PAIRS}, all_t as ({_SCHEMA_CHANGES}) select *, (select count(*) from all_t) as total, (select count(*) from all_t) > 100 as more "
+    "from all_t order by node_id, column_name limit 100",
+    "columns_t",
+)
 def schema_diff_report_rows(spark, folder):
-    return schema.schema_diff_report(*derived(spark, folder, "columns_t"))[0]
+    return schema.schema_diff_report(*derived(spark, folder, "columns_t"), 100).flagged()
 
 
 # Reordering as the running maximum of base positions along the merged order of both lists.
@@ -398,7 +403,7 @@ def schema_unchecked_nodes(spark, folder):
     "nodes_t columns_t",
 )
 def schema_coverage_row(spark, folder):
-    coverage = schema.schema_coverage(*derived(spark, folder, "nodes_t", "columns_t"))
+    coverage = schema.schema_coverage(*derived(spark, folder, "nodes_t", "columns_t"), 50)
     return coverage.withColumn("unchecked_nodes", F.concat_ws(",", "unchecked_nodes"))
 
 
@@ -525,11 +530,11 @@ def impact_analysis_tables(spark, folder):
 def is_changed_kinds(spark, folder):
     env = environments(spark, folder)
     orders = pair(spark, folder, "orders")
-    regions = query_diff(env, "select distinct r_name from region", pk="r_name", limit=None)
+    regions = query_diff(env, "select distinct r_name from region", pk="r_name")
     diffs = {
         "row_count_diff": rowcount.row_count_diff(env, NAMES),
         "value_diff": valuediff.value_diff(*orders, "o_orderkey"),
-        "value_diff_detail": valuediff.value_diff_detail(*orders, "o_orderkey", limit=None),
+        "value_diff_detail": valuediff.value_diff_detail(*orders, "o_orderkey"),
         "profile_diff": profile.profile_diff(*orders, columns=["o_orderstatus"]),
         "top_k_diff": topk.top_k_diff(*orders, "o_orderpriority"),
         "histogram_diff": histogram.histogram_diff(*orders, "o_totalprice"),

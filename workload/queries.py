@@ -25,7 +25,7 @@ def query(sql: str | None = None, tables: str = ""):
     def register(fn: Query) -> Query:
         QUERIES[fn.__name__] = fn
         if sql is not None:
-            ORACLE[fn.__name__] = (with_tables(*tables.split()) + "\n" if tables else "") + sql
+            ORACLE[fn.__name__] = with_tables(sql, *tables.split()) if tables else sql
         return fn
 
     return register
@@ -100,7 +100,14 @@ TOP_PRICES = "select o_orderkey, o_totalprice from orders order by o_totalprice
 
 @query(f"select * from ({TOP_PRICES}) limit 2000")
 def run_query_orders(spark, folder):
-    return querydiff.run_query(environments(spark, folder), TOP_PRICES, "base").rows
+    return querydiff.run_query(environments(spark, folder), TOP_PRICES, 2000, "base").rows
+
+
+@query(f"""select *, (select count(*) from orders) > 100 as more, (select count(*) from orders) as total
+    from ({TOP_PRICES}) limit 100""")
+def run_query_more(spark, folder):
+    result = querydiff.run_query(environments(spark, folder), TOP_PRICES, 100, "base", count=True)
+    return result.rows.withColumns({"more": F.lit(result.more), "total": F.lit(result.total).cast("long")})
 
 
 @query(
@@ -110,7 +117,7 @@ def run_query_orders(spark, folder):
     "cur_orders",
 )
 def query_totals_orders(spark, folder):
-    return querydiff.query_totals(environments(spark, folder), "select distinct o_custkey from orders")
+    return querydiff.query_totals(environments(spark, folder), "select distinct o_custkey from orders", 2000)
 
 
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from cur_customer", "cur_customer")
@@ -120,6 +127,13 @@ def export_rows_customer(spark, folder):
     return spark.read.option("sep", "\t").option("header", True).schema(df.schema).csv(path)
 
 
+@query("select * from cur_lineitem", "cur_lineitem")
+def export_rows_lineitem(spark, folder):
+    df = environments(spark, folder).table("lineitem", "current")
+    path = export_rows(df, shared_path(spark, "export"), "csv")
+    return spark.read.option("header", True).schema(df.schema).csv(path)
+
+
 @query(
     """select coalesce(b.n, c.n) as row_number, b.c_custkey as base__c_custkey, b.c_name as base__c_name,
            c.c_custkey as current__c_custkey, c.c_name as current__c_name
@@ -195,15 +209,16 @@ def _detail_sql(base: str, current: str, kind: str = "") -> str:
 
 @query(_detail_sql("orders", "cur_orders"), "cur_orders")
 def value_diff_detail_orders(spark, folder):
-    return valuediff.value_diff_detail(*pair(spark, folder, "orders"), "o_orderkey", limit=None)
+    return valuediff.value_diff_detail(*pair(spark, folder, "orders"), "o_orderkey")
 
 
 @query(
-    f"select * from ({_detail_sql('orders', 'cur_orders')}) order by o_orderkey, in_a desc, in_b desc limit 1000",
+    f""", d as ({_detail_sql('orders', 'cur_orders')}) select *, (select count(*) from d) as total, (select count(*) from d) > 1000 as more
+    from d order by o_orderkey, in_a desc, in_b desc limit 1000""",
     "cur_orders",
 )
 def value_diff_detail_report_orders(spark, folder):
-    return valuediff.value_diff_detail(*pair(spark, folder, "orders"), "o_orderkey")
+    return valuediff.value_diff_detail_report(*pair(spark, folder, "orders"), "o_orderkey", 1000).flagged()
 
 
 @query(
@@ -213,7 +228,7 @@ def value_diff_detail_report_orders(spark, folder):
 )
 def value_diff_detail_multiset_lineitem(spark, folder):
     base, current = (df.select("l_partkey", "l_quantity", "l_returnflag") for df in pair(spark, folder, "lineitem"))
-    return valuediff.value_diff_detail(base, current, "l_partkey", limit=None, multiset=True, check_key=False)
+    return valuediff.value_diff_detail(base, current, "l_partkey", multiset=True, check_key=False)
 
 
 @query(
@@ -498,7 +513,7 @@ BY_PRIORITY = """select o_orderpriority, o_custkey % 10 as bucket, count(*) as n
     "cur_orders",
 )
 def query_diff_priority(spark, folder):
-    return querydiff.query_diff(environments(spark, folder), BY_PRIORITY, pk=["o_orderpriority", "bucket"], limit=None)
+    return querydiff.query_diff(environments(spark, folder), BY_PRIORITY, pk=["o_orderpriority", "bucket"])
 
 
 @query(
@@ -517,7 +532,7 @@ PREVIEW = "select c_custkey, c_name, c_nationkey, round(c_acctbal, 0) as c_acctb
 @query(f", p0 as ({PREVIEW.replace('from customer', 'from cur_customer')})\n{_detail_sql('cur_customer', 'p0')}", "cur_customer")
 def query_diff_preview_customer(spark, folder):
     env = environments(spark, folder)
-    return querydiff.query_diff(env, PREVIEW, pk="c_custkey", limit=None, current_model="customer")
+    return querydiff.query_diff(env, PREVIEW, pk="c_custkey", current_model="customer")
 
 
 # Profiles
@@ -700,17 +715,20 @@ def _bounds_sql(base: str, current: str, value: str) -> str:
         from (select 'base' as side, {value} as v from {base} union all select 'curr', {value} from {current}) a"""
 
 
-def _binned_sql(base: str, current: str, value: str, bins: str, index: str, start: str, end: str) -> str:
+def _binned_sql(
+    base: str, current: str, value: str, bins: str, index: str, start: str, end: str, labelled: bool = True
+) -> str:
     """Histogram text over the one-row table ``m`` of bounds; ``index`` is the bin of ``v``."""
 
     def counted(table: str) -> str:
         return f"""select least(cast({index} as bigint), {bins} - 1) as bin, count(*) as n
             from (select {value} as v from {table}) x, m where v is not null group by 1"""
 
+    label = f", concat(cast({start} as varchar), '-', cast({end} as varchar)) as label" if labelled else ""
     return f""", m as ({_bounds_sql(base, current, value)}), bb as ({counted(base)}), cc as ({counted(current)}),
     every as (select unnest(generate_series(0, (select cast({bins} as bigint) - 1 from m))) as bin)
     select cast(e.bin as bigint) as bin, {start} as bin_start, {end} as bin_end, coalesce(bb.n, 0) as base_count,
-        coalesce(cc.n, 0) as curr_count, m.base_total, m.curr_total
+        coalesce(cc.n, 0) as curr_count, m.base_total, m.curr_total{label}
     from every e cross join m left join bb on bb.bin = e.bin left join cc on cc.bin = e.bin"""
 
 
@@ -726,8 +744,9 @@ def _integer_sql(base: str, current: str, column: str) -> str:
 
 
 def _histogram(df: DataFrame, digits: int | None = None) -> DataFrame:
-    df = df.drop("label")
-    return df if digits is None else _rounded(df, digits, "bin_start", "bin_end")
+    """Without the counts of non-finite values, which have an entry of their own; rounded edges have no label."""
+    df = df.drop(*histogram.NON_FINITE)
+    return df if digits is None else _rounded(df.drop("label"), digits, "bin_start", "bin_end")
 
 
 @query(
@@ -759,6 +778,7 @@ def histogram_diff_wide_integer(spark, folder):
         "floor((v - lo) / ((hi - lo) / 50))",
         "round(lo + e.bin * ((hi - lo) / 50), 6)",
         "round(lo + e.bin * ((hi - lo) / 50) + (hi - lo) / 50, 6)",
+        labelled=False,
     ),
     "cur_orders",
 )
@@ -803,6 +823,48 @@ def histogram_diff_monthly(spark, folder):
     return _histogram(histogram.histogram_diff(env.sql(sql, "base"), env.sql(sql, "current"), "due"))
 
 
+FAR = "select o_orderkey, cast(make_date(cast(1990 + o_custkey % 1200 as integer), 6, 1) as date) as far from {orders}"
+
+
+@query(
+    f", b0 as ({FAR.format(orders='orders')}), c0 as ({FAR.format(orders='cur_orders')})"
+    + _binned_sql(
+        "b0",
+        "c0",
+        "far",
+        "cast(ceil((year(hi) - year(lo) + 1) / ceil((year(hi) - year(lo) + 1) / 50.0)) as bigint)",
+        "floor((year(v) - year(lo)) / ceil((year(hi) - year(lo) + 1) / 50.0))",
+        "cast(make_date(cast(year(lo) + e.bin * ceil((year(hi) - year(lo) + 1) / 50.0) as bigint), 1, 1) as date)",
+        "cast(make_date(cast(year(lo) + (e.bin + 1) * ceil((year(hi) - year(lo) + 1) / 50.0) as bigint), 1, 1) as date)",
+    ),
+    "cur_orders",
+)
+def histogram_diff_far_years(spark, folder):
+    env = environments(spark, folder)
+    sql = FAR.format(orders="orders")
+    return _histogram(histogram.histogram_diff(env.sql(sql, "base"), env.sql(sql, "current"), "far"))
+
+
+NON_FINITE = """select l_orderkey, case when l_linenumber = 7 then cast('NaN' as double)
+    when l_linenumber = 6 then cast('-Infinity' as double) else cast(l_linenumber as double) end as v from {lineitem}"""
+
+
+@query(
+    f""", b0 as ({NON_FINITE.format(lineitem='lineitem')}), c0 as ({NON_FINITE.format(lineitem='cur_lineitem')}),
+    bf as (select * from b0 where isfinite(v)), cf as (select * from c0 where isfinite(v)){
+        _binned_sql("bf", "cf", "v", "4", "floor((v - lo) / ((hi - lo) / 4))", "lo + e.bin * ((hi - lo) / 4)",
+                    "lo + e.bin * ((hi - lo) / 4) + (hi - lo) / 4", labelled=False)
+        .replace("m.base_total, m.curr_total", "(select count(v) from b0) as base_total, (select count(v) from c0) as curr_total, "
+                 "(select count(v) from b0 where not isfinite(v)) as base_non_finite, (select count(v) from c0 where not isfinite(v)) as curr_non_finite")
+    }""",
+    "cur_lineitem",
+)
+def histogram_diff_non_finite(spark, folder):
+    env = environments(spark, folder)
+    sql = NON_FINITE.format(lineitem="lineitem")
+    return histogram.histogram_diff(env.sql(sql, "base"), env.sql(sql, "current"), "v", num_bins=4).drop("label")
+
+
 # Distributions
 
 NUMBERS = {"o_orderkey": "o_orderkey", "o_custkey": "o_custkey", "o_totalprice": "o_totalprice", "o_orderdate": "epoch(o_orderdate)"}

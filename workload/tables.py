@@ -6,6 +6,8 @@ every table take part: the remainders below only mark which rows were dropped, a
 
 from __future__ import annotations
 
+import re
+
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -272,8 +274,8 @@ def derived(spark: SparkSession, folder: str, *names: str) -> tuple[DataFrame, .
 
 
 @cache
-def with_tables(*names: str) -> str:
-    """The WITH clause defining the named derived tables and ``cur_*`` tables for the oracle."""
+def with_tables(sql: str, *names: str) -> str:
+    """``sql`` after a WITH clause that defines the named derived tables and ``cur_*`` tables for the oracle."""
     texts = {f"cur_{n}": sql for n, sql in CURRENT_SQL.items()} | lineage_sql()
     wanted: dict[str, None] = {}
 
@@ -285,7 +287,23 @@ def with_tables(*names: str) -> str:
 
     for name in names:
         need(name)
-    return "with recursive " + ",\n".join(f"{name} as ({texts[name]})" for name in wanted)
+    # A table that several others read is computed once.
+    shared = {name for name in wanted if sum(_mentions(texts[other], name) for other in wanted if other != name) > 1}
+    kind = lambda name: "as materialized" if name in shared else "as"
+    whole = ",\n".join(f"{n} {kind(n)} ({texts[n]})" for n in wanted) + f"\n{sql}"
+    return f"with {'recursive ' if _recurses(whole) else ''}{whole}"
+
+
+def _recurses(text: str) -> bool:
+    """Whether a table of a WITH clause reads itself."""
+    for match in re.finditer(r"(\w+)\s*(?:\([\w, ]*\))? as (?:materialized )?\(", text):
+        depth, end = 1, match.end()
+        while depth and end < len(text):
+            depth += {"(": 1, ")": -1}.get(text[end], 0)
+            end += 1
+        if re.search(rf"\b{match[1]}\b", text[match.end() : end]):
+            return True
+    return False
 
 
 def _mentions(text: str, name: str) -> bool:
