@@ -5,21 +5,34 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sidewise.functions.columns import key_columns, common_columns
+from sidewise.errors import ComparisonError
+from sidewise.functions.columns import common_columns, key_columns
 from sidewise.functions.labels import delta_pct_of_base
 from sidewise.operators.rowcount import row_count_diff
 from sidewise.operators.valuediff import impact_value_diff
 from sidewise.plans.keys import key_facts_many
+from sidewise.plans.storage import cut
 from sidewise.sources.environments import OK, EnvPair
 
 # A stable row count moves by at most this percentage, and a change ratio above this share is high.
 STABLE_ROW_COUNT_PCT = 5
 HIGH_CHANGE_RATIO = 0.2
 
+# Models whose values are compared in one plan.
+BATCH_MODELS = 16
+
+# Why a model deserves a closer look, as codes.
+SCHEMA_CHANGED = "schema_changed_without_values"
+CHANGED_UNCOMPARED = "changed_without_values"
+VIEW_DOWNSTREAM = "view_downstream_without_values"
+DOWNSTREAM_UNCOMPARED = "downstream_without_values"
+VALUES_SHIFTED = "many_values_changed_in_stable_rows"
+
 _VALUES = (
-    "name string, rows_added long, rows_removed long, rows_changed long, value_affected long, "
+    "name string, error string, rows_added long, rows_removed long, rows_changed long, value_affected long, "
     "value_columns array<struct<column:string,affected_row_count:bigint,base_mean:double,current_mean:double>>"
 )
 
@@ -37,10 +50,13 @@ def impact_analysis(
 
     ``models(node_id, name, change_status, materialized, primary_key)`` are the changed models (with their status) and
     those downstream (NULL status); ``schema_changes(node_id, column_name, change_status)``; ``unchecked(node_id)`` names
-    models whose schema could not be compared (their schema changes read NULL). The list of models is read to plan their
-    comparisons; their rows never leave the executors.
+    models whose schema could not be compared (their schema changes read NULL). A model whose values cannot be compared,
+    because a key column is missing or its table cannot be opened, has an ``error`` text and counts as potential; the
+    others go on. The list of models is read to plan their comparisons, in batches that are stored one by one; their rows
+    never leave the executors.
     """
-    listed = models.select("node_id", "name", "change_status", "materialized", "primary_key").collect()
+    wanted = cut(models.select("node_id", "name", "change_status", "materialized", "primary_key"), "models")
+    listed = list(wanted.toLocalIterator())
     keys = {m["name"]: (primary_keys or {}).get(m["name"], m["primary_key"]) for m in listed}
     counted = [m["name"] for m in listed if m["change_status"] != "removed"]
     compared = []
@@ -82,17 +98,28 @@ def _without_counts(models: DataFrame) -> DataFrame:
 
 
 def _values(env: EnvPair, keys: Mapping[str, str | Sequence[str]]) -> DataFrame:
-    """Value changes of each model present on both sides, one row per model; all models in one plan."""
-    pairs = {}
+    """Value changes of each model present on both sides, or why they are unknown; one row per model."""
+    spark = env.base.spark
+    pairs, errors = {}, []
     for name, pk in keys.items():
-        sides = [env.side(side).resolve(name) for side in ("base", "current")]
-        if all(s.status == OK for s in sides):
-            base, current = (s.frame for s in sides)
-            names = key_columns(base, pk)
-            if set(common_columns(base, current, names)) - set(names):
-                pairs[name] = (base, current, names)
-    if not pairs:
-        return env.base.spark.createDataFrame([], _VALUES)
+        try:
+            sides = [env.side(side).resolve(name) for side in ("base", "current")]
+            if all(s.status == OK for s in sides):
+                base, current = (s.frame for s in sides)
+                names = key_columns(base, pk)
+                key_columns(current, pk)
+                if set(common_columns(base, current, names)) - set(names):
+                    pairs[name] = (base, current, names)
+        except (ComparisonError, PySparkException) as error:
+            errors.append((name, str(error).splitlines()[0]))
+    parts = [spark.createDataFrame(errors, "name string, error string")]
+    batches = [list(pairs)[i : i + BATCH_MODELS] for i in range(0, len(pairs), BATCH_MODELS)]
+    parts += [cut(_batch({name: pairs[name] for name in batch}), "impact") for batch in batches]
+    empty = spark.createDataFrame([], _VALUES)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, empty)
+
+
+def _batch(pairs: Mapping[str, tuple[DataFrame, DataFrame, list[str]]]) -> DataFrame:
     facts = dict(zip(pairs, key_facts_many(list(pairs.values()))))
     parts = []
     for name, (base, current, names) in pairs.items():
@@ -144,10 +171,30 @@ def _judged(models: DataFrame) -> DataFrame:
             "affected_row_count",
             "data_impact",
             "next_action",
+            "error",
         )
     )
 
 
+def impact_summary(found: DataFrame, all_models: DataFrame) -> DataFrame:
+    """One row over an impact analysis: how many of ``all_models(node_id)`` there are, how many are not impacted, confirmed,
+    without change, potential and failed, and the largest number of affected rows."""
+    impact = F.col("data_impact")
+    totals = found.agg(
+        F.count(F.lit(1)).alias("impacted_models"),
+        *[F.count_if(impact == kind).alias(kind) for kind in ("confirmed", "none", "potential")],
+        F.count("error").alias("failed"),
+        F.max("affected_row_count").alias("largest_affected_row_count"),
+    )
+    others = unaffected_models(found, all_models).agg(F.count(F.lit(1)).alias("n")).scalar()
+    return totals.withColumn("not_impacted_models", others)
+
+
+def unaffected_models(found: DataFrame, all_models: DataFrame) -> DataFrame:
+    """The models of ``all_models(node_id)`` that the analysis does not list."""
+    return all_models.select("node_id").distinct().join(found.select("node_id"), "node_id", "left_anti")
+
+
 def _next_action() -> Column:
     own = F.coalesce(F.col("change_status").isin("modified", "added"), F.lit(False))
     downstream = F.col("change_status").isNull()
@@ -174,24 +221,24 @@ def _next_action() -> Column:
             potential & schema_moved,
             action(
                 schema_columns,
-                "schema changed, value_diff unavailable",
+                SCHEMA_CHANGED,
                 F.when(own, F.lit("high")).otherwise(F.lit("medium")),
             ),
         )
         .when(
             potential & own,
-            action(none, "modified model, value_diff unavailable (view or no PK)", F.lit("high")),
+            action(none, CHANGED_UNCOMPARED, F.lit("high")),
         )
         .when(
             potential & downstream & (F.col("materialized") == "view"),
-            action(none, "downstream view, value_diff skipped", F.lit("low")),
+            action(none, VIEW_DOWNSTREAM, F.lit("low")),
         )
-        .when(potential & downstream, action(none, "downstream model, value_diff skipped", F.lit("medium")))
+        .when(potential & downstream, action(none, DOWNSTREAM_UNCOMPARED, F.lit("medium")))
         .when(
             (F.col("data_impact") == "confirmed") & stable & F.coalesce(high_ratio, F.lit(False)),
             action(
                 F.when(F.size(touched) > 0, touched),
-                "high change ratio with stable row count — investigate value shifts",
+                VALUES_SHIFTED,
                 F.lit("medium"),
             ),
         )

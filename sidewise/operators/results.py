@@ -38,9 +38,20 @@ CHANGE_RULES = {
 }
 
 
-def is_changed(diff: DataFrame, kind: str) -> DataFrame:
-    """One row, ``is_changed``: whether a comparison found any difference."""
-    return diff.agg(F.coalesce(F.bool_or(_rule(kind)), F.lit(False)).alias("is_changed"))
+def is_changed(diff: DataFrame, kind: str, totals: DataFrame | None = None) -> DataFrame:
+    """One row, ``is_changed``: whether a comparison found any difference.
+
+    A top-k or histogram result may have no rows (no category, no finite value) although its sides differ in their rows;
+    ``totals``, the result of ``column_totals`` or ``column_bounds``, then decides as well.
+    """
+    verdict = diff.agg(F.coalesce(F.bool_or(_rule(kind)), F.lit(False)).alias("is_changed"))
+    if totals is None:
+        return verdict
+    if "side" in totals.columns:
+        differ = totals.agg((F.count_distinct(F.struct("total", "valids")) > 1).alias("is_changed"))
+    else:
+        differ = totals.select(_differs("base_total", "curr_total").alias("is_changed"))
+    return verdict.unionByName(differ).agg(F.bool_or("is_changed").alias("is_changed"))
 
 
 def changed_nodes(diff: DataFrame, kind: str, node: str = "name") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sidewise.operators import histogram, impact, lineage, profile, results, rowcount, schema, topk, valuediff
@@ -442,110 +444,148 @@ def schema_diff_frames_part(spark, folder):
 
 
 MODEL_KEYS = {
-    "orders": "o_orderkey",
-    "customer": "c_custkey",
-    "events": "event_id",
-    "lineitem": None,
-    "part": "p_partkey",
-    "supplier": "s_suppkey",
-}
-MODEL_COLUMNS = {
-    "orders": "o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-    "customer": "c_name c_nationkey c_acctbal c_mktsegment",
-    "events": "ts user_id event_type value props",
-    "part": "p_name p_brand p_size p_retailprice",
-}
-MODEL_STATUS = {"orders": "modified", "customer": "modified", "lineitem": None, "events": None, "part": "modified", "supplier": None}
-
-
-def _models(spark, folder):
-    """Changed tables and those reading them, with how their current version is stored; one row per table."""
+    "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey",
+    "orders": "o_orderkey", "lineitem": "l_partkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id",
+    "pages": "page_id", "benchmark": "no_such_column", "labels": "doc_id", "conversations": None,
+}
+# Changed tables; the others are downstream of them.
+MODEL_STATUS = {"orders": "modified", "customer": "modified", "part": "modified", "benchmark": "modified"}
+MODEL_VIEWS = ("supplier",)
+
+
+def _models(spark):
     rows = [
-        (f"model.{n}", n, MODEL_STATUS[n], "view" if n == "supplier" else "table", MODEL_KEYS[n]) for n in MODEL_KEYS
+        (f"model.{n}", n, MODEL_STATUS.get(n), "view" if n in MODEL_VIEWS else "table", MODEL_KEYS[n]) for n in MODEL_KEYS
     ]
     return spark.createDataFrame(
         rows, "node_id string, name string, change_status string, materialized string, primary_key string"
     )
 
 
+def _row_differs(name: str) -> str:
+    # The two versions of part have different columns; only the common ones are compared.
+    common = {"part": "p_name p_brand p_size p_retailprice".split()}.get(name)
+    return " or ".join(f"b.{c} is distinct from c.{c}" for c in common) if common else "b is distinct from c"
+
+
 def _model_sql(name: str) -> str:
-    key, columns = MODEL_KEYS[name], MODEL_COLUMNS.get(name)
-    if columns is None:
+    """Counts of a model: the pairs that a join by its key forms, and those of them with any other value changed."""
+    key = MODEL_KEYS[name]
+    if name in MODEL_VIEWS or key in (None, "no_such_column"):
         counts = "cast(null as bigint) as rows_added, cast(null as bigint) as rows_removed, cast(null as bigint) as rows_changed"
         source = "(select 1) one"
     else:
-        changed = " or ".join(f"b.{c} is distinct from c.{c}" for c in columns.split())
         counts = f"""count(case when b.{key} is null then 1 end) as rows_added, count(case when c.{key} is null then 1 end) as rows_removed,
-            count(case when b.{key} = c.{key} and ({changed}) then 1 end) as rows_changed"""
+            count(case when b.{key} = c.{key} and ({_row_differs(name)}) then 1 end) as rows_changed"""
         source = f"{name} b full outer join cur_{name} c on b.{key} = c.{key}"
     return f"""select '{name}' as name, (select count(*) from {name}) as base_rows, (select count(*) from cur_{name}) as current_rows,
-        {counts} from {source}"""
+        {'true' if key == 'no_such_column' else 'false'} as failed, {counts} from {source}"""
 
 
-@query(
-    f""", counted as ({" union all ".join(_model_sql(n) for n in MODEL_KEYS)})
-    select name, base_rows, current_rows, current_rows - base_rows as delta,
-        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) + 0 as delta_pct, rows_added, rows_removed, rows_changed,
-        rows_added + rows_removed + rows_changed as affected_row_count,
+_IMPACT_SQL = f""", counted as ({" union all ".join(_model_sql(n) for n in MODEL_KEYS)}),
+    found as (select *, rows_added + rows_removed + rows_changed as affected_row_count,
         case when rows_added is null then 'potential' when rows_added + rows_removed + rows_changed > 0 then 'confirmed' else 'none' end as data_impact,
-        case when name = 'supplier' then 'low' when name = 'lineitem' then 'medium'
-             when abs(round(cast(current_rows - base_rows as double) / base_rows * 100, 1)) <= 5
-                  and rows_changed / cast(current_rows - rows_added as double) > 0.2 then 'medium' end as priority
-    from counted""",
+        case when name in ({", ".join(f"'{n}'" for n in MODEL_STATUS)}) then 'modified' end as change_status,
+        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) + 0 as delta_pct from counted)"""
+
+
+def _impact(spark, folder):
+    changes = spark.createDataFrame([], "node_id string, column_name string, change_status string")
+    return impact.impact_analysis(environments(spark, folder), _models(spark), changes)
+
+
+@query(
+    f"""{_IMPACT_SQL} select name, change_status, base_rows, current_rows, current_rows - base_rows as delta, delta_pct, rows_added,
+        rows_removed, rows_changed, affected_row_count, data_impact, failed,
+        case when data_impact = 'potential' and change_status = 'modified' then 'high' when name in ('supplier') then 'low'
+             when data_impact = 'potential' then 'medium'
+             when data_impact = 'confirmed' and abs(delta_pct) <= 5 and rows_changed / cast(current_rows - rows_added as double) > 0.2
+                  and current_rows > rows_added then 'medium' end as priority
+    from found""",
     ALL_CURRENT,
 )
 def impact_analysis_tables(spark, folder):
-    env = environments(spark, folder)
-    changes = schema.schema_diff_frames(*pair(spark, folder, "part")).select(
-        F.lit("model.part").alias("node_id"), "column_name", "change_status"
-    )
-    found = impact.impact_analysis(env, _models(spark, folder), changes.filter("change_status is not null"))
-    return found.select(
-        "name",
-        "base_rows",
-        "current_rows",
-        "delta",
-        "delta_pct",
-        "rows_added",
-        "rows_removed",
-        "rows_changed",
-        "affected_row_count",
-        "data_impact",
+    return _impact(spark, folder).select(
+        "name", "change_status", "base_rows", "current_rows", "delta", "delta_pct", "rows_added", "rows_removed", "rows_changed",
+        "affected_row_count", "data_impact", F.col("error").isNotNull().alias("failed"),
         F.col("next_action.priority").alias("priority"),
-    )
+    )
+
+
+@query(
+    f"""{_IMPACT_SQL} select count(*) as impacted_models, count(*) filter (where data_impact = 'confirmed') as confirmed,
+        count(*) filter (where data_impact = 'none') as none, count(*) filter (where data_impact = 'potential') as potential,
+        count(*) filter (where failed) as failed, max(affected_row_count) as largest_affected_row_count,
+        (select count(distinct node_id) from nodes_t) as not_impacted_models
+    from found""",
+    f"{ALL_CURRENT} nodes_t",
+)
+def impact_summary_row(spark, folder):
+    (nodes,) = derived(spark, folder, "nodes_t")
+    models = _models(spark).select("node_id").unionByName(nodes.select("node_id"))
+    return impact.impact_summary(_impact(spark, folder), models)
 
 
 # Verdicts and logs
 
 
+def _same_sql(left: str, right: str) -> str:
+    """Whether two row sets are equal, copies included."""
+    return f"not exists (({left} except all {right}) union all ({right} except all {left}))"
+
+
+_CHANGED_CASES = {
+    ("row_count_diff", "all"): f"(select bool_or(base <> curr) from ({COUNTS_SQL}) c)",
+    ("row_count_diff", "region"): "(select count(*) from region) <> (select count(*) from cur_region)",
+    ("value_diff", "orders"): "not " + _same_sql("select * from orders", "select * from cur_orders"),
+    ("value_diff", "region"): "not " + _same_sql("select * from region", "select * from cur_region"),
+    ("value_diff_detail", "orders"): "not " + _same_sql("select * from orders", "select * from cur_orders"),
+    ("value_diff_detail", "region"): "not " + _same_sql("select * from region", "select * from cur_region"),
+    ("profile_diff", "orders"): """(select (count(*), count(o_orderstatus), count(distinct o_orderstatus)) from orders)
+        <> (select (count(*), count(o_orderstatus), count(distinct o_orderstatus)) from cur_orders)""",
+    ("top_k_diff", "orders"): "not " + _same_sql(
+        "select o_orderpriority, count(*) from orders group by 1", "select o_orderpriority, count(*) from cur_orders group by 1"),
+    ("top_k_diff", "nothing"): "(select count(*) from orders) <> (select count(*) from cur_orders)",
+    ("histogram_diff", "region"): "not " + _same_sql("select r_regionkey from region", "select r_regionkey from cur_region"),
+    ("histogram_diff", "nothing"): """(select count(*) from orders where o_custkey % 3 = 0)
+        <> (select count(*) from cur_orders where o_custkey % 3 = 0)""",
+    ("query_diff", "region"): "not " + _same_sql("select distinct r_name from region", "select distinct r_name from cur_region"),
+    ("query_diff", "orders"): "not " + _same_sql(
+        "select o_orderkey % 7 as k, count(*) as n from orders group by 1", "select o_orderkey % 7 as k, count(*) as n from cur_orders group by 1"),
+}
+
+
 @query(
-    f"""select 'row_count_diff' as kind, bool_or(base <> curr) as is_changed from ({COUNTS_SQL}) c
-    union all select 'value_diff', true union all select 'value_diff_detail', true union all select 'profile_diff', true
-    union all select 'top_k_diff', true union all select 'histogram_diff', true union all select 'schema_diff', true
-    union all select 'query_diff', exists (
-        (select distinct r_name from region except select distinct r_name from cur_region)
-        union all (select distinct r_name from cur_region except select distinct r_name from region))""",
+    " union all ".join(f"select '{kind}' as kind, '{case}' as case_name, {sql} as is_changed" for (kind, case), sql in _CHANGED_CASES.items()),
     ALL_CURRENT,
 )
 def is_changed_kinds(spark, folder):
     env = environments(spark, folder)
-    orders = pair(spark, folder, "orders")
-    regions = query_diff(env, "select distinct r_name from region", pk="r_name")
+    orders, region = pair(spark, folder, "orders"), pair(spark, folder, "region")
+    nothing = [df.select(F.lit(None).cast("string").alias("v"), "o_custkey") for df in orders]
+    # A third of the rows are not a number, the others NULL: no bins, only totals.
+    odd = [df.select(F.when(F.col("o_custkey") % 3 == 0, F.lit(float("nan"))).alias("v")) for df in orders]
     diffs = {
-        "row_count_diff": rowcount.row_count_diff(env, NAMES),
-        "value_diff": valuediff.value_diff(*orders, "o_orderkey"),
-        "value_diff_detail": valuediff.value_diff_detail(*orders, "o_orderkey"),
-        "profile_diff": profile.profile_diff(*orders, columns=["o_orderstatus"]),
-        "top_k_diff": topk.top_k_diff(*orders, "o_orderpriority"),
-        "histogram_diff": histogram.histogram_diff(*orders, "o_totalprice"),
-        "schema_diff": schema.schema_diff_frames(*pair(spark, folder, "part")),
-        "query_diff": regions,
-    }
-    verdicts = [results.is_changed(df, kind).select(F.lit(kind).alias("kind"), "is_changed") for kind, df in diffs.items()]
-    union = verdicts[0]
-    for verdict in verdicts[1:]:
-        union = union.unionByName(verdict)
-    return union
+        ("row_count_diff", "all"): (rowcount.row_count_diff(env, NAMES), None),
+        ("row_count_diff", "region"): (rowcount.row_count_diff(env, ["region"]), None),
+        ("value_diff", "orders"): (valuediff.value_diff(*orders, "o_orderkey"), None),
+        ("value_diff", "region"): (valuediff.value_diff(*region, "r_regionkey"), None),
+        ("value_diff_detail", "orders"): (valuediff.value_diff_detail(*orders, "o_orderkey"), None),
+        ("value_diff_detail", "region"): (valuediff.value_diff_detail(*region, "r_regionkey"), None),
+        ("profile_diff", "orders"): (profile.profile_diff(*orders, columns=["o_orderstatus"]), None),
+        ("top_k_diff", "orders"): (topk.top_k_diff(*orders, "o_orderpriority"), topk.column_totals(*orders, "o_orderpriority")),
+        ("top_k_diff", "nothing"): (topk.top_k_diff(*nothing, "v"), topk.column_totals(*nothing, "v")),
+        ("histogram_diff", "region"): (
+            histogram.histogram_diff(*region, "r_regionkey"), histogram.column_bounds(*region, "r_regionkey")),
+        ("histogram_diff", "nothing"): (histogram.histogram_diff(*odd, "v"), histogram.column_bounds(*odd, "v")),
+        ("query_diff", "region"): (query_diff(env, "select distinct r_name from region", pk="r_name"), None),
+        ("query_diff", "orders"): (query_diff(env, "select o_orderkey % 7 as k, count(*) as n from orders group by 1", pk="k"), None),
+    }
+    verdicts = [
+        results.is_changed(df, kind, totals).select(F.lit(kind).alias("kind"), F.lit(case).alias("case_name"), "is_changed")
+        for (kind, case), (df, totals) in diffs.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), verdicts)
 
 
 @query(
