@@ -36,17 +36,37 @@ FEATURES = 1 << 14
 ROUNDS = 60
 BATCH_BYTES = 6 << 20
 _CACHED_WORDS = 400_000
+_CACHED_PIECES = 200_000
 _find_words = re.compile(r"[^\W\d_]+").findall
 
 
+class _Hashed(dict):
+    """Feature numbers of the pieces of words, hashed once per piece."""
+
+    def __init__(self, tag: str):
+        super().__init__()
+        self._tag = tag
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > _CACHED_PIECES:
+            self.clear()
+        found = self[piece] = zlib.crc32((self._tag + piece).encode("utf-8", "surrogatepass")) % FEATURES
+        return found
+
+
+_prefix, _suffix, _gram = (_Hashed(tag).__getitem__ for tag in "psn")
+
+
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word."""
     edged = f"^{word}$"
-    named = [f"w{word}"]
-    named += [f"p{word[:n]}" for n in (1, 2, 3) if n <= len(word)]
-    named += [f"s{word[-n:]}" for n in (1, 2, 3) if n <= len(word)]
-    named += {f"n{edged[i : i + n]}" for n in (1, 2, 3) for i in range(len(edged) - n + 1)}
-    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES for name in named]
+    n = len(edged)
+    found = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % FEATURES]
+    found += [_prefix(word[:1]), _prefix(word[:2]), _prefix(word[:3])]
+    found += [_suffix(word[-1:]), _suffix(word[-2:]), _suffix(word[-3:])]
+    found += [_gram(edged[i : i + 2]) for i in range(n - 1)]
+    found += [_gram(edged[i : i + 3]) for i in range(n - 2)]
+    return found
 
 
 @dataclass(frozen=True)
@@ -58,16 +78,22 @@ class Model:
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Emission weights of words, one row each. Long words have the mean of their features, so that weights compare."""
-        found = np.empty((len(words), len(self.languages)), np.float32)
-        for i, word in enumerate(words):
-            found[i] = self.weights[features(word)].mean(axis=0) * 10
-        return found
-
-
-def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        flat: list[int] = []
+        counts = []
+        for word in words:
+            own = features(word)
+            flat += own
+            counts.append(len(own))
+        starts = np.cumsum([0, *counts[:-1]])
+        return np.add.reduceat(self.weights[flat], starts, axis=0) * (10 / np.array(counts, np.float32))[:, None]
+
+
+def marginals(
+    emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray, start: np.ndarray, training: bool = True
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Forward-backward over one long chain that is reset wherever ``first`` is set.
 
-    Returns label probabilities per word, the expected transitions (summed) and the log-likelihood normaliser.
+    Returns label probabilities per word and, for training, the expected transitions (summed) and the log-likelihood normaliser.
 
     The chain is cut into blocks of about the square root of its length. Block products of the step matrices give the
     vectors at all block borders, and with those all blocks run side by side. A reset is a step matrix with equal rows.
@@ -90,11 +116,13 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     # Products of the blocks: what becomes of each label at the border before.
     product = np.broadcast_to(np.eye(k), (blocks, k, k)).copy()
     for i in range(width):
-        moved = product @ follow
+        moved = (product.reshape(-1, k) @ follow).reshape(blocks, k, k)
         again = resets[:, i]
         moved[again] = product[again].sum(axis=2, keepdims=True) * begin
         product = moved * e[:, i][:, None, :]
-        product /= product.max(axis=(1, 2), keepdims=True)
+        if i % 8 == 7:
+            product /= product.max(axis=(1, 2), keepdims=True)
+    product /= product.max(axis=(1, 2), keepdims=True)
     border = np.empty((blocks, k))
     vector = np.full(k, 1.0 / k)
     for b in range(blocks):
@@ -115,7 +143,8 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
         scale = vectors.sum(axis=1, keepdims=True)
         vectors = vectors / scale
         alpha[:, i] = vectors
-        log += float(np.log(scale).sum())
+        if training:
+            log += float(np.log(scale).sum())
     log -= pad * float(np.log(begin.sum()))
     beta = np.empty((blocks, width, k))
     vectors = back
@@ -123,14 +152,12 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
     for i in range(width - 1, -1, -1):
         beta[:, i] = vectors
         onward = e[:, i] * vectors
-        if i:
-            before = alpha[:, i - 1]
-        else:
-            before = border
-        inside = ~resets[:, i]
-        joint = before[inside][:, :, None] * follow * onward[inside][:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        expected += joint.sum(axis=0)
+        if training:
+            before = alpha[:, i - 1] if i else border
+            inside = ~resets[:, i]
+            joint = before[inside][:, :, None] * follow * onward[inside][:, None, :]
+            joint /= joint.sum(axis=(1, 2), keepdims=True)
+            expected += joint.sum(axis=0)
         vectors = np.where(resets[:, i, None], 1.0, onward @ follow.T)
         vectors = vectors / vectors.sum(axis=1, keepdims=True)
     both = alpha * beta
@@ -139,7 +166,7 @@ def marginals(emissions: np.ndarray, first: np.ndarray, transitions: np.ndarray,
 
 
 def label_probabilities(model: Model, emissions: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return marginals(emissions, first, model.transitions, model.start)[0]
+    return marginals(emissions, first, model.transitions, model.start, training=False)[0]
 
 
 def train_model(runs: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: int = 7) -> Model:

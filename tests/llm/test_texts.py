@@ -262,7 +262,7 @@ def test_added_spans_and_mask(spark):
     masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
     assert pii.mask(docs).columns == docs.columns
     assert masked[0] == "call tel: [NUMBER], or [NAME]; [HANDLE]"
-    assert masked[1] == "see page 12345678 of [EMAIL]"
+    assert masked[1] == "see page 12345678 of [EMAIL]."
     assert [masked[i] for i in (2, 3, 4)] == [None, "", "plain text"]
     assert pii.mask(docs.limit(0)).collect() == []
 
