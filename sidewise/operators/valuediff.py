@@ -62,7 +62,7 @@ def stack_sides(base: DataFrame, current: DataFrame) -> DataFrame:
 
 def value_diff_join(base: DataFrame, current: DataFrame, pk: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
     """Matched rows: key columns, ``base__x``/``current__x``, and ``status__x`` naming the outcome of each cell."""
-    keys, values, _ = _plan(base, current, pk, columns, check_key=True, null_keys_may_repeat=False)
+    keys, values, _ = _plan(base, current, pk, columns, null_keys_may_repeat=False)
     joined = match(base, current, keys, values, values)
     return joined.select(
         *[col(k) for k in keys],
@@ -79,14 +79,13 @@ def value_diff(
     current: DataFrame,
     pk: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    check_key: bool = True,
 ) -> DataFrame:
     """Match rate of each column over the rows present on both sides, next to the row totals.
 
     ``column, matched, matched_p, total, added, removed``; ``matched_p`` is NULL when no row is common. The key must be
-    unique on each side; ``check_key=False`` skips that check for callers that have made it.
+    unique on each side; NULL keys of a one-column key may repeat.
     """
-    keys, values, facts = _plan(base, current, pk, columns, check_key, null_keys_may_repeat=True)
+    keys, values, facts = _plan(base, current, pk, columns, null_keys_may_repeat=True)
     counts = _counts(base, current, keys, values, facts, statuses=False)
     order = common_columns(base, current, keys, columns)
     rows = [
@@ -110,10 +109,9 @@ def value_diff_status(
     current: DataFrame,
     pk: str | Sequence[str],
     columns: Sequence[str] | None = None,
-    check_key: bool = True,
 ) -> DataFrame:
     """How often each outcome occurs per column: ``column, match_status, count_records, percent_of_total``."""
-    keys, values, facts = _plan(base, current, pk, columns, check_key, null_keys_may_repeat=True)
+    keys, values, facts = _plan(base, current, pk, columns, null_keys_may_repeat=True)
     counts = _counts(base, current, keys, values, facts, statuses=True)
     total = F.col("common") + F.col("added") + F.col("removed")
     outcomes = []
@@ -306,23 +304,20 @@ def _plan(
     current: DataFrame,
     pk: str | Sequence[str],
     columns: Sequence[str] | None,
-    check_key: bool,
     null_keys_may_repeat: bool,
-) -> tuple[list[str], list[str], KeyFacts | None]:
+) -> tuple[list[str], list[str], KeyFacts]:
     """Key columns, compared non-key columns, and what is known about the key."""
     keys = key_columns(base, pk)
     values = [c for c in common_columns(base, current, keys, columns) if c not in keys]
-    facts = None
-    if check_key:
-        facts = require_unique(base, current, keys, ignore_null=isinstance(pk, str))
-        if facts.null_repeated and not null_keys_may_repeat:
-            raise DuplicateKeyError(keys, facts.base_null_duplicates, facts.current_null_duplicates)
+    facts = require_unique(base, current, keys, ignore_null=isinstance(pk, str))
+    if facts.null_repeated and not null_keys_may_repeat:
+        raise DuplicateKeyError(keys, facts.base_null_duplicates, facts.current_null_duplicates)
     return keys, values, facts
 
 
-def _counts(base: DataFrame, current: DataFrame, keys: list[str], values: list[str], facts: KeyFacts | None, statuses: bool) -> DataFrame:
+def _counts(base: DataFrame, current: DataFrame, keys: list[str], values: list[str], facts: KeyFacts, statuses: bool) -> DataFrame:
     """One row of totals over the matched rows; NULL keys that may repeat are counted apart, without pairing them."""
-    apart = len(keys) == 1 and (facts is None or facts.null_repeated)
+    apart = len(keys) == 1 and facts.null_repeated
     left, right = (keyed(base, keys), keyed(current, keys)) if apart else (base, current)
     counts = _joined_counts(left, right, keys, values, statuses)
     if not apart:

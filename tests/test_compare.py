@@ -12,7 +12,7 @@ NAN, INF = float("nan"), float("inf")
 def status(spark, base_type, base, current_type, current):
     left = spark.createDataFrame([(1, base)], f"id int, v {base_type}")
     right = spark.createDataFrame([(1, current)], f"id int, v {current_type}")
-    return row_diff(left, right, "id", check_key=False).first()["status"]
+    return row_diff(left, right, "id").first()["status"]
 
 
 @pytest.mark.parametrize(

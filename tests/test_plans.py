@@ -22,7 +22,6 @@ def plan(df):
 def test_no_pairwise_joins(orders):
     for df in (
         valuediff.value_diff(*orders, "o_orderkey"),
-        valuediff.value_diff(*orders, "o_orderkey", check_key=False),
         valuediff.value_diff_status(*orders, "o_orderkey"),
         valuediff.impact_value_diff(*orders, "o_custkey"),
         rowdiff.row_diff(*orders, "o_orderkey"),

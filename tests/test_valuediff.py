@@ -166,3 +166,16 @@ def test_multiset_and_maps(spark):
     assert sorted((r["id"], r["in_a"]) for r in distinct.collect()) == [(2, False), (2, True)]
     copies = V.one_sided_rows(base, current, ["id", "tags"], multiset=True)
     assert sorted((r["id"], r["in_a"]) for r in copies.collect()) == [(1, True), (2, False), (2, True)]
+
+
+def test_a_hot_key_is_refused_before_any_pair_forms(spark):
+    from sidewise.errors import DuplicateKeyError
+    from sidewise.operators import rowdiff
+
+    rows = [(i if i % 3 else 0, "n", i) for i in range(30_000)]
+    base = current = frame(spark, rows)
+    for compare in (V.value_diff, V.value_diff_status, rowdiff.row_diff, rowdiff.cell_diff):
+        with pytest.raises(DuplicateKeyError):
+            compare(base, current, "customer_id")
+    # Grouping needs no unique key: a third of the rows share one.
+    assert V.value_diff_detail(base, current, "customer_id", multiset=True, check_key=False).count() == 0
