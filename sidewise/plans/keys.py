@@ -113,11 +113,11 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 def split_repeated(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> tuple[tuple, tuple]:
     """Divide both sides into ``(rows of keys unique on both sides, rows of the other keys)``.
 
-    The latter are stored, since counting them reads them once per column.
+    The set of repeated keys is stored, since its size is measured and both sides are divided by it.
     """
     keys = rows_per_key(base, current, pk).filter((F.col(BASE_ROWS) > 1) | (F.col(CURRENT_ROWS) > 1))
     names = [f"__repeated_{i}" for i in range(len(pk))]
-    repeated = keys.select(*[col(k).alias(n) for k, n in zip(pk, names)])
+    repeated = cut(keys.select(*[col(k).alias(n) for k, n in zip(pk, names)]), "repeated-keys")
     size = sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) + 16 for n in names), F.lit(0))
     if (repeated.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES:
         repeated = F.broadcast(repeated)
@@ -128,7 +128,7 @@ def split_repeated(base: DataFrame, current: DataFrame, pk: Sequence[str]) -> tu
 
     return (
         (rows(base, "left_anti"), rows(current, "left_anti")),
-        (cut(rows(base, "left_semi")), cut(rows(current, "left_semi"))),
+        (rows(base, "left_semi"), rows(current, "left_semi")),
     )
 
 
@@ -145,8 +145,10 @@ def pair_counts(
     ``common``, ``added``, ``removed`` rows; ``identical`` pairs (equal in all columns); per column i ``equal_i`` (equal,
     both NULL included) and, with ``nulls``, ``both_null_i``, ``base_null_i``, ``current_null_i``; per column in
     ``means`` the sum and the non-NULL count of either side over the joined rows.
+
+    Rows are grouped once, copies merged before the shuffle, and stored; every count is taken from the stored groups.
     """
-    rows = _comparable_rows(base, current, [*pk, *columns], means)
+    rows = cut(_grouped(_comparable_rows(base, current, [*pk, *columns], means), [*pk, *columns], means), "row-groups")
     per_key = _per_key(rows, pk, columns if nulls else (), means)
     return add_up([per_key, *_equal_pairs(rows, pk, columns)])
 
@@ -175,19 +177,24 @@ def _comparable_rows(base: DataFrame, current: DataFrame, columns: Sequence[str]
     return stack(shaped(base, current, BASE), shaped(current, base, CURRENT), [*columns, *extra])
 
 
-def _per_key(rows: DataFrame, pk: Sequence[str], columns: Sequence[str], means: Sequence[str]) -> DataFrame:
-    base, current = of_side(BASE), of_side(CURRENT)
-    counts = [F.count_if(base).alias("nb"), F.count_if(current).alias("nc")]
+def _grouped(rows: DataFrame, columns: Sequence[str], means: Sequence[str]) -> DataFrame:
+    """Different rows with their count per side (``nb``, ``nc``) and the sums and counts of their numbers."""
+    counts = [F.count_if(of_side(BASE)).alias("nb"), F.count_if(of_side(CURRENT)).alias("nc")]
+    for i in range(len(means)):
+        for side in (BASE, CURRENT):
+            inside = F.when(of_side(side), F.col(f"__number_{i}"))
+            counts += [F.sum(inside).alias(f"{side}_sum_{i}"), F.count(inside).alias(f"{side}_count_{i}")]
+    return rows.groupBy(*[col(c) for c in columns]).agg(*counts)
+
+
+def _per_key(groups: DataFrame, pk: Sequence[str], columns: Sequence[str], means: Sequence[str]) -> DataFrame:
+    counts = [F.sum(n).alias(n) for n in ("nb", "nc")]
     for i, name in enumerate(columns):
         counts += [
-            F.count_if(base & col(name).isNull()).alias(f"nb_null_{i}"),
-            F.count_if(current & col(name).isNull()).alias(f"nc_null_{i}"),
+            F.coalesce(F.sum(F.when(col(name).isNull(), F.col(n))), F.lit(0)).alias(f"{n}_null_{i}") for n in ("nb", "nc")
         ]
     for i in range(len(means)):
-        number = F.col(f"__number_{i}")
-        for side in (BASE, CURRENT):
-            inside = F.when(of_side(side), number)
-            counts += [F.sum(inside).alias(f"{side}_sum_{i}"), F.count(inside).alias(f"{side}_count_{i}")]
+        counts += [F.sum(n).alias(n) for side in (BASE, CURRENT) for n in (f"{side}_sum_{i}", f"{side}_count_{i}")]
     nb, nc = F.col("nb"), F.col("nc")
     joined = [
         F.sum(nb * nc).alias("common"),
@@ -208,20 +215,21 @@ def _per_key(rows: DataFrame, pk: Sequence[str], columns: Sequence[str], means:
                 F.sum(F.col(f"{side}_sum_{i}") * times).alias(f"{side}_sum_{i}"),
                 F.sum(F.col(f"{side}_count_{i}") * times).alias(f"{side}_count_{i}"),
             ]
-    return rows.groupBy(*[col(k) for k in pk]).agg(*counts).agg(*joined)
+    return groups.groupBy(*[col(k) for k in pk]).agg(*counts).agg(*joined)
 
 
-def _equal_pairs(rows: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> list[DataFrame]:
+def _equal_pairs(groups: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> list[DataFrame]:
     """Pairs of rows of one key that are equal in a column, and in all columns.
 
-    Each column is grouped on its own, from a scan of the key and that column: grouping by all of them at once would
-    multiply the rows by the number of columns before the shuffle.
+    Each column is grouped on its own, from a scan of the key, that column and the counts.
     """
-    groups = {"identical": list(columns), **{f"equal_{i}": [c] for i, c in enumerate(columns)}}
     pairs = F.sum(F.col("nb") * F.col("nc"))
     return [
-        rows.groupBy(*[col(c) for c in [*pk, *group]])
-        .agg(F.count_if(of_side(BASE)).alias("nb"), F.count_if(of_side(CURRENT)).alias("nc"))
-        .agg(pairs.alias(name))
-        for name, group in groups.items()
+        groups.agg(pairs.alias("identical")),
+        *[
+            groups.groupBy(*[col(c) for c in [*pk, name]])
+            .agg(F.sum("nb").alias("nb"), F.sum("nc").alias("nc"))
+            .agg(pairs.alias(f"equal_{i}"))
+            for i, name in enumerate(columns)
+        ],
     ]

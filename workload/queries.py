@@ -636,6 +636,22 @@ def profile_approx_lineitem(spark, folder):
     return profile.profile(pair(spark, folder, "lineitem")[1], distinct="approx", median="approx")
 
 
+@query(
+    " union all ".join(
+        f"select '{c}' as column_name, count(distinct {c}) as distinct_count, true as within_error from cur_orders"
+        for c in COLUMNS["orders"]
+    ),
+    "cur_orders",
+)
+def profile_approx_error(spark, folder):
+    current = pair(spark, folder, "orders")[1]
+    exact = profile.profile(current).select("column_name", "distinct_count")
+    sketched = profile.profile(current, distinct="approx", median="approx")
+    both = exact.join(sketched.select("column_name", F.col("distinct_count").alias("sketched")), "column_name")
+    error = F.abs(F.col("sketched") - F.col("distinct_count")) <= 0.15 * F.col("distinct_count")
+    return both.select("column_name", "distinct_count", error.alias("within_error"))
+
+
 PROFILE_FIELDS = ("row_count", "distinct_count", "avg", "median")
 
 
@@ -872,33 +888,33 @@ LABELS = ("o_orderstatus", "o_orderpriority")
 FRACTIONS = [round(i / 11, 6) for i in range(1, 11)]
 
 
-@query()
+_PROBE_SQL = " union all ".join(
+    f"""select '{c}' as "column", '{'datetime' if 'epoch' in v else 'numeric'}' as class, count(*) as total,
+    count(distinct {c}) as distinct_count, cast(min({v}) as double) as min, cast(max({v}) as double) as max from cur_orders"""
+    for c, v in NUMBERS.items()
+) + " union all " + " union all ".join(
+    f"""select '{c}', 'categorical', count(*), count(distinct {c}), cast(null as double), cast(null as double) from cur_orders"""
+    for c in LABELS
+)
+
+# What the sketches promise: distinct counts within three standard errors of five percent.
+DISTINCT_ERROR = 0.15
+
+
+@query(f"select *, true as within_error from ({_PROBE_SQL}) p", "cur_orders")
 def distribution_probe_approx(spark, folder):
-    return distribution.distribution_probe(pair(spark, folder, "orders")[1])
+    current = pair(spark, folder, "orders")[1]
+    exact = distribution.distribution_probe(current, mode="exact")
+    sketched = distribution.distribution_probe(current).select("column", F.col("distinct_count").alias("sketched"))
+    error = F.abs(F.col("sketched") - F.col("distinct_count")) <= DISTINCT_ERROR * F.col("distinct_count")
+    return exact.join(sketched, "column").withColumn("within_error", error).drop("sketched")
 
 
-@query(
-    " union all ".join(
-        f"""select '{c}' as "column", '{'datetime' if 'epoch' in v else 'numeric'}' as class, count(*) as total,
-        count(distinct {c}) as distinct_count, cast(min({v}) as double) as min, cast(max({v}) as double) as max from cur_orders"""
-        for c, v in NUMBERS.items()
-    )
-    + " union all "
-    + " union all ".join(
-        f"""select '{c}', 'categorical', count(*), count(distinct {c}), cast(null as double), cast(null as double) from cur_orders"""
-        for c in LABELS
-    ),
-    "cur_orders",
-)
+@query(_PROBE_SQL, "cur_orders")
 def distribution_probe_exact(spark, folder):
     return distribution.distribution_probe(pair(spark, folder, "orders")[1], mode="exact")
 
 
-@query()
-def quantile_edges_approx(spark, folder):
-    return distribution.quantile_edges(pair(spark, folder, "lineitem")[1])
-
-
 def _cuts_sql(table: str) -> str:
     return " union all ".join(
         f"""select '{c}' as "column", {i} as cut, round(quantile_cont(cast({v} as double), {f}), 4) as value from {table}"""
@@ -913,6 +929,22 @@ def quantile_edges_exact(spark, folder):
     return cuts.select("column", F.posexplode("cuts").alias("cut", "value")).withColumn("value", F.round("value", 4))
 
 
+@query(f"select *, true as within_error from ({_cuts_sql('cur_orders')}) c", "cur_orders")
+def quantile_edges_approx(spark, folder):
+    """The sketch's cuts lie within one percent of the column's range of the exact ones."""
+    current = pair(spark, folder, "orders")[1]
+    probe = distribution.distribution_probe(current, list(NUMBERS), mode="exact")
+    ranges = probe.select("column", (F.col("max") - F.col("min")).alias("width"))
+    exact, sketched = (
+        distribution.quantile_edges(current, mode=mode).select("column", F.posexplode("cuts").alias("cut", mode))
+        for mode in ("exact", "approx")
+    )
+    error = F.abs(F.col("exact") - F.col("approx")) <= F.col("width") / 100
+    return exact.join(sketched, ["column", "cut"]).join(ranges, "column").select(
+        "column", "cut", F.round("exact", 4).alias("value"), error.alias("within_error")
+    )
+
+
 def _density_sql(table: str) -> str:
     def of(c: str, v: str) -> str:
         points = " union all ".join(
@@ -946,9 +978,15 @@ def quantile_density_exact(spark, folder):
     return _edges(distribution.quantile_density(probe.join(cuts, "column")), "edges", "density")
 
 
-@query()
+@query(
+    """select 'l_returnflag' as "column", l_returnflag as value, count(*) as count from cur_lineitem where l_returnflag is not null group by 2
+    union all select 'l_linestatus', l_linestatus, count(*) from cur_lineitem where l_linestatus is not null group by 2""",
+    "cur_lineitem",
+)
 def approx_top_k_lineitem(spark, folder):
-    return distribution.top_values(pair(spark, folder, "lineitem")[1])
+    """With fewer categories than the sketch holds it is exact."""
+    top = distribution.top_values(pair(spark, folder, "lineitem")[1])
+    return top.select("column", F.explode("top").alias("t")).select("column", "t.value", "t.count")
 
 
 def _top_values_sql(table: str, columns: tuple[str, ...], k: int) -> str:
