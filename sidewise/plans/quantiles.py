@@ -19,6 +19,8 @@ ACCURACY = 10_000
 MARGIN = 3
 # Most values of one bracket that are fetched.
 FETCH_LIMIT = 20_000
+# Values fetched in one pass over all columns and sides.
+FETCH_TOTAL = 500_000
 # A bracket that is too full is cut into this many parts of about equal row count.
 SLICES = 64
 
@@ -69,7 +71,7 @@ def exact_quantiles(requests: Sequence[Request]) -> list[list[float | None]]:
     searches = _start(requests)
     waiting = [s for s in searches if s.rows]
     while waiting:
-        _advance(requests, waiting)
+        _advance(requests, _within_bound(waiting))
         waiting = [s for s in waiting if s.result is None]
     results: list[list[float | None]] = [[] for _ in requests]
     for search in searches:
@@ -77,6 +79,17 @@ def exact_quantiles(requests: Sequence[Request]) -> list[list[float | None]]:
     return results
 
 
+def _within_bound(waiting: Sequence[_Search]) -> list[_Search]:
+    """The searches of one pass: as many as together fetch at most ``FETCH_TOTAL`` values; the others wait for a later one."""
+    chosen, total = [], 0
+    for search in waiting:
+        cost = search.inside if search.fetch else 0
+        if not chosen or total + cost <= FETCH_TOTAL:
+            chosen.append(search)
+            total += cost
+    return chosen
+
+
 def _start(requests: Sequence[Request]) -> list[_Search]:
     """Row counts, and a first bracket from a sketch wherever a column is too long to be fetched."""
     parts = []

@@ -55,3 +55,13 @@ def test_row_counts_read_no_columns_in_one_shuffle(spark):
     text = plan(rowcount.row_count_diff(environments(spark, FOLDER), ["orders", "customer"]))
     assert "ReadSchema: struct<>" in text
     assert text.count("HashAggregate(keys=[side") == 2
+
+
+def test_repeated_keys_read_each_side_once(orders):
+    from sidewise.plans.keys import pair_counts
+
+    columns = ["o_orderstatus", "o_totalprice", "o_orderpriority"]
+    text = plan(pair_counts(*orders, ["o_custkey"], columns))
+    # Every count reads the stored groups; neither side is scanned again.
+    assert "orders.parquet" not in text
+    assert text.count("FileScan") == len(columns) + 2
