@@ -40,15 +40,18 @@ def table(names, rows):
     return [names[i] for i in order], sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_queries_without_oracle():
+    """Only the timed sketch queries, whose errors have entries of their own, and what SQL cannot express (tested elsewhere)."""
+    without = {name for name in entry.queries() if name not in entry.oracle_sql()}
+    ours = {"profile_approx_lineitem", "distribution_diff_approx"}
+    assert {name for name in without if not name.startswith(("op", "pipeline"))} == ours
+
+
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, oracle, name):
     df = entry.queries()[name](spark, FOLDER)
     ours = table(df.columns, df.collect())
-    sql = entry.oracle_sql().get(name)
-    if sql is None:
-        assert ours[1]
-        return
-    result = oracle.execute(sql)
+    result = oracle.execute(entry.oracle_sql()[name])
     theirs = table([d[0] for d in result.description], result.fetchall())
     assert ours[0] == theirs[0]
     assert len(ours[1]) == len(theirs[1])
