@@ -135,15 +135,14 @@ def export_rows_lineitem(spark, folder):
 
 
 @query(
-    """select coalesce(b.n, c.n) as row_number, b.c_custkey as base__c_custkey, b.c_name as base__c_name,
-           c.c_custkey as current__c_custkey, c.c_name as current__c_name
+    f"""select coalesce(b.n, c.n) as row_number, {", ".join(f"{s}.{c} as {side}__{c}" for s, side in (("b", "base"), ("c", "current"))
+        for c in COLUMNS["customer"])}
     from (select *, row_number() over (order by c_custkey) as n from customer) b
     full outer join (select *, row_number() over (order by c_custkey) as n from cur_customer) c on b.n = c.n""",
     "cur_customer",
 )
 def zip_rows_customer(spark, folder):
-    base, current = (df.select("c_custkey", "c_name") for df in pair(spark, folder, "customer"))
-    return rowdiff.zip_rows(base, current, "c_custkey")
+    return rowdiff.zip_rows(*pair(spark, folder, "customer"), "c_custkey")
 
 
 # Value comparison by key
@@ -222,12 +221,11 @@ def value_diff_detail_report_orders(spark, folder):
 
 
 @query(
-    f", b0 as (select l_partkey, l_quantity, l_returnflag from lineitem), "
-    f"c0 as (select l_partkey, l_quantity, l_returnflag from cur_lineitem)\n{_detail_sql('b0', 'c0', 'all')}",
+    _detail_sql("lineitem", "cur_lineitem", "all"),
     "cur_lineitem",
 )
 def value_diff_detail_multiset_lineitem(spark, folder):
-    base, current = (df.select("l_partkey", "l_quantity", "l_returnflag") for df in pair(spark, folder, "lineitem"))
+    base, current = pair(spark, folder, "lineitem")
     return valuediff.value_diff_detail(base, current, "l_partkey", multiset=True, check_key=False)
 
 
@@ -427,7 +425,7 @@ def duplicate_key_flags_lineitem(spark, folder):
     return rowdiff.duplicate_key_flags(*pair(spark, folder, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-EVENT_CELLS = ("user_id", "event_type", "props")
+EVENT_CELLS = ("ts", "user_id", "event_type", "value", "props")
 
 
 @query(
