@@ -49,10 +49,16 @@ def column_pairs(columns: DataFrame) -> DataFrame:
 
 
 def schema_diff(columns: DataFrame) -> DataFrame:
-    """``node_id, column_name, change_status`` over the nodes whose columns are known on both sides."""
+    """``node_id, column_name, change_status`` over the nodes whose columns are known on both sides.
+
+    The columns are read once and shuffled once, by node; a node's columns are as many as its table is wide.
+    """
+    node = Window.partitionBy("node_id")
+    known = [F.bool_or(F.col(f"{side}_type").isNotNull() | F.col(f"{side}_index").isNotNull()).over(node) for side in ("base", "current")]
     return (
-        column_pairs(columns)
-        .join(_comparable_nodes(columns), "node_id", "left_semi")
+        column_pairs(columns.repartition("node_id"))
+        .withColumn("comparable", known[0] & known[1])
+        .filter("comparable")
         .select("node_id", "column_name", _presence_or_type().alias("change_status"))
         .filter(F.col("change_status").isNotNull())
     )

@@ -65,3 +65,13 @@ def test_repeated_keys_read_each_side_once(orders):
     # Every count reads the stored groups; neither side is scanned again.
     assert "orders.parquet" not in text
     assert text.count("FileScan") == len(columns) + 2
+
+
+def test_schema_comparison_is_one_shuffle(spark):
+    from sidewise.operators import schema
+
+    columns = spark.range(10).selectExpr(
+        "if(id % 2 = 0, 'base', 'current') as env", "cast(id % 3 as string) as node_id", "cast(id as string) as column_name", "id as ordinal", "'t' as data_type"
+    )
+    text = plan(schema.schema_diff(columns))
+    assert text.count("Exchange hashpartitioning") + text.count("Exchange RoundRobin") == 1 and "Join" not in text
