@@ -10,10 +10,14 @@ components of the links.
    keeps them in text order (Marçais et al., 2019). Two texts of similarity 0.8 share a given sketch with probability of
    about 0.41, so that 24 sketches miss three such pairs in a million. Texts with few shingles, for which drawing
    without replacement makes this worse, have 24 more sketches of two.
-3. In every bucket of equal sketches all texts are aligned with one leader, the same one across buckets where possible.
-   Links make components. Then every pair of a bucket that is still in different components is aligned as well. So no
-   candidate pair is left out, and a bucket of one large group costs one alignment per member.
-4. The alignment is the longest common subsequence inside the band that a similarity of 0.8 allows, computed bit-parallel.
+3. In every bucket of equal sketches all texts meet one leader, the same one across buckets where possible, and the few
+   others of a random part of the bucket. Links make components. Then every pair of a bucket that is still in different
+   components meets as well. So no candidate pair is left out, and a bucket of one large group costs a few
+   comparisons per member.
+4. Pairs that meet are first compared by the parities of their shingles: 1024 bits, of which every shingle that only one of
+   the two has flips one. More different bits than a similarity of 0.8 allows different shingles rule a pair out for certain.
+5. The alignment of what is left is the longest common subsequence inside the band that a similarity of 0.8 allows, computed
+   bit-parallel.
 
 Defined results: texts without words are equal if the whole texts are; a null text is an empty one; texts with one to four
 words have one shingle; rows of the same id keep their own entry; the class is named by its smallest id (null ids last), and
@@ -30,7 +34,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sidewise.llm.common import only, slices
 from sidewise.llm.components import components
@@ -41,6 +45,9 @@ SIMILARITY = 0.8
 SKETCHES, SKETCH_SIZE = 24, 4
 # Texts with up to this many shingles have sketches of two as well; a partner of one with 16 has 20 at most.
 FEW_SHINGLES, FEW_SIZE = 20, 2
+PARITY_BITS = 1024
+# Members of a random part of a bucket, about.
+PART = 8
 BATCH_BYTES = 8 << 20
 _CACHED_WORDS = 300_000
 
@@ -84,7 +91,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _labelled(values: np.ndarray) -> np.ndarray:
+def labelled_shingles(values: np.ndarray) -> np.ndarray:
     """Shingle hashes combined with how often the shingle has occurred before."""
     order = np.argsort(values, kind="stable")
     ordered = values[order]
@@ -98,9 +105,15 @@ def _labelled(values: np.ndarray) -> np.ndarray:
     return _mixed(values + occurrence * np.uint64(0xD1B54A32D192ED03))
 
 
-def sketches(values: np.ndarray) -> list[int]:
-    """One 64-bit hash per sketch, different for different sketches."""
-    labelled = _labelled(values)
+def parities(labelled: np.ndarray) -> list[int]:
+    """For each of the bits, whether an odd number of labelled shingles falls on it, as 64-bit numbers."""
+    odd = np.bincount((labelled >> np.uint64(11)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def sketches(labelled: np.ndarray) -> list[int]:
+    """One 64-bit hash per sketch of labelled shingles, different for different sketches."""
+    values = labelled
     drawn = _mixed(labelled[None, :] * _FACTORS + _SHIFTS)
     found = []
     for size, tag in ((SKETCH_SIZE, 0), (FEW_SIZE, SKETCHES)):
@@ -171,46 +184,51 @@ def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_col
 
 
 def _sketched(docs: DataFrame, id_column: str, text_column: str, carry: list[str]) -> DataFrame:
-    """``row, id, text, words_key, n, sketches[, c0, ...]``, stored."""
+    """``row, id, text, words_key, n, sketches, odd[, c0, ...]``, stored."""
     others = {f"c{i}": name for i, name in enumerate(carry) if name != text_column}
     rows = only(docs, id=id_column, text=text_column, **others).withColumn("row", F.monotonically_increasing_id())
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
-            keys, counts, drawn = [], [], []
+            keys, counts, drawn, odd = [], [], [], []
             for text in batch.column("text").to_pylist():
                 words = words_of(text or "")
                 key = "\n".join(words) if words else "\0" + (text or "")
                 keys.append(blake2b(key.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-                values = shingles(words) if words else ()
+                values = labelled_shingles(shingles(words)) if words else ()
                 counts.append(len(values))
                 drawn.append(sketches(values) if words else [])
+                odd.append(parities(values) if words else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array(keys, pa.binary()),
                     pa.array(counts, pa.int64()),
                     pa.array(drawn, pa.list_(pa.int64())),
+                    pa.array(odd, pa.list_(pa.int64())),
                 ],
-                [*batch.schema.names, "words_key", "n", "sketches"],
+                [*batch.schema.names, "words_key", "n", "sketches", "odd"],
             )
 
-    return cut(rows.mapInArrow(run, f"{fields}, words_key binary, n long, sketches array<long>"), "sketched")
+    return cut(rows.mapInArrow(run, f"{fields}, words_key binary, n long, sketches array<long>, odd array<long>"), "sketched")
 
 
 def _classes(rows: DataFrame) -> DataFrame:
     same = rows.groupBy("words_key").agg(F.min("row").alias("text_id"), F.count(F.lit(1)).alias("copies"))
     same = cut(same, "same-words")
-    texts = rows.select("row", "n", "sketches").join(same.select("text_id"), F.col("row") == F.col("text_id"))
+    texts = rows.select("row", "sketches").join(same.select("text_id"), F.col("row") == F.col("text_id"))
     members = cut(_shared_buckets(texts), "buckets")
     needed = members.select(F.col("text_id").alias("needed")).distinct()
     bodies = cut(
-        rows.select(F.col("row").alias("body_id"), "text").join(needed, F.col("body_id") == F.col("needed")), "bodies"
-    ).drop("needed")
-    stars = members.filter("text_id != leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b"), "leader_n", "n")
-    first = cut(_verified(stars.filter(_lengths_allow("leader_n", "n")).select("a", "b").distinct(), bodies), "links")
-    second = cut(_verified(_across(members, components(first)), bodies), "links")
+        rows.select(F.col("row").alias("body_id"), "text", "odd", F.col("n").alias("body_n"))
+        .join(needed, F.col("body_id") == F.col("needed"))
+        .drop("needed"),
+        "bodies",
+    )
+    stars = members.filter("text_id != leader").select(F.col("leader").alias("a"), F.col("text_id").alias("b")).distinct()
+    first = cut(_verified(stars.unionByName(_parts(members, bodies)).distinct(), bodies), "links")
+    second = cut(_verified(_across(members, components(first), bodies), bodies), "links")
     found = components(first.unionByName(second))
     named = (
         same.join(found, F.col("text_id") == F.col("node"), "left")
@@ -233,57 +251,101 @@ def _classes(rows: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(texts: DataFrame) -> DataFrame:
-    """``bucket, text_id, n, leader, leader_n`` of all buckets with several texts."""
-    drawn = texts.select("text_id", "n", F.explode("sketches").alias("bucket"))
+    """``bucket, text_id, texts, leader`` of all buckets with several texts."""
+    drawn = texts.select("text_id", F.explode("sketches").alias("bucket"))
     # The same random order everywhere: a group has mostly the same leader in all its buckets.
-    lead = F.min(F.struct(F.xxhash64("text_id").alias("order"), F.col("text_id").alias("leader"), F.col("n").alias("leader_n")))
+    lead = F.min(F.struct(F.xxhash64("text_id").alias("order"), F.col("text_id").alias("leader")))
     shared = (
         drawn.groupBy(F.col("bucket").alias("shared")).agg(F.count(F.lit(1)).alias("texts"), lead.alias("lead"))
         .filter("texts > 1")
-        .select("shared", "lead.leader", "lead.leader_n")
+        .select("shared", "texts", "lead.leader")
     )
     return drawn.join(shared, F.col("bucket") == F.col("shared")).drop("shared")
 
 
-def _lengths_allow(n: str, m: str):
-    """Similar texts have lengths within the similarity of each other."""
-    return F.least(n, m) >= F.greatest(n, m) * SIMILARITY - 1e-9
+def _may_be_similar(n: str, m: str, odd: str, other: str) -> Column:
+    """False only for texts that cannot be similar: by their lengths, or by the parities of their shingles."""
+    lengths = F.least(n, m) >= F.greatest(n, m) * SIMILARITY - 1e-9
+    different = sum(
+        (F.bit_count(F.col(odd)[i].bitwiseXOR(F.col(other)[i])) for i in range(1, PARITY_BITS // 64)),
+        F.bit_count(F.col(odd)[0].bitwiseXOR(F.col(other)[0])),
+    )
+    return lengths & (different <= (F.col(n) + F.col(m)) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-9)
+
+
+def _with_parities(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    known = bodies.select("body_id", "odd", F.col("body_n").alias("n"))
+    return members.join(known, F.col("text_id") == F.col("body_id")).drop("body_id")
+
+
+def _renamed(members: DataFrame, *names: str) -> DataFrame:
+    return members.select(*[F.col(name).alias(f"other_{name}") for name in names])
 
 
-def _across(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``a, b``: pairs of a bucket in different components that have not been aligned yet.
+def _parts(members: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``a, b``: pairs that fall into the same random part of a bucket and may be similar. Small buckets are one part."""
+    part = F.pmod(F.xxhash64("text_id", "bucket"), F.ceil(F.col("texts") / F.lit(PART)))
+    dealt = _with_parities(members, bodies).select("bucket", part.alias("part"), "text_id", "n", "odd")
+    others = _renamed(dealt, *dealt.columns)
+    pairs = dealt.join(
+        others,
+        (F.col("bucket") == F.col("other_bucket"))
+        & (F.col("part") == F.col("other_part"))
+        & (F.col("text_id") < F.col("other_text_id"))
+        & _may_be_similar("n", "other_n", "odd", "other_odd"),
+    )
+    return pairs.select(F.col("text_id").alias("a"), F.col("other_text_id").alias("b")).distinct()
+
+
+def _across(members: DataFrame, found: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a bucket that are in different components and may be similar.
 
     The members outside a bucket's largest component meet all its members; two of them meet once.
     """
-    labelled = members.join(found, F.col("text_id") == F.col("node"), "left").select(
-        "bucket", "text_id", "n", "leader", F.coalesce("component", "text_id").alias("label")
+    labelled = cut(
+        members.join(found, F.col("text_id") == F.col("node"), "left").select(
+            "bucket", "text_id", F.coalesce("component", "text_id").alias("label")
+        ),
+        "labelled",
     )
-    labelled = cut(labelled, "labelled")
     parts = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"))
     mixed = (
         parts.groupBy(F.col("bucket").alias("mixed")).agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", "size").alias("main"))
         .filter("labels > 1")
         .drop("labels")
     )
-    inside = cut(labelled.join(mixed, F.col("bucket") == F.col("mixed")).drop("mixed"), "mixed")
-    others = inside.filter("label != main and text_id != leader").select(
-        F.col("bucket").alias("k"), F.col("text_id").alias("b"), F.col("n").alias("m"), F.col("label").alias("other")
-    )
-    pairs = inside.filter("text_id != leader").join(
+    inside = _with_parities(labelled.join(mixed, F.col("bucket") == F.col("mixed")).drop("mixed"), bodies)
+    others = _renamed(inside.filter("label != main"), "bucket", "text_id", "n", "odd", "label")
+    pairs = inside.join(
         others,
-        (F.col("bucket") == F.col("k"))
-        & (F.col("label") != F.col("other"))
-        & ((F.col("label") == F.col("main")) | (F.col("text_id") < F.col("b")))
-        & _lengths_allow("n", "m"),
+        (F.col("bucket") == F.col("other_bucket"))
+        & (F.col("label") != F.col("other_label"))
+        & ((F.col("label") == F.col("main")) | (F.col("text_id") < F.col("other_text_id")))
+        & _may_be_similar("n", "other_n", "odd", "other_odd"),
     )
-    return pairs.select(F.least("text_id", "b").alias("a"), F.greatest("text_id", "b").alias("b")).distinct()
+    return pairs.select(
+        F.least("text_id", "other_text_id").alias("a"), F.greatest("text_id", "other_text_id").alias("b")
+    ).distinct()
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     """The pairs whose texts are similar."""
-    left = bodies.select(F.col("body_id").alias("id_a"), F.col("text").alias("text_a"))
-    right = bodies.select(F.col("body_id").alias("id_b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, F.col("b") == F.col("id_b")).join(left, F.col("a") == F.col("id_a"))
+    left, right = (
+        bodies.select(*[F.col(c).alias(f"{name}_{side}") for c, name in (("body_id", "id"), ("text", "text"), ("body_n", "n"), ("odd", "odd"))])
+        for side in ("a", "b")
+    )
+    short = left.select("id_a", "n_a", "odd_a"), right.select("id_b", "n_b", "odd_b")
+    # First without the texts, which only go with the pairs that may be similar.
+    possible = (
+        pairs.join(short[0], F.col("a") == F.col("id_a")).join(short[1], F.col("b") == F.col("id_b"))
+        .filter(_may_be_similar("n_a", "n_b", "odd_a", "odd_b"))
+        .select("a", "b")
+    )
+    possible = cut(possible, "possible")
+    both = (
+        possible.join(right.select("id_b", "text_b"), F.col("b") == F.col("id_b"))
+        .join(left.select("id_a", "text_a"), F.col("a") == F.col("id_a"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(maxsize=64)
