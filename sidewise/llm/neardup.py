@@ -47,7 +47,7 @@ SKETCHES, SKETCH_SIZE = 24, 4
 FEW_SHINGLES, FEW_SIZE = 20, 2
 PARITY_BITS = 1024
 # Members of a random part of a bucket, about.
-PART = 8
+PART = 3
 BATCH_BYTES = 8 << 20
 _CACHED_WORDS = 300_000
 
