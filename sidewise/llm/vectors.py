@@ -28,7 +28,9 @@ from sidewise.llm.common import only
 from sidewise.plans.storage import cut
 
 BLOCK = 4096
-LEAF = 16
+LEAF = 128
+# Centres that a node tries; points near none of them share leaves of their own.
+CENTRES = 24
 SEEDS = 64
 
 
@@ -36,7 +38,8 @@ class CoverTree:
     """A simplified cover tree over the rows of ``points``, in arrays: centre, radius, children, members.
 
     Nodes are built from the top: a node's points within half its radius of its centre stay with the centre, the others get
-    centres of their own no closer than that (the cover and separation conditions). Leaves hold up to ``LEAF`` points.
+    centres of their own no closer than that (the cover and separation conditions). In many dimensions most points are near
+    nothing; those share leaves around the node's centre. Leaves hold up to ``LEAF`` points.
     """
 
     def __init__(self, points: np.ndarray):
@@ -49,24 +52,39 @@ class CoverTree:
         if len(points):
             self._build(0, np.arange(len(points)))
 
-    def _build(self, centre: int, members: np.ndarray) -> int:
-        node = len(self.centre)
+    def _leaf(self, centre: int, members: np.ndarray) -> int:
         distances = np.sqrt(((self.points[members] - self.points[centre]) ** 2).sum(axis=1))
-        radius = float(distances.max())
+        return self._node(centre, float(distances.max()), members)
+
+    def _node(self, centre: int, radius: float, members: np.ndarray) -> int:
         self.centre.append(centre)
         self.radius.append(radius)
         self.children.append([])
         self.members.append(members)
+        return len(self.centre) - 1
+
+    def _build(self, centre: int, members: np.ndarray) -> int:
+        distances = np.sqrt(((self.points[members] - self.points[centre]) ** 2).sum(axis=1))
+        radius = float(distances.max())
+        node = self._node(centre, radius, members)
         if len(members) <= LEAF or radius == 0.0:
             return node
         rest, near = members, distances <= radius / 2
-        where, children = centre, []
-        while len(rest):
-            children.append(self._build(where, rest[near]))
+        where, children, alone = centre, [], []
+        for _ in range(CENTRES):
+            own = rest[near]
+            if len(own) > LEAF // 4:
+                children.append(self._build(where, own))
+            else:
+                alone.append(own)
             rest = rest[~near]
-            if len(rest):
-                where = int(rest[0])
-                near = np.sqrt(((self.points[rest] - self.points[where]) ** 2).sum(axis=1)) <= radius / 2
+            if not len(rest):
+                break
+            where = int(rest[0])
+            near = np.sqrt(((self.points[rest] - self.points[where]) ** 2).sum(axis=1)) <= radius / 2
+        scattered = np.concatenate([*alone, rest])
+        for i in range(0, len(scattered), LEAF):
+            children.append(self._leaf(centre, scattered[i : i + LEAF]))
         self.children[node] = children
         return node
 
