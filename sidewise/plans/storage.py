@@ -33,7 +33,7 @@ def cut(df: DataFrame, purpose: str = "rows") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, purpose)
-    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.parquet(path)
+    df.toDF(*[f"c{i}" for i in range(len(df.columns))]).write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path).toDF(*df.columns)
 
 
