@@ -92,7 +92,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def labelled_shingles(values: np.ndarray) -> np.ndarray:
-    """Shingle hashes combined with how often the shingle has occurred before."""
+    """Shingle hashes, those of repetitions combined with how often the shingle has occurred before.
+
+    First occurrences keep their hash, so that a text shares them with a copy whether or not either repeats anything.
+    """
     order = np.argsort(values, kind="stable")
     ordered = values[order]
     new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
@@ -102,7 +105,7 @@ def labelled_shingles(values: np.ndarray) -> np.ndarray:
     seen = places - np.maximum.accumulate(np.where(new, places, 0))
     occurrence = np.empty(len(values), np.uint64)
     occurrence[order] = seen
-    return _mixed(values + occurrence * np.uint64(0xD1B54A32D192ED03))
+    return np.where(occurrence > 0, _mixed(values + occurrence * np.uint64(0xD1B54A32D192ED03)), values)
 
 
 def parities(labelled: np.ndarray) -> list[int]:

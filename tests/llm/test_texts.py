@@ -126,6 +126,28 @@ def test_near_duplicates(spark):
     assert {tuple(r) for r in kept.collect()} == {(i, texts[i], "n", i) for i in set(want.values())}
 
 
+def test_near_duplicates_that_gain_or_lose_a_repetition(spark):
+    texts, alike = [], {}
+    for group in range(6):
+        lines = [words(f"line {group} {i}", 10) for i in range(20 + 4 * group)]
+        again = [*lines[:15], lines[3], *lines[15:]]
+        # Without a repetition, with one line repeated, with it and an edit, and with the repetition edited away.
+        edited = [*again[:-1], [*again[-1][:5], "edit", *again[-1][6:]]]
+        broken = [*again[:15], ["other", *again[15][1:4], "new", *again[15][5:9], "last"], *again[16:]]
+        for made in (lines, again, edited, broken):
+            alike[len(texts)] = 4 * group
+            texts.append(" ".join(word for line in made for word in line))
+    values = [neardup.shingles(neardup.words_of(t)) for t in texts]
+    for i, first in alike.items():
+        assert neardup.similar(values[first].tolist(), values[i].tolist())
+        assert all(alike[j] == first or not neardup.similar(values[j].tolist(), values[i].tolist()) for j in alike)
+    whole, repeated = (set(neardup.labelled_shingles(values[i]).tolist()) for i in (0, 1))
+    assert len(set(values[0].tolist())) == len(values[0]) and len(set(values[1].tolist())) < len(values[1])
+    assert len(whole & repeated) >= len(whole) - 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(docs).collect()} == alike
+
+
 def test_near_duplicates_of_little(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
