@@ -5,8 +5,8 @@ prefixes and suffixes, character n-grams. Transition weights say how languages f
 inside a text is labelled as such. Forward-backward gives each word's label probabilities; a text's language is the one with
 the largest mean probability, which is its score.
 
-Training uses a bounded sample: ``SAMPLE_DOCUMENTS`` labelled documents per language (drawn by a hash of the row, alike at
-any size) with at most ``SAMPLE_RUNS`` runs of ``RUN_WORDS`` words each. Runs of different languages are joined to
+Training uses a bounded sample: ``SAMPLE_DOCUMENTS`` distinct labelled texts per language, those of the smallest hashes, or all
+if there are fewer (so every language whose labelled texts have letters is learned, however many copies they have), with at most ``SAMPLE_RUNS`` runs of ``RUN_WORDS`` words each. Runs of different languages are joined to
 code-switched training sequences, from which the transitions are learned. The model is a few hundred kilobytes.
 
 Applying it is one pass over the texts. Emissions are computed once per distinct word and kept; all texts of a batch form one
@@ -26,9 +26,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sidewise.llm.common import quoted, slices
+from sidewise.plans.storage import cut
 
 UNDETERMINED = "und"
 SAMPLE_DOCUMENTS, SAMPLE_RUNS, RUN_WORDS = 400, 6, 30
@@ -219,17 +220,23 @@ def train_model(runs: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: i
 
 
 def sample_runs(docs: DataFrame, text_column: str, lang_column: str, may_learn: Column | None = None) -> list[tuple[str, list[str]]]:
-    """Runs of words of a bounded sample of labelled rows, spread evenly over each sampled text."""
+    """Runs of words of a bounded sample of labelled texts, spread evenly over each sampled text."""
     rows = docs.filter(may_learn) if may_learn is not None else docs
     rows = rows.select(rows[quoted(lang_column)].alias("lang"), rows[quoted(text_column)].alias("text"))
-    rows = rows.filter("lang is not null and text is not null")
-    counts = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}
-    # Rows are drawn by a hash of their text, so that about the wanted number comes from each language.
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    chosen = F.lit(False)
+    # Texts without letters have no words to learn from.
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    rows = rows.withColumn("draw", F.xxhash64("text", F.lit(11)))
+    # Drawn among distinct texts: copies are merged before the shuffle and neither count nor displace others.
+    pairs = cut(rows.select("lang", "draw").distinct(), "draws")
+    counts = {row["lang"]: row["count"] for row in pairs.groupBy("lang").count().collect()}
+    # Twice the wanted number is surely enough for the smallest draws and leaves the window few rows at any size.
+    few = F.lit(False)
     for language, count in counts.items():
-        limit = min(1.0, SAMPLE_DOCUMENTS / count) * (1 << 30)
-        chosen = F.when(F.col("lang") == language, draw < F.lit(int(limit))).otherwise(chosen)
+        limit = min((1 << 64) - 1, (1 << 64) * 2 * SAMPLE_DOCUMENTS // count) - (1 << 63)
+        few = F.when(F.col("lang") == language, F.col("draw") <= F.lit(limit)).otherwise(few)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = pairs.filter(few).withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCUMENTS).select("lang", "draw")
+    chosen = rows.join(F.broadcast(drawn), ["lang", "draw"], "left_semi").groupBy("lang", "draw").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -245,10 +252,7 @@ def sample_runs(docs: DataFrame, text_column: str, lang_column: str, may_learn:
                 [pa.array(languages, pa.string()), pa.array(runs, pa.list_(pa.string()))], ["lang", "run"]
             )
 
-    found = rows.filter(chosen).mapInArrow(run, "lang string, run array<string>")
-    # Copies of one text are drawn together; the limit keeps the sample bounded even then.
-    most = SAMPLE_DOCUMENTS * SAMPLE_RUNS * max(1, len(counts)) * 2
-    taken = found.distinct().orderBy(F.xxhash64("run", "lang"), "lang", "run").limit(most).collect()
+    taken = chosen.select("lang", "text").mapInArrow(run, "lang string, run array<string>").distinct().collect()
     return sorted((row["lang"], row["run"]) for row in taken if row["run"])
 
 

@@ -221,6 +221,20 @@ def test_language(spark):
     assert mixed[middle["start"] : middle["end"]] == sentence(GERMAN, 92)
 
 
+def test_language_learns_from_distinct_texts(spark):
+    english = [(sentence(ENGLISH, i), "en") for i in range(900)]
+    german = [(sentence(GERMAN, i), "de") for i in range(41)] + [(f"{i} !", "de") for i in range(500)]
+    rest = spark.createDataFrame([*english, *german, ("12", "fr"), (None, "es"), ("no label", None)], "text string, lang string")
+    copies = spark.range(200_000).select(F.lit(german[0][0]).alias("text"), F.lit("de").alias("lang"))
+    docs = rest.unionByName(copies)
+    got = languageid.sample_runs(docs, "text", "lang")
+    runs = {lang: {" ".join(run) for language, run in got if language == lang} for lang in ("en", "de")}
+    assert len(got) == len(runs["en"]) + len(runs["de"])
+    assert runs["de"] == {text for text, _ in german[:41]}
+    assert len(runs["en"]) == languageid.SAMPLE_DOCUMENTS and runs["en"] <= {text for text, _ in english}
+    assert languageid.sample_runs(docs.repartition(5), "text", "lang") == got
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "a text", None)], "doc_id long, text string, lang string")
     model = languageid.learn(docs)
