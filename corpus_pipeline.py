@@ -12,17 +12,21 @@ from sidewise.llm import exactdedup, languageid, neardup, packing, pii
 from sidewise.llm.queries import vocabulary
 from sidewise.plans.storage import cut
 
-# A text of which no language makes up half is rejected, as is one without letters.
-LEAST_SCORE = 0.5
 CAPACITY, END_ID = 1024, 2
 # SQL can express neither the learned model nor the alignment nor the packing.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of a recognised language; a missing label is filled with it."""
-    found = languageid.identify(docs, languageid.learn(docs))
-    kept = found.filter((F.col("__lang") != languageid.UNDETERMINED) & (F.col("__score") >= LEAST_SCORE))
+    """Keeps documents with letters, whatever the share of their main language; a missing label is filled with that.
+
+    Without any language to learn from, nothing can be told about the documents and all are kept as they are.
+    """
+    model = languageid.learn(docs)
+    if not model.languages:
+        return docs
+    # Only texts without letters have the score 0.
+    kept = languageid.identify(docs, model).filter(F.col("__score") > 0)
     return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
 
 

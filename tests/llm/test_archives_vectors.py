@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sidewise.llm import vectors, warc
+from sidewise.llm import languageid, vectors, warc
 from sidewise.plans.storage import shared_path
 
 
@@ -122,3 +122,35 @@ def test_pipeline(spark):
     assert set(range(3, 12)) <= set(rows)
     packed = STAGES[-1][1](spark, kept, "").collect()
     assert {r["doc_id"] for r in packed} == set(rows)
+
+
+def test_pipeline_keeps_mixed_short_and_unlabelled_documents(spark):
+    from corpus_pipeline import identify_language
+
+    lexicons = {
+        "en": "the and of that with which there they were this from have been through though".split(),
+        "de": "der die und nicht eine schreiben zwischen werden können durch über noch schon wieder".split(),
+        "fr": "le les est une dans pour que qui avec cette mais nous vous être leurs toujours".split(),
+    }
+    generator = random.Random(8)
+    text = lambda lang, n: " ".join(generator.choice(lexicons[lang]) for _ in range(n))
+    rows = [(None, text(lang, 25), lang) for _ in range(40) for lang in lexicons]
+    mixed = [". ".join(text(lang, 30) for lang in order) for order in (("en", "de", "fr"), ("fr", "en", "de"), ("en", "fr"), ("de", "en"))]
+    # Words that may be of any language.
+    short = ["zq", "ok", "a", "Mmmh", "x1y", "Öäß", "漢字"]
+    made = {i: t for i, t in enumerate([*mixed, *short])}
+    none = {100 + i: t for i, t in enumerate(["", "12 345 !!", None])}
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([*rows, *[(i, t, None) for i, t in (made | none).items()]], schema)
+    kept = identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and kept.filter("doc_id is null").count() == len(rows)
+    got = {r["doc_id"]: r for r in kept.filter("doc_id is not null").collect()}
+    assert {i: r["text"] for i, r in got.items()} == made
+    assert all(r["lang"] in lexicons for r in got.values())
+    # The case at hand: no language makes up half of such a text.
+    model = languageid.learn(docs)
+    scores = languageid.identify(docs.filter("doc_id in (0, 1)"), model).select("__score").collect()
+    assert all(r["__score"] < 0.5 for r in scores)
+
+    unlabelled = spark.createDataFrame([(i, t, None) for i, t in (made | none).items()], schema)
+    assert {tuple(r) for r in identify_language(spark, unlabelled, "").collect()} == {(i, t, None) for i, t in (made | none).items()}
