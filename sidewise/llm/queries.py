@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sidewise.llm import chat, exactdedup, languageid, neardup, packing, pii, tokenfiles, vectors, warc, wordbpe
+from sidewise.llm import ann, chat, exactdedup, fim, languageid, neardup, packing, pii, tokenfiles, variants, vectors, warc, wordbpe
 from sidewise.plans.storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,45 @@ def op6_warc_captures(spark: SparkSession, folder: str) -> DataFrame:
     archives = warc.write_archives(table(spark, folder, "pages"), target)
     captures = warc.read_archives(spark, target, archives)
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    """with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+    drawn as (
+        select doc_id, t, string_split(t, chr(10)) as lines, len(string_split(t, chr(10))) - 1 as whole,
+            ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2, ('0x' || h[17:24])::bigint as h3,
+            ('0x' || h[25:32])::bigint as h4 from d),
+    counted as (select *, whole + case when t = '' or ends_with(t, chr(10)) then 0 else 1 end as n from drawn),
+    placed as (
+        select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+            case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain'
+                when h4 % 100 < 50 then 'spm' else 'psm' end as form from counted),
+    cuts as (
+        select *, case when a > whole then t when a = 0 then '' else array_to_string(lines[1:a], chr(10)) || chr(10) end as first,
+            case when b > whole then t when b = 0 then '' else array_to_string(lines[1:b], chr(10)) || chr(10) end as upto from placed),
+    parts as (
+        select doc_id, t, n, form, first as prefix, substr(upto, length(first) + 1) as middle, substr(t, length(upto) + 1) as suffix
+        from cuts)
+    select doc_id, n::bigint as n, form, case when form != 'plain' then length(prefix) end as prefix_chars,
+        case when form != 'plain' then length(middle) end as middle_chars,
+        sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+            else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+        sha256(t) as restored_sha256 from parts"""
+)
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+@query()
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+@query()
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.variants_of_corpus(table(spark, folder, "documents"), least_length=7, least_count=2, typo_every=31)
