@@ -10,12 +10,13 @@ Changes: ``node_changes(node_id, change_status, category)`` and ``column_changes
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sidewise.functions.columns import col
 from sidewise.functions.labels import normalize_category
-from sidewise.plans.closure import CHILD, DEGREE, DOWN, PARENT, UP, VERTEX, closure, closure_both_ways, closures
+from sidewise.plans.closure import CHILD, DEGREE, DOWN, PARENT, UP, VERTEX, closure, closures
 from sidewise.plans.limits import Limited, first
 from sidewise.plans.sides import BASE, CURRENT
 
@@ -29,7 +30,10 @@ def of_env(side: str) -> Column:
 
 
 def lineage_diff(nodes: DataFrame) -> DataFrame:
-    """``node_id, change_status``: added, removed, or modified when the checksums differ or one is missing."""
+    """``node_id, change_status``: added, removed, or modified when the checksums differ or one is missing.
+
+    An id that a side holds more than once counts once, with its largest checksum.
+    """
     sums = {side: F.max(F.when(of_env(side), F.col("checksum"))).alias(f"{side}_sum") for side in (BASE, CURRENT)}
     return (
         nodes.groupBy("node_id")
@@ -46,17 +50,19 @@ def lineage_diff(nodes: DataFrame) -> DataFrame:
 
 
 def merged_nodes(nodes: DataFrame, changes: DataFrame | None = None) -> DataFrame:
-    """One row per node of either side with current's attributes preferred, ``base_schema`` where it differs, and the change."""
+    """One row per node of either side with current's attributes preferred, ``base_schema`` where it differs, and the change.
+
+    Of an id that a side holds more than once, each attribute has its largest value.
+    """
     attributes = [c for c in nodes.columns if c not in ("env", "node_id")]
-    whole = F.struct(*[col(c) for c in attributes])
-    preferred = F.max_by(whole, F.when(of_env(CURRENT), 1).otherwise(0))
+    in_current = F.bool_or(of_env(CURRENT))
     merged = nodes.groupBy("node_id").agg(
-        preferred.alias("n"),
-        F.max(F.when(of_env(BASE), F.col("schema_name"))).alias("base_schema"),
-        F.bool_or(of_env(CURRENT)).alias("in_current"),
+        *[F.when(in_current, F.max(F.when(of_env(CURRENT), col(c)))).otherwise(F.max(col(c))).alias(c) for c in attributes],
+        F.max(F.when(of_env(BASE), F.col("schema_name"))).alias("__base_schema"),
+        in_current.alias("__in_current"),
     )
-    differs = F.col("in_current") & (F.col("base_schema") != F.coalesce(F.col("n.schema_name"), F.lit("")))
-    rows = merged.select("node_id", "n.*", F.when(differs, F.col("base_schema")).alias("base_schema"))
+    differs = F.col("__in_current") & (F.col("__base_schema") != F.coalesce(F.col("schema_name"), F.lit("")))
+    rows = merged.select("node_id", *[col(c) for c in attributes], F.when(differs, F.col("__base_schema")).alias("base_schema"))
     return rows.join(lineage_diff(nodes) if changes is None else changes, "node_id", "left")
 
 
@@ -156,6 +162,116 @@ def impact_anchors(
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+class Radius(NamedTuple):
+    """``vertices``: ``node_id, column_name, impacted``. ``edges``: ``parent_node, parent_column, child_node, child_column,
+    on_path``, a NULL column standing for the node itself."""
+
+    vertices: DataFrame
+    edges: DataFrame
+
+
+def radius_anchors(
+    columns: DataFrame,
+    node_id: str,
+    column_name: str | None = None,
+    node_changes: DataFrame | None = None,
+    column_changes: DataFrame | None = None,
+    node_only: bool = False,
+) -> DataFrame:
+    """``vertex``: where the radius of one node or column starts.
+
+    A column starts at itself and a node at itself and its columns. With ``node_changes``, a node whose change is classified
+    starts where that change does: at itself if its change propagates, and at its changed columns; any other node at itself.
+    """
+    spark = columns.sparkSession
+    if column_name is not None:
+        one = spark.range(1).select(F.lit(node_id).alias("node_id"), F.lit(column_name).alias("column_name"))
+        return one.select(vertex().alias(VERTEX))
+    itself = spark.range(1).select(F.lit(node_id).alias("node_id"))
+    own = lambda df: df.filter(F.col("node_id") == node_id)
+    if node_changes is None:
+        if node_only:
+            return itself.select(vertex(column=None).alias(VERTEX))
+        current = columns.filter(of_env(CURRENT)) if "env" in columns.columns else columns
+        return itself.select(vertex(column=None).alias(VERTEX)).unionByName(own(current).select(vertex().alias(VERTEX))).distinct()
+    classified = own(node_changes).filter((F.col("change_status") == "modified") & F.col("category").isNotNull())
+    category = normalize_category(F.col("category"))
+    spreading = classified.filter(category.isin(*(PROPAGATING_NODE_ONLY if node_only else PROPAGATING)))
+    parts = [
+        itself.join(classified.select("node_id"), "node_id", "left_anti").select(vertex(column=None).alias(VERTEX)),
+        spreading.select(vertex(column=None).alias(VERTEX)),
+    ]
+    if column_changes is not None:
+        changed = own(column_changes).join(classified.select("node_id"), "node_id", "left_semi")
+        parts.append(changed.select(vertex().alias(VERTEX)))
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def radius_of(
+    nodes: DataFrame,
+    columns: DataFrame,
+    col_edges: DataFrame,
+    node_id: str,
+    column_name: str | None = None,
+    node_changes: DataFrame | None = None,
+    column_changes: DataFrame | None = None,
+    up: bool = True,
+    down: bool = True,
+    node_only: bool = False,
+) -> Radius:
+    """What one node or column is made of and flows into: vertices within reach of its anchors, and the edges among them.
+
+    The chosen node stays in the result when its own change is classified, even if the change does not start at it.
+    ``impacted`` tells whether a node is within reach; it is NULL without ``node_changes``.
+    """
+    anchors = radius_anchors(columns, node_id, column_name, node_changes, column_changes, node_only)
+    edges = _between_nodes(col_edges) if node_only else col_edges
+    above, below = _reach(edges, anchors, up, down)
+    kept = nodes.filter(F.lit(False))
+    if node_changes is not None and column_name is None:
+        kept = node_changes.filter(
+            (F.col("node_id") == node_id) & (F.col("change_status") == "modified") & F.col("category").isNotNull()
+        )
+    reached = above.unionByName(below).select(f"{VERTEX}.*").distinct()
+    vertices = _kept_vertices(nodes, columns, reached, kept.select("node_id"), node_only)
+    if node_changes is None:
+        vertices = vertices.withColumn("impacted", F.lit(None).cast("boolean"))
+    return Radius(vertices, kept_edges(edges, above, below))
+
+
+def kept_edges(col_edges: DataFrame, above: DataFrame, below: DataFrame) -> DataFrame:
+    """The edges between reached vertices: ``parent_node, parent_column, child_node, child_column, on_path``.
+
+    ``above`` and ``below`` hold ``vertex``: what leads to the anchors and what they lead to, the anchors in both. An edge lies on
+    a path from or to an anchor if both its ends are above or both below; any other one links a vertex above with one below.
+    """
+    sides = above.select(VERTEX, F.lit(True).alias("a")).unionByName(below.select(VERTEX, F.lit(False).alias("a")))
+    marks = sides.groupBy(VERTEX).agg(F.bool_or("a").alias("above"), F.bool_or(~F.col("a")).alias("below"))
+    ends = [
+        marks.select(F.col(VERTEX).alias(f"__{end}"), F.col("above").alias(f"{end}_above"), F.col("below").alias(f"{end}_below"))
+        for end in (PARENT, CHILD)
+    ]
+    edges = mixed_edges(col_edges).distinct()
+    found = edges.join(ends[0], F.col(PARENT) == F.col(f"__{PARENT}")).join(ends[1], F.col(CHILD) == F.col(f"__{CHILD}"))
+    on_path = (F.col("parent_above") & F.col("child_above")) | (F.col("parent_below") & F.col("child_below"))
+    return found.select(
+        F.col(f"{PARENT}.node_id").alias("parent_node"), F.col(f"{PARENT}.column_name").alias("parent_column"),
+        F.col(f"{CHILD}.node_id").alias("child_node"), F.col(f"{CHILD}.column_name").alias("child_column"), on_path.alias("on_path"),
+    )
+
+
+def _between_nodes(col_edges: DataFrame) -> DataFrame:
+    return col_edges.filter(F.col("parent_column").isNull() & F.col("child_column").isNull())
+
+
+def _reach(col_edges: DataFrame, anchors: DataFrame, up: bool, down: bool) -> tuple[DataFrame, DataFrame]:
+    """``vertex`` above and below the anchors, with the anchors themselves; one of a direction left out holds them alone."""
+    wanted = [way for way, on in ((UP, up), (DOWN, down)) if on]
+    found = dict(zip(wanted, closures(mixed_edges(col_edges), anchors, wanted) if wanted else ()))
+    start = anchors.select(VERTEX).distinct()
+    return tuple(found[way].select(VERTEX) if way in found else start for way in (UP, DOWN))
+
+
 def impact_radius(
     nodes: DataFrame,
     columns: DataFrame,
@@ -171,15 +287,35 @@ def impact_radius(
     Removed and classified modified nodes are kept even when not reached, with ``impacted`` false. With ``node_only``
     only edges between nodes count.
     """
-    edges = col_edges
-    if node_only:
-        edges = col_edges.filter(F.col("parent_column").isNull() & F.col("child_column").isNull())
+    return impact_radius_graph(nodes, columns, col_edges, node_changes, column_changes, up, down, node_only).vertices
+
+
+def impact_radius_graph(
+    nodes: DataFrame,
+    columns: DataFrame,
+    col_edges: DataFrame,
+    node_changes: DataFrame,
+    column_changes: DataFrame,
+    up: bool = True,
+    down: bool = True,
+    node_only: bool = False,
+) -> Radius:
+    """``impact_radius`` with the edges among what is within reach."""
+    edges = _between_nodes(col_edges) if node_only else col_edges
     anchors = impact_anchors(columns, node_changes, column_changes, node_only)
-    reached = closure_both_ways(mixed_edges(edges), anchors, up, down).select(f"{VERTEX}.*")
+    above, below = _reach(edges, anchors, up, down)
+    reached = above.unionByName(below).distinct().select(f"{VERTEX}.*")
     kept = node_changes.filter(
         (F.col("change_status") == "removed")
         | ((F.col("change_status") == "modified") & F.col("category").isNotNull())
     ).select("node_id")
+    return Radius(_kept_vertices(nodes, columns, reached, kept, node_only), kept_edges(edges, above, below))
+
+
+def _kept_vertices(
+    nodes: DataFrame, columns: DataFrame, reached: DataFrame, kept: DataFrame, node_only: bool
+) -> DataFrame:
+    """Known nodes that are reached or in ``kept``, the reached ones ``impacted``, and known columns that are reached."""
     marks = (
         reached.filter(F.col("column_name").isNull())
         .select("node_id", F.lit(True).alias("impacted"))
@@ -247,10 +383,14 @@ def impact_sets(nodes: DataFrame) -> DataFrame:
 def annotate_changes(
     nodes: DataFrame, columns: DataFrame, node_changes: DataFrame, column_changes: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """``nodes`` and ``columns`` with the change of each; an added or removed node marks all its columns."""
-    annotated = nodes.join(node_changes.select("node_id", "change_status", "category"), "node_id", "left")
-    of_node = node_changes.select("node_id", F.col("change_status").alias("__node"))
-    of_column = column_changes.select("node_id", "column_name", F.col("change_status").alias("__column"))
+    """``nodes`` and ``columns`` with the change of each; an added or removed node marks all its columns.
+
+    Every row of both stays; changes that are given more than once for an id count once, with their largest values.
+    """
+    once = node_changes.groupBy("node_id").agg(*[F.max(c).alias(c) for c in ("change_status", "category")])
+    annotated = nodes.join(once, "node_id", "left")
+    of_node = once.select("node_id", F.col("change_status").alias("__node"))
+    of_column = column_changes.groupBy("node_id", "column_name").agg(F.max("change_status").alias("__column"))
     marked = (
         columns.join(of_node, "node_id", "left")
         .join(of_column, ["node_id", "column_name"], "left")

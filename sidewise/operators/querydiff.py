@@ -45,10 +45,10 @@ def run_query(env: EnvPair, sql: str, limit: int | None, side: str = CURRENT, co
 
 
 def query_row_count(env: EnvPair, sql: str, side: str = CURRENT) -> int | None:
-    """All rows of a query, whatever the display limit; None when the query fails."""
+    """All rows of a query, whatever the display limit; None when it fails or names a table that cannot be opened."""
     try:
         return env.sql(sql, side).count()
-    except PySparkException:
+    except (ComparisonError, PySparkException):
         return None
 
 

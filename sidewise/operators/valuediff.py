@@ -86,8 +86,12 @@ def value_diff(
     unique on each side; NULL keys of a one-column key may repeat.
     """
     keys, values, facts = _plan(base, current, pk, columns, null_keys_may_repeat=True)
-    counts = _counts(base, current, keys, values, facts, statuses=False)
-    order = common_columns(base, current, keys, columns)
+    counts = cell_counts(base, current, keys, values, facts, statuses=False)
+    return match_rates(counts, keys, values, common_columns(base, current, keys, columns))
+
+
+def match_rates(counts: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """The rows of a value diff, from one row of ``cell_counts``."""
     rows = [
         _matched_row(name, F.col("common") if name in keys else F.col(f"equal_{values.index(name)}")) for name in order
     ]
@@ -112,7 +116,11 @@ def value_diff_status(
 ) -> DataFrame:
     """How often each outcome occurs per column: ``column, match_status, count_records, percent_of_total``."""
     keys, values, facts = _plan(base, current, pk, columns, null_keys_may_repeat=True)
-    counts = _counts(base, current, keys, values, facts, statuses=True)
+    return status_rows(cell_counts(base, current, keys, values, facts, statuses=True), keys, values)
+
+
+def status_rows(counts: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """The outcomes per column, from one row of ``cell_counts`` with statuses."""
     total = F.col("common") + F.col("added") + F.col("removed")
     outcomes = []
     for j, name in enumerate(keys):
@@ -227,12 +235,18 @@ def impact_value_diff(
     """
     keys = key_columns(base, pk)
     values = [c for c in common_columns(base, current, keys, columns) if c not in keys]
-    numeric = [
-        v
-        for v in values
-        if type_family(base.schema[v].dataType) == type_family(current.schema[v].dataType) == "numeric"
-    ]
-    counts = _changes(base, current, keys, values, numeric, facts or key_facts(base, current, keys))
+    numeric = numeric_columns(base, current, values)
+    counts = change_counts(base, current, keys, values, numeric, facts or key_facts(base, current, keys))
+    return change_rows(counts, values, numeric)
+
+
+def numeric_columns(base: DataFrame, current: DataFrame, values: Sequence[str]) -> list[str]:
+    """The columns that are numbers on both sides."""
+    return [v for v in values if {type_family(df.schema[v].dataType) for df in (base, current)} == {"numeric"}]
+
+
+def change_rows(counts: DataFrame, values: list[str], numeric: list[str]) -> DataFrame:
+    """One row per column, from one row of ``change_counts``."""
 
     def mean(side: str, name: str) -> Column:
         if name not in numeric:
@@ -258,7 +272,7 @@ def impact_value_diff(
     )
 
 
-def _changes(
+def change_counts(
     base: DataFrame, current: DataFrame, keys: list[str], values: list[str], numeric: list[str], facts: KeyFacts
 ) -> DataFrame:
     """One row of change counts: unique keys are joined, repeated ones counted without forming their pairs."""
@@ -315,7 +329,7 @@ def _plan(
     return keys, values, facts
 
 
-def _counts(base: DataFrame, current: DataFrame, keys: list[str], values: list[str], facts: KeyFacts, statuses: bool) -> DataFrame:
+def cell_counts(base: DataFrame, current: DataFrame, keys: list[str], values: list[str], facts: KeyFacts, statuses: bool) -> DataFrame:
     """One row of totals over the matched rows; NULL keys that may repeat are counted apart, without pairing them."""
     apart = len(keys) == 1 and facts.null_repeated
     left, right = (keyed(base, keys), keyed(current, keys)) if apart else (base, current)

@@ -9,7 +9,7 @@ from sidewise.operators import impact as I, lineage as L, results as R, schema a
 from sidewise.operators.selection import LineageGraph
 from sidewise.plans import closure as closures
 from sidewise.plans.closure import DOWN, UP, closure
-from sidewise.sources.artifacts import load_artifact_tables
+from sidewise.sources.artifacts import ArtifactTables, load_artifact_tables, write_artifacts
 from sidewise.sources.environments import EnvPair, Environment
 
 NODES = "env string, node_id string, name string, resource_type string, package_name string, schema_name string, materialized string, tags array<string>, checksum string, primary_key string"
@@ -319,3 +319,85 @@ def test_what_changed(spark):
     schema_changes = spark.createDataFrame([("a",)], "node_id string")
     rows = {r["node_id"]: r["what"] for r in R.what_changed(changes_, counts, schema_changes).collect()}
     assert rows == {"a": ["Code", "Row Count +50.0%", "Schema"], "b": ["Added Node"], "c": ["Removed Node"], "e": ["Row Count -100.0%"]}
+
+
+def test_radius_of_one_node_or_column(spark):
+    """m1(c) -> m2(c, y) -> m3(c); m2.y -> m4(year); m1 -> m5; m2.y has no source; m6 reads m1.c past m2 and feeds m3."""
+    nodes = spark.createDataFrame([(f"m{i}",) for i in range(1, 7)], "node_id string")
+    columns = spark.createDataFrame(
+        [("current", "m1", "c"), ("current", "m2", "c"), ("current", "m2", "y"), ("current", "m3", "c"), ("current", "m4", "year"), ("current", "m6", "c"), ("base", "m2", "gone")],
+        "env string, node_id string, column_name string",
+    )
+    links = [("m1", "c", "m2", "c"), ("m2", "c", "m3", "c"), ("m2", "y", "m4", "year"), ("m1", "c", "m6", "c"), ("m6", "c", "m3", "c")]
+    links += [("m1", None, "m2", None), ("m2", None, "m3", None), ("m2", None, "m4", None), ("m1", None, "m5", None), ("m2", "y", "m3", None)]
+    edges = spark.createDataFrame([*links, links[0]], "parent_node string, parent_column string, child_node string, child_column string")
+    of = lambda *args, **how: L.radius_of(nodes, columns, edges, *args, **how)
+    vertices = lambda radius: {(r["node_id"], r["column_name"]) for r in radius.vertices.collect()}
+    kept = lambda radius: {tuple(r)[:4]: r["on_path"] for r in radius.edges.collect()}
+
+    column = of("m2", "y")
+    assert vertices(column) == {("m2", "y"), ("m4", "year"), ("m3", None)}
+    assert kept(column) == {("m2", "y", "m4", "year"): True, ("m2", "y", "m3", None): True}
+    assert {r["impacted"] for r in column.vertices.collect()} == {None}
+    assert vertices(of("m3", "c")) == {("m3", "c"), ("m2", "c"), ("m1", "c"), ("m6", "c")}
+    assert vertices(of("m2", "c", up=False, down=False)) == {("m2", "c")} and kept(of("m2", "c", up=False, down=False)) == {}
+    # A node starts at itself and its columns; what hangs on its ancestors alone is out of reach.
+    whole = of("m2")
+    assert vertices(whole) == {("m1", None), ("m1", "c"), ("m2", None), ("m2", "c"), ("m2", "y"), ("m3", None), ("m3", "c"), ("m4", None), ("m4", "year")}
+    assert ("m1", None, "m5", None) not in kept(whole) and all(kept(whole).values()) and len(kept(whole)) == 7
+    # An edge from above to below that passes the anchor by is kept, but lies on no path through it.
+    aside = L.radius_of(nodes, columns, spark.createDataFrame([("m1", None, "m2", None), ("m2", None, "m3", None), ("m1", None, "m3", None)], edges.schema), "m2", node_only=True)
+    assert kept(aside) == {("m1", None, "m2", None): True, ("m2", None, "m3", None): True, ("m1", None, "m3", None): False}
+    assert vertices(of("m4", node_only=True)) == {("m4", None), ("m2", None), ("m1", None)}
+    assert vertices(of("nothing")) == set()
+
+    node_changes = spark.createDataFrame([("m1", "modified", "non_breaking"), ("m2", "modified", "breaking"), ("m4", "modified", "partial_breaking")], "node_id string, change_status string, category string")
+    column_changes = spark.createDataFrame([("m4", "year", "modified"), ("m1", "c", "modified")], "node_id string, column_name string, change_status string")
+    changed = lambda node, **how: of(node, None, node_changes, column_changes, **how)
+    flags = lambda radius: {(r["node_id"], r["column_name"]): r["impacted"] for r in radius.vertices.collect()}
+    # Breaking: everything below the node. Partially breaking: its changed column; the node stays, not impacted.
+    assert flags(changed("m2", up=False)) == {("m2", None): True, ("m3", None): True, ("m4", None): True}
+    assert flags(changed("m4", up=False)) == {("m4", None): False, ("m4", "year"): True}
+    assert flags(changed("m4", up=False, node_only=True)) == {("m4", None): True}
+    assert flags(changed("m1", up=False))[("m1", None)] is False and ("m3", "c") in flags(changed("m1", up=False))
+    # An unchanged node starts at itself alone.
+    assert flags(changed("m5")) == {("m5", None): True, ("m1", None): True}
+
+
+def test_repeated_node_ids_count_once(spark):
+    nodes = spark.createDataFrame([node("base", "a", "1"), node("base", "a", "2"), node("current", "a", "2"), node("current", "a", "1", schema="z"), node("current", "b", "1"), node("current", "b", "1")], NODES)
+    assert {tuple(r) for r in L.lineage_diff(nodes).collect()} == {("model.b", "added")}
+    merged = {r["node_id"]: (r["schema_name"], r["base_schema"]) for r in L.merged_nodes(nodes).collect()}
+    assert merged == {"model.a": ("z", "main"), "model.b": ("main", None)}
+    changes = spark.createDataFrame([("model.a", "modified", "breaking"), ("model.a", "modified", None)], "node_id string, change_status string, category string")
+    columns = spark.createDataFrame([("model.a", "x")], "node_id string, column_name string")
+    column_changes = spark.createDataFrame([("model.a", "x", "modified")] * 2, "node_id string, column_name string, change_status string")
+    annotated, marked = L.annotate_changes(nodes, columns, changes, column_changes)
+    assert annotated.count() == 6 and [r["change_status"] for r in marked.collect()] == ["modified"]
+
+
+def test_artifact_variants_and_round_trip(spark, tmp_path):
+    """Older forms of a field, files that hold no JSON object, and tables written and read back."""
+    old = {"nodes": {"model.p.a": {"name": "a", "resource_type": "model", "tags": "nightly", "checksum": "abc", "config": None}, "model.p.none": None, "model.p.odd": {"name": "odd", "tags": 5, "config": "x"}}, "child_map": None}
+    for name, text in (("good", json.dumps(old)), ("broken", '{"nodes": {'), ("list", "[1]"), ("empty", "")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "manifest.json").write_text(text)
+    tables = load_artifact_tables(spark, f"{tmp_path}/*/manifest.json", None, "base")
+    rows = {r["node_id"]: (r["tags"], r["checksum"], r["materialized"]) for r in tables.nodes.collect()}
+    assert rows == {"model.p.a": (["nightly"], "abc", None), "model.p.odd": ([], None, None)}
+    assert {r["artifact"].split("/")[-1] for r in tables.unreadable.collect()} == {"broken", "list"}
+
+    fields = "artifact string, node_id string, name string, resource_type string, package_name string, schema_name string, materialized string, tags array<string>, checksum string"
+    nodes = [("one", "model.p.a", 'a "quoted"', "model", "p", "main", "view", ["x", "y"], "1"), ("one", "source.p.s", "s", "source", None, None, None, [], None), ("two", "model.p.b", "b", "model", "p", "main", "table", [], "2")]
+    made = ArtifactTables(
+        spark.createDataFrame(nodes, fields),
+        spark.createDataFrame([("one", "model.p.a", "z", 1, "int"), ("one", "model.p.a", "b", 2, None), ("two", "model.p.b", "k", 1, "text")], "artifact string, node_id string, column_name string, ordinal int, data_type string"),
+        spark.createDataFrame([("one", "source.p.s", "model.p.a"), ("two", "model.p.a", "model.p.b")], "artifact string, parent_id string, child_id string"),
+        spark.createDataFrame([("two", "model.p.b", "k", "test.p.unique_b_k.1", "unique")], "artifact string, node_id string, column_name string, test_name string, test_type string"),
+    )
+    back = load_artifact_tables(spark, *write_artifacts(made, f"{tmp_path}/written"), "current")
+    named = {r["node_id"]: (r["name"], r["schema_name"], r["tags"], r["checksum"], r["primary_key"]) for r in back.nodes.collect()}
+    assert named == {"model.p.a": ('a "quoted"', "main", ["x", "y"], "1", None), "source.p.s": ("s", None, [], None, None), "model.p.b": ("b", "main", [], "2", "k")}
+    assert {(r["node_id"], r["column_name"], r["ordinal"], r["data_type"]) for r in back.columns.collect()} == {("model.p.a", "z", 1, "int"), ("model.p.a", "b", 2, None), ("model.p.b", "k", 1, "text")}
+    assert {(r["parent_id"], r["child_id"]) for r in back.edges.collect()} == {("source.p.s", "model.p.a"), ("model.p.a", "model.p.b"), ("model.p.b", "test.p.unique_b_k.1")}
+    assert [(r["column_name"], r["test_type"]) for r in back.node_tests.collect()] == [("k", "unique")] and back.unreadable.count() == 0

@@ -10,6 +10,8 @@ from sidewise.operators import histogram, impact, lineage, profile, results, row
 from sidewise.operators.querydiff import query_diff
 from sidewise.operators.selection import LineageGraph
 from sidewise.plans.sides import BASE, CURRENT
+from sidewise.plans.storage import shared_path
+from sidewise.sources.artifacts import ArtifactTables, load_artifact_tables, write_artifacts
 from workload.queries import ALL_CURRENT, COUNTS_SQL, pair, query
 from workload.tables import NAMES, derived, environments
 
@@ -34,11 +36,12 @@ def lineage_diff_rows(spark, folder):
 
 
 @query(
-    """select coalesce(c.node_id, b.node_id) as node_id, case when c.node_id is null then b.name else c.name end as name,
+    """, sides as (select node_id, env, max(name) as name, max(schema_name) as schema_name from nodes_t group by 1, 2)
+    select coalesce(c.node_id, b.node_id) as node_id, case when c.node_id is null then b.name else c.name end as name,
         case when c.node_id is null then b.schema_name else c.schema_name end as schema_name,
         case when b.schema_name <> c.schema_name then b.schema_name end as base_schema, d.change_status
-    from (select * from nodes_t where env = 'base') b
-    full outer join (select * from nodes_t where env = 'current') c on b.node_id = c.node_id
+    from (select * from sides where env = 'base') b
+    full outer join (select * from sides where env = 'current') c on b.node_id = c.node_id
     left join lineage_diff_t d on d.node_id = coalesce(c.node_id, b.node_id)""",
     "nodes_t lineage_diff_t",
 )
@@ -150,10 +153,10 @@ def impacted_columns_rows(spark, folder):
     return lineage.impacted_columns(edges, changes)
 
 
-def _radius_sql(node_only: bool) -> str:
+def _radius_sql(node_only: bool, result: str | None = None) -> str:
     categories = "'breaking', 'unknown'" + (", 'partial_breaking'" if node_only else "")
     edge_filter = "where parent_column is null and child_column is null" if node_only else ""
-    return f""", e as (select concat(parent_node, '|', coalesce(parent_column, '')) as p,
+    return f""", e as (select distinct concat(parent_node, '|', coalesce(parent_column, '')) as p,
         concat(child_node, '|', coalesce(child_column, '')) as c from col_edges_t {edge_filter}),
     anchors as (
         select concat(node_id, '|') as id from node_changes_t
@@ -164,8 +167,12 @@ def _radius_sql(node_only: bool) -> str:
         where n.change_status = 'modified' and n.category is not null),
     up(id) as (select id from anchors union select e.p from e join up r on e.c = r.id),
     down(id) as (select id from anchors union select e.c from e join down r on e.p = r.id),
-    reach as (select id from up union select id from down),
-    hits as (select distinct * from ({_pairs()}) h),
+    reach as (select id from up union select id from down){"" if result else ","}
+    {result or _radius_rows_sql(node_only)}"""
+
+
+def _radius_rows_sql(node_only: bool) -> str:
+    return f"""hits as (select distinct * from ({_pairs()}) h),
     node_rows as (select n.node_id, cast(null as varchar) as column_name,
             n.node_id in (select node_id from hits where column_name is null) as impacted
         from (select distinct node_id from nodes_t) n
@@ -193,6 +200,95 @@ def impact_radius_node_only(spark, folder):
     return lineage.impact_radius(*derived(spark, folder, *_RADIUS.split()), node_only=True)
 
 
+# The radius of one node or column, and the edges kept
+
+
+def _anchored_sql(anchors: str, result: str, edge_filter: str = "") -> str:
+    """``hits``: everything within reach of ``anchors``; ``result`` is the final select."""
+    return f""", e as (select distinct concat(parent_node, '|', coalesce(parent_column, '')) as p,
+        concat(child_node, '|', coalesce(child_column, '')) as c from col_edges_t {edge_filter}),
+    anchors as ({anchors}),
+    up(id) as (select id from anchors union select e.p from e join up r on e.c = r.id),
+    down(id) as (select id from anchors union select e.c from e join down r on e.p = r.id),
+    reach as (select id from up union select id from down),
+    hits as (select distinct * from ({_pairs()}) h)
+    {result}"""
+
+
+def _vertices_sql(impacted: str = "cast(null as boolean)", kept: str = "select null") -> str:
+    of_columns = impacted if impacted.startswith("cast") else "true"
+    return f"""select n.node_id, cast(null as varchar) as column_name, {impacted} as impacted
+        from (select distinct node_id from nodes_t) n
+        where n.node_id in (select node_id from hits where column_name is null) or n.node_id in ({kept})
+        union all select distinct c.node_id, c.column_name, {of_columns}
+        from columns_t c join hits h on c.node_id = h.node_id and c.column_name = h.column_name"""
+
+
+_EDGES_SQL = """select split_part(p, '|', 1) as parent_node, nullif(split_part(p, '|', 2), '') as parent_column,
+    split_part(c, '|', 1) as child_node, nullif(split_part(c, '|', 2), '') as child_column,
+    (p in (select id from up) and c in (select id from up)) or (p in (select id from down) and c in (select id from down)) as on_path
+    from e where p in (select id from reach) and c in (select id from reach)"""
+_NODE_ANCHORS = """select 'customer.7|' as id
+    union select concat(node_id, '|', column_name) from columns_t where env = 'current' and node_id = 'customer.7'"""
+_COLUMN_ANCHORS = "select 'part.5|p_retailprice' as id"
+_OWN_CHANGE = "select * from node_changes_t where node_id = 'customer.11' and change_status = 'modified' and category is not null"
+_CHANGE_ANCHORS = f"""select 'customer.11|' as id where not exists ({_OWN_CHANGE})
+    union select concat(node_id, '|') from ({_OWN_CHANGE}) o where category in ('breaking', 'unknown')
+    union select concat(node_id, '|', column_name) from column_changes_t where node_id in (select node_id from ({_OWN_CHANGE}) o)"""
+_ANCHORED = "nodes_t columns_t col_edges_t"
+
+
+def _radius_of(spark, folder, node_id, column_name=None):
+    return lineage.radius_of(*derived(spark, folder, *_ANCHORED.split()), node_id, column_name)
+
+
+@query(_anchored_sql(_NODE_ANCHORS, _vertices_sql()), _ANCHORED)
+def radius_of_node_vertices(spark, folder):
+    return _radius_of(spark, folder, "customer.7").vertices
+
+
+@query(_anchored_sql(_NODE_ANCHORS, _EDGES_SQL), _ANCHORED)
+def radius_of_node_edges(spark, folder):
+    return _radius_of(spark, folder, "customer.7").edges
+
+
+@query(_anchored_sql(_COLUMN_ANCHORS, _vertices_sql()), _ANCHORED)
+def radius_of_column_vertices(spark, folder):
+    return _radius_of(spark, folder, "part.5", "p_retailprice").vertices
+
+
+@query(_anchored_sql(_COLUMN_ANCHORS, _EDGES_SQL), _ANCHORED)
+def radius_of_column_edges(spark, folder):
+    return _radius_of(spark, folder, "part.5", "p_retailprice").edges
+
+
+@query(
+    _anchored_sql(
+        _CHANGE_ANCHORS,
+        _vertices_sql("n.node_id in (select split_part(id, '|', 1) from reach where id like '%|')", f"select node_id from ({_OWN_CHANGE}) o"),
+    ),
+    f"{_ANCHORED} node_changes_t column_changes_t",
+)
+def radius_of_changed_node_vertices(spark, folder):
+    *tables, nodes, columns = derived(spark, folder, *_ANCHORED.split(), "node_changes_t", "column_changes_t")
+    return lineage.radius_of(*tables, "customer.11", None, nodes, columns).vertices
+
+
+@query(
+    _anchored_sql(
+        "select 'order.7|' as id", _EDGES_SQL, "where parent_column is null and child_column is null"
+    ),
+    _ANCHORED,
+)
+def radius_of_node_only_edges(spark, folder):
+    return lineage.radius_of(*derived(spark, folder, *_ANCHORED.split()), "order.7", node_only=True).edges
+
+
+@query(_radius_sql(False, _EDGES_SQL), _RADIUS)
+def impact_radius_edges(spark, folder):
+    return lineage.impact_radius_graph(*derived(spark, folder, *_RADIUS.split())).edges
+
+
 @query(
     f""", {_IMPACTED} select n.node_id, n.node_id in (select node_id from node_changes_t) or n.node_id like 'nation.1%'
         or n.node_id in (select node_id from impacted) as impacted
@@ -288,6 +384,65 @@ def lineage_view_rows(spark, folder):
     return view.select("node_id", "change_status", "priority", "total", "more")
 
 
+# Artifacts: the current lineage written as the files of many projects and read back
+
+# Nodes and what leads to them are dealt to projects of a bounded size by a hash that both engines have.
+PROJECT_NODES = 2000
+
+
+def _artifacts(spark, folder):
+    nodes, edges, columns, tests = derived(spark, folder, "nodes_t", "edges_t", "columns_t", "node_tests_t")
+    nodes, edges, columns, tests = (df.filter(F.col("env") == CURRENT) for df in (nodes, edges, columns, tests))
+    nodes = nodes.drop("env").dropDuplicates(["node_id"])
+    projects = max(1, -(-nodes.count() // PROJECT_NODES))
+    project = lambda node: F.concat(F.lit("project-"), F.pmod(F.crc32(F.col(node).cast("binary")), F.lit(projects))).alias("artifact")
+    names = nodes.select("node_id", "name")
+    title = F.concat_ws("_", "test_type", "name", "column_name")
+    named = tests.join(names, "node_id").withColumn("test_name", F.concat(F.lit("test.sales."), title, F.lit(".t")))
+    tables = ArtifactTables(
+        nodes.select(project("node_id"), "*"), columns.select(project("node_id"), "*"),
+        edges.select(project("child_id"), "*"), named.select(project("node_id"), "node_id", "column_name", "test_name", "test_type"),
+    )
+    return load_artifact_tables(spark, *write_artifacts(tables, shared_path(spark, "artifacts")), CURRENT)
+
+
+_CURRENT_TESTS = """tests_n as (select t.node_id, t.column_name, concat('test.sales.', t.test_type, '_', n.name, '_', t.column_name, '.t') as test_name,
+    t.test_type from node_tests_t t join nodes_t n on n.node_id = t.node_id and n.env = 'current' where t.env = 'current')"""
+
+
+@query(
+    """select n.node_id, n.name, n.resource_type, n.package_name, n.schema_name, n.materialized, n.tag_text as tags, n.checksum, p.primary_key
+    from nodes_t n left join (select node_id, arg_min(column_name, ordinal) as primary_key from columns_t
+        where env = 'current' and node_id like 'order.%' and ordinal % 2 = 0 group by 1) p on p.node_id = n.node_id
+    where n.env = 'current'""",
+    "nodes_t columns_t",
+)
+def artifact_nodes(spark, folder):
+    nodes = _artifacts(spark, folder).nodes
+    return nodes.withColumn("tags", F.concat_ws(",", "tags")).select(
+        "node_id", "name", "resource_type", "package_name", "schema_name", "materialized", "tags", "checksum", "primary_key"
+    )
+
+
+@query("select node_id, column_name, ordinal, data_type from columns_t where env = 'current'", "columns_t")
+def artifact_columns(spark, folder):
+    return _artifacts(spark, folder).columns.select("node_id", "column_name", "ordinal", "data_type")
+
+
+@query(
+    f""", {_CURRENT_TESTS} select distinct parent_id, child_id from edges_t where env = 'current'
+    union select node_id, test_name from tests_n""",
+    "edges_t node_tests_t nodes_t",
+)
+def artifact_edges(spark, folder):
+    return _artifacts(spark, folder).edges.select("parent_id", "child_id")
+
+
+@query(f", {_CURRENT_TESTS} select distinct node_id, column_name, test_name, test_type from tests_n", "node_tests_t nodes_t")
+def artifact_tests(spark, folder):
+    return _artifacts(spark, folder).node_tests.select("node_id", "column_name", "test_name", "test_type")
+
+
 # Selection
 
 

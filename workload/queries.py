@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sidewise.functions.columns import col
@@ -11,6 +12,7 @@ from sidewise.functions.compare import any_changed
 from sidewise.operators import distribution, histogram, profile, querydiff, rowcount, rowdiff, topk, valuediff
 from sidewise.plans.sides import base_of, current_of
 from sidewise.plans.storage import shared_path
+from sidewise.sources.environments import EnvPair, Environment, Model
 from sidewise.sources.export import export_rows
 from workload.tables import CURRENT_SQL, NAMES, environments, with_tables
 
@@ -120,6 +122,25 @@ def query_totals_orders(spark, folder):
     return querydiff.query_totals(environments(spark, folder), "select distinct o_custkey from orders", 2000)
 
 
+TOTALS = {
+    "orders": "select distinct o_custkey from orders",
+    "unknown table": "select * from no_such_table",
+    "unknown column": "select no_such_column from orders",
+    "no query": "selec 1",
+}
+
+
+@query(
+    "select 'orders' as query_name, (select count(*) from (select distinct o_custkey from cur_orders) o) as total union all "
+    + " union all ".join(f"select '{name}', null" for name in TOTALS if name != "orders"),
+    "cur_orders",
+)
+def query_totals_failing(spark, folder):
+    env = environments(spark, folder)
+    totals = [(name, querydiff.query_row_count(env, sql)) for name, sql in TOTALS.items()]
+    return spark.createDataFrame(totals, "query_name string, total long")
+
+
 @query("select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from cur_customer", "cur_customer")
 def export_rows_customer(spark, folder):
     df = environments(spark, folder).table("customer", "current")
@@ -394,16 +415,19 @@ def row_diff_nested_embeddings(spark, folder):
     return rowdiff.row_diff(base, current, "vec_id").select("vec_id", "status")
 
 
+# A column whose type changes family differs in every row, whatever it holds.
+TYPE_CHANGED = "select o_orderkey, cast(o_custkey as varchar(20)) as o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority from cur_orders"
+
+
 @query(
-    """select coalesce(b.o_orderkey, c.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'added'
-        when c.o_orderkey is null then 'removed' else 'modified' end as status
-    from orders b full outer join cur_orders c on b.o_orderkey = c.o_orderkey""",
+    f", c0 as ({TYPE_CHANGED})"
+    + _row_diff_sql("orders", "c0", "o_orderkey", ORDER_FLOATS).replace("b.o_custkey is distinct from c.o_custkey", "(b.o_custkey is not null or c.o_custkey is not null)"),
     "cur_orders",
 )
 def row_diff_type_change(spark, folder):
-    base, current = (df.select("o_orderkey", "o_custkey") for df in pair(spark, folder, "orders"))
+    base, current = pair(spark, folder, "orders")
     current = current.withColumn("o_custkey", F.col("o_custkey").cast("string"))
-    return rowdiff.row_diff(base, current, "o_orderkey").select("o_orderkey", "status")
+    return _flat(rowdiff.row_diff(base, current, "o_orderkey"))
 
 
 @query(
@@ -485,6 +509,29 @@ def row_count_diff_all(spark, folder):
     return rowcount.row_count_diff(environments(spark, folder), [*NAMES, "unknown"])
 
 
+@query(
+    " union all ".join(f"select '{n}' as name, count(*) as row_count, 'ok' as status from cur_{n}" for n in NAMES)
+    + """ union all select * from (values ('unknown', null, 'not_in_manifest'), ('exposed', null, 'unsupported_resource_type'),
+        ('inlined', null, 'unsupported_materialization'), ('gone', null, 'table_not_found'), ('secret', null, 'permission_denied')) v""",
+    ALL_CURRENT,
+)
+def row_count_statuses(spark, folder):
+    """The tables, and names that cannot be counted for every reason there is."""
+    env = environments(spark, folder)
+
+    def denied():
+        raise AnalysisException("A catalog refuses access", errorClass="INSUFFICIENT_PERMISSIONS", messageParameters={})
+
+    orders = lambda: env.table("orders")
+    odd = [
+        Model("exposed", orders, resource_type="exposure"), Model("inlined", orders, materialized="ephemeral"),
+        Model("gone", lambda: spark.read.parquet(f"{folder}/no_such_table.parquet")), Model("secret", denied),
+    ]
+    models = env.current.models | {model.name: model for model in odd}
+    pair_of = EnvPair(env.base, Environment(spark, models))
+    return rowcount.row_count(pair_of, [*NAMES, "unknown", *(model.name for model in odd)])
+
+
 @query(
     f"""select name, base, curr, curr - base as delta,
         case when base = curr then '0' else concat(case when base < curr then '+' else '-' end,
@@ -524,6 +571,20 @@ def query_diff_side_by_side_priority(spark, folder):
     return _flat(querydiff.query_diff_side_by_side(environments(spark, folder), sql, pk="o_orderpriority"))
 
 
+BY_SEGMENT = "select c_mktsegment, c_nationkey, count(*) as n, sum(c_custkey) as keys from customer group by 1, 2"
+_PLACED = "select *, row_number() over (order by c_nationkey nulls last, c_mktsegment nulls last) as row_number from"
+
+
+@query(
+    f""", b0 as ({_PLACED} ({BY_SEGMENT}) s), c0 as ({_PLACED} ({BY_SEGMENT.replace('from customer', 'from cur_customer')}) s)
+    {_row_diff_sql('b0', 'c0', 'row_number', dict.fromkeys(('c_mktsegment', 'c_nationkey', 'n', 'keys'), False))}""",
+    "cur_customer",
+)
+def query_diff_side_by_side_positional(spark, folder):
+    env = environments(spark, folder)
+    return _flat(querydiff.query_diff_side_by_side(env, BY_SEGMENT, order_by=["c_nationkey", "c_mktsegment"]))
+
+
 PREVIEW = "select c_custkey, c_name, c_nationkey, round(c_acctbal, 0) as c_acctbal, c_mktsegment from customer"
 
 
@@ -650,21 +711,35 @@ def profile_approx_error(spark, folder):
     return both.select("column_name", "distinct_count", error.alias("within_error"))
 
 
-PROFILE_FIELDS = ("row_count", "distinct_count", "avg", "median")
+PROFILE_FIELDS = (
+    "data_type", "row_count", "not_null_proportion", "distinct_proportion", "distinct_count", "is_unique", "min", "max", "avg", "median",
+)
+
+
+def _with_bounds(profiles: str) -> str:
+    """A profile with its bounds as text, as the comparison shows them."""
+    bounds = ", ".join(
+        f"""case when data_type in ('int', 'bigint') then cast(cast({f}_number as bigint) as varchar)
+            when {f}_number is not null then cast({f}_number as varchar) else cast({f}_time as varchar) end as "{f}\""""
+        for f in ("min", "max")
+    )
+    return f"select *, {bounds} from ({profiles}) p"
+
+
+PROFILE_FLOATS = {"not_null_proportion": 9, "distinct_proportion": 9, "avg": 4, "median": 6}
 
 
 @query(
-    f""", b0 as ({_profile_sql('orders', ORDER_PROFILE)}), c0 as ({_profile_sql('cur_orders', ORDER_PROFILE)})
-    select b.column_name, {", ".join(f"b.{f} as base__{f}, c.{f} as current__{f}" for f in PROFILE_FIELDS)},
-    case when {" or ".join(_changed_sql(f, f in ('not_null_proportion', 'distinct_proportion', 'avg', 'median'))
-        for f in ('row_count', 'not_null_proportion', 'distinct_proportion', 'distinct_count', 'is_unique', 'min_number', 'max_number', 'min_time', 'max_time', 'avg', 'median'))}
-        then 'modified' end as status
+    f""", b0 as ({_with_bounds(_profile_sql('orders', ORDER_PROFILE))}), c0 as ({_with_bounds(_profile_sql('cur_orders', ORDER_PROFILE))})
+    select b.column_name, {", ".join(f'b."{f}" as base__{f}, c."{f}" as current__{f}' for f in PROFILE_FIELDS)},
+    case when {" or ".join(_changed_sql(f'"{f}"', f in PROFILE_FLOATS) for f in PROFILE_FIELDS)} then 'modified' end as status
     from b0 b join c0 c on b.column_name = c.column_name""",
     "cur_orders",
 )
 def profile_diff_orders(spark, folder):
     diff = profile.profile_diff(*pair(spark, folder, "orders"))
-    diff = _rounded(_rounded(diff, 4, "base__avg", "current__avg"), 6, "base__median", "current__median")
+    for field, digits in PROFILE_FLOATS.items():
+        diff = _rounded(diff, digits, base_of(field), current_of(field))
     return diff.select("column_name", *[f(n) for n in PROFILE_FIELDS for f in (base_of, current_of)], "status")
 
 
@@ -1007,26 +1082,55 @@ def top_values_exact(spark, folder):
     )
 
 
-@query(_density_sql("orders"), "cur_orders")
+@query(
+    f"""select 'base' as side, d.*, (select count(*) from orders) as total from ({_density_sql("orders")}) d
+    union all select 'curr', d.*, (select count(*) from cur_orders) from ({_density_sql("cur_orders")}) d""",
+    "cur_orders",
+)
 def distribution_diff_histograms(spark, folder):
-    diff = distribution.distribution_diff(*pair(spark, folder, "orders"), mode="exact")
-    return _edges(diff.filter("kind = 'histogram'"), "base_bin_edges", "base_density")
+    diff = distribution.distribution_diff(*pair(spark, folder, "orders"), mode="exact").filter("kind = 'histogram'")
+    sides = F.explode(
+        F.array(*[
+            F.struct(F.lit(s).alias("side"), F.col(f"{s}_bin_edges").alias("edges"), F.col(f"{s}_density").alias("density"), F.col(f"{s}_total").alias("total"))
+            for s in ("base", "curr")
+        ])
+    )
+    described = diff.select("column", sides.alias("s")).select("column", "s.*")
+    value = F.posexplode("edges").alias("edge", "value")
+    return described.select("column", "side", "density", "total", value).select(
+        "side",
+        "column",
+        F.col("edge").cast("long").alias("edge"),
+        F.round("value", 4).alias("value"),
+        F.round(F.get("density", F.col("edge")) * 1000, 6).alias("density"),
+        "total",
+    )
+
+
+COMMON_LABELS = ("p_brand", "p_size_text", "p_key_text")
+# Three labels of very different spread, the last one almost unique.
+LABELS = """select p_partkey, p_brand, concat('size ', p_size) as p_size_text, concat('group ', p_partkey % 40) as p_key_text from {part}"""
 
 
 @query(
-    f""", b0 as ({_top_values_sql('part', ('p_brand',), 12)}), c0 as ({_top_values_sql('cur_part', ('p_brand',), 12)}),
-    slots as (select value, min(slot) as slot from (select value, 2 * rank as slot from b0 union all select value, 2 * rank + 1 from c0) s group by 1),
-    kept as (select value from slots order by slot limit 12)
-    select row_number() over (order by b.rank nulls last, c.rank) as place, k.value, cast(b.rank as int) as base_rank,
-        cast(c.rank as int) as curr_rank, b.count as base_count, c.count as curr_count
-    from kept k left join b0 b on b.value = k.value left join c0 c on c.value = k.value""",
+    f""", bl as ({LABELS.format(part='part')}), cl as ({LABELS.format(part='cur_part')}),
+    b0 as ({_top_values_sql('bl', COMMON_LABELS, 12)}), c0 as ({_top_values_sql('cl', COMMON_LABELS, 12)}),
+    slots as (select "column", value, min(slot) as slot
+        from (select "column", value, 2 * rank as slot from b0 union all select "column", value, 2 * rank + 1 from c0) s group by 1, 2),
+    kept as (select "column", value from (select *, row_number() over (partition by "column" order by slot) as n from slots) t where n <= 12)
+    select k."column", row_number() over (partition by k."column" order by b.rank nulls last, c.rank) as place, k.value,
+        cast(b.rank as int) as base_rank, cast(c.rank as int) as curr_rank, b.count as base_count, c.count as curr_count
+    from kept k left join b0 b on b."column" = k."column" and b.value = k.value
+    left join c0 c on c."column" = k."column" and c.value = k.value""",
     "cur_part",
 )
 def distribution_diff_top_values(spark, folder):
-    base, current = (df.select("p_partkey", "p_brand") for df in pair(spark, folder, "part"))
-    diff = distribution.distribution_diff(base, current, ["p_brand"], mode="exact")
+    env = environments(spark, folder)
+    base, current = (env.sql(LABELS.format(part="part"), side) for side in ("base", "current"))
+    diff = distribution.distribution_diff(base, current, list(COMMON_LABELS), mode="exact")
     zipped = F.arrays_zip("values", "base_ranks", "curr_ranks", "base_counts", "curr_counts")
-    return diff.select(F.posexplode(zipped).alias("i", "z")).select(
+    return diff.select("column", F.posexplode(zipped).alias("i", "z")).select(
+        "column",
         (F.col("i") + 1).cast("long").alias("place"),
         F.col("z.values").alias("value"),
         F.col("z.base_ranks").alias("base_rank"),

@@ -188,15 +188,15 @@ NODE_CHANGES_SQL = """
                 when node_id like '%5' then null else 'non_breaking' end as category
     from lineage_diff_t"""
 COLUMN_CHANGES_SQL = """
-    select c.node_id, c.column_name, case when c.node_id like '%0' then 'unknown' else 'modified' end as change_status
+    select distinct c.node_id, c.column_name, case when c.node_id like '%0' then 'unknown' else 'modified' end as change_status
     from columns_t c join node_changes_t n on c.node_id = n.node_id
     where c.env = 'current' and n.change_status = 'modified' and (c.node_id like 'part.%' or c.column_name = 'line_2')"""
 LINEAGE_DIFF_SQL = """
-    select coalesce(b.node_id, c.node_id) as node_id,
-           case when b.node_id is null then 'added' when c.node_id is null then 'removed' else 'modified' end as change_status
-    from (select * from nodes_t where env = 'base') b
-    full outer join (select * from nodes_t where env = 'current') c on b.node_id = c.node_id
-    where b.node_id is null or c.node_id is null or b.checksum is null or c.checksum is null or b.checksum <> c.checksum"""
+    select node_id, case when base_rows = 0 then 'added' when current_rows = 0 then 'removed' else 'modified' end as change_status
+    from (select node_id, count(case when env = 'base' then 1 end) as base_rows, count(case when env = 'current' then 1 end) as current_rows,
+            max(case when env = 'base' then checksum end) as base_sum, max(case when env = 'current' then checksum end) as current_sum
+        from nodes_t group by node_id) s
+    where base_rows = 0 or current_rows = 0 or base_sum is null or current_sum is null or base_sum <> current_sum"""
 
 # Runs and checks, one run per event and one check per customer.
 RUNS_SQL = """
