@@ -14,6 +14,7 @@ from sidewise.functions.labels import delta_pct_of_base
 from sidewise.operators.rowcount import row_count_diff
 from sidewise.operators.valuediff import impact_value_diff
 from sidewise.plans.keys import key_facts_many
+from sidewise.plans.sides import BASE, CURRENT
 from sidewise.plans.storage import cut
 from sidewise.sources.environments import OK, EnvPair
 
@@ -52,11 +53,11 @@ def impact_analysis(
     those downstream (NULL status); ``schema_changes(node_id, column_name, change_status)``; ``unchecked(node_id)`` names
     models whose schema could not be compared (their schema changes read NULL). A model whose values cannot be compared,
     because a key column is missing or its table cannot be opened, has an ``error`` text and counts as potential; the
-    others go on. The list of models is read to plan their comparisons, in batches that are stored one by one; their rows
-    never leave the executors.
+    others go on. Models whose name neither environment lists are not even planned for. The others are read as a list to
+    plan their comparisons, in batches that are stored one by one; their rows never leave the executors.
     """
     wanted = cut(models.select("node_id", "name", "change_status", "materialized", "primary_key"), "models")
-    listed = list(wanted.toLocalIterator())
+    listed = list(_openable(env, wanted).toLocalIterator())
     keys = {m["name"]: (primary_keys or {}).get(m["name"], m["primary_key"]) for m in listed}
     counted = [m["name"] for m in listed if m["change_status"] != "removed"]
     compared = []
@@ -68,7 +69,7 @@ def impact_analysis(
             and m["materialized"] != "view"
             and not (skip_downstream_value_diff and m["change_status"] is None)
         ]
-    result = models.select("node_id", "name", "change_status", "materialized")
+    result = wanted.select("node_id", "name", "change_status", "materialized")
     result = result.join(_counts(env, counted), "name", "left") if counted else _without_counts(result)
     result = result.join(_values(env, {name: keys[name] for name in compared}), "name", "left")
     result = result.join(_schema_lists(schema_changes), "node_id", "left")
@@ -81,6 +82,16 @@ def impact_analysis(
     return _judged(result)
 
 
+def _openable(env: EnvPair, models: DataFrame) -> DataFrame:
+    """The models that an environment may open: no more than the environments list, unless they look names up."""
+    names = [env.side(side).names() for side in (BASE, CURRENT)]
+    if any(known is None for known in names):
+        return models
+    spark = models.sparkSession
+    known = spark.createDataFrame([(name,) for name in sorted({*names[0], *names[1]})], "name string")
+    return models.join(F.broadcast(known), "name", "left_semi")
+
+
 def _counts(env: EnvPair, names: Sequence[str]) -> DataFrame:
     counts = row_count_diff(env, names)
     return counts.select(

@@ -63,13 +63,17 @@ class Resolved:
     status: str
 
 
+def _no_other(name: str) -> Model | None:
+    return None
+
+
 @dataclass(frozen=True)
 class Environment:
     """Table names of one side. ``find`` is asked for names that are not listed in ``models``."""
 
     spark: SparkSession
     models: Mapping[str, Model] = field(default_factory=dict)
-    find: Callable[[str], Model | None] = lambda name: None
+    find: Callable[[str], Model | None] = _no_other
 
     @classmethod
     def of_frames(cls, spark: SparkSession, frames: Mapping[str, DataFrame]) -> Environment:
@@ -95,6 +99,10 @@ class Environment:
             return cls(spark, find=model)
         return cls(spark, {name: model(name) for name in names})
 
+    def names(self) -> list[str] | None:
+        """All names there are; None if names beyond the listed ones are looked up."""
+        return list(self.models) if self.find is _no_other else None
+
     def table(self, name: str) -> DataFrame | None:
         """The table, or None when this environment does not know it."""
         model = self._model(name)

@@ -10,9 +10,9 @@ from sidewise.operators import histogram, impact, lineage, profile, results, row
 from sidewise.operators.querydiff import query_diff
 from sidewise.operators.selection import LineageGraph
 from sidewise.plans.sides import BASE, CURRENT
-from sidewise.plans.storage import shared_path
+from sidewise.plans.storage import cut, shared_path
 from sidewise.sources.artifacts import ArtifactTables, load_artifact_tables, write_artifacts
-from workload.queries import ALL_CURRENT, COUNTS_SQL, pair, query
+from workload.queries import ALL_CURRENT, COUNTS_SQL, _impact_sql, pair, query
 from workload.tables import NAMES, derived, environments
 
 CHANGED_CUSTOMERS = "select node_id from lineage_diff_t where node_id like 'customer.%'"
@@ -584,15 +584,91 @@ def column_change_causes_rows(spark, folder):
     return causes.select("node_id", "column_name", "cause")
 
 
+# The given tables as nodes: the columns of both versions with their types, and how many of their cells are filled
+
+TABLE_COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value props", "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text",
+    "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+CURRENT_COLUMNS = TABLE_COLUMNS | {"part": "p_partkey p_name p_brand p_size p_retailprice p_grade"}
+
+
+def _filled_sql(env: str, name: str, column: str) -> str:
+    table = name if env == "base" else f"cur_{name}"
+    return f"""select '{env}' as env, '{name}' as node_id, '{column}' as column_name, (select count({column}) from {table}) as filled,
+        (select min(typeof({column})) from {table}) as data_type"""
+
+
+_CELLS_SQL = "cells as materialized (" + " union all ".join(
+    _filled_sql(env, name, column)
+    for env, tables in (("base", TABLE_COLUMNS), ("current", CURRENT_COLUMNS))
+    for name, columns in tables.items()
+    for column in columns.split()
+) + """), cell_pairs as (select coalesce(b.node_id, c.node_id) as node_id, coalesce(b.column_name, c.column_name) as column_name,
+    b.filled as base_filled, c.filled as current_filled, case when b.node_id is null then 'added' when c.node_id is null then 'removed'
+        when b.data_type <> c.data_type then 'modified' end as change_status
+    from (select * from cells where env = 'base') b full outer join (select * from cells where env = 'current') c
+        on b.node_id = c.node_id and b.column_name = c.column_name)"""
+
+
+def table_cells(spark, folder):
+    """``env, node_id, column_name, ordinal, data_type, filled`` of the given tables, from one pass over each version."""
+    env = environments(spark, folder)
+    parts = []
+    for side in (BASE, CURRENT):
+        for name in NAMES:
+            df = env.table(name, side)
+            facts = [
+                F.struct(F.lit(f.name).alias("column_name"), F.lit(i).alias("ordinal"), F.lit(f.dataType.simpleString()).alias("data_type"), F.count(f.name).alias("filled"))
+                for i, f in enumerate(df.schema.fields, 1)
+            ]
+            rows = df.agg(F.array(*facts).alias("facts"))
+            parts.append(rows.select(F.lit(side).alias("env"), F.lit(name).alias("node_id"), F.explode("facts").alias("f")))
+    return cut(reduce(lambda a, b: a.unionByName(b), parts).select("env", "node_id", "f.*"), "cells")
+
+
+@query(f", {_CELLS_SQL} select node_id, column_name, base_filled, current_filled, change_status from cell_pairs", ALL_CURRENT)
+def schema_diff_tables(spark, folder):
+    cells = table_cells(spark, folder)
+    changes = schema.schema_diff_ordered(cells).select("node_id", "column_name", "change_status")
+    filled = cells.groupBy("node_id", "column_name").agg(
+        *[F.max(F.when(F.col("env") == side, F.col("filled"))).alias(f"{side}_filled") for side in (BASE, CURRENT)]
+    )
+    return changes.join(filled, ["node_id", "column_name"]).select(
+        "node_id", "column_name", "base_filled", "current_filled", "change_status"
+    )
+
+
 @query(
-    """select * from (values ('p_partkey', 1, 1, 'bigint', 'bigint', false, null), ('p_name', 2, 2, 'string', 'string', false, null),
+    """select v.*, b.filled as base_filled, c.filled as current_filled
+    from (values ('p_partkey', 1, 1, 'bigint', 'bigint', false, null), ('p_name', 2, 2, 'string', 'string', false, null),
         ('p_brand', 3, 3, 'string', 'string', false, null), ('p_type', 4, null, 'string', null, false, 'removed'),
         ('p_size', 5, 4, 'int', 'bigint', false, 'modified'), ('p_retailprice', 6, 5, 'double', 'double', false, null),
         ('p_grade', null, 6, null, 'string', false, 'added'))
-    v(column_name, base_index, current_index, base_type, current_type, reordered, change_status)"""
+    v(column_name, base_index, current_index, base_type, current_type, reordered, change_status)
+    left join ("""
+    + " union all ".join(f"select '{c}' as column_name, count({c}) as filled from part" for c in TABLE_COLUMNS["part"].split())
+    + ") b on b.column_name = v.column_name left join ("
+    + " union all ".join(f"select '{c}' as column_name, count({c}) as filled from cur_part" for c in CURRENT_COLUMNS["part"].split())
+    + ") c on c.column_name = v.column_name",
+    "cur_part",
 )
 def schema_diff_frames_part(spark, folder):
-    return schema.schema_diff_frames(*pair(spark, folder, "part"))
+    """Both schemas side by side, with how many cells of each column are filled."""
+    base, current = pair(spark, folder, "part")
+
+    def filled(df, side):
+        counts = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count(c).alias(f"{side}_filled")) for c in df.columns])
+        return df.agg(counts.alias("facts")).select(F.inline("facts"))
+
+    diff = schema.schema_diff_frames(base, current)
+    return diff.join(filled(base, "base"), "column_name", "left").join(filled(current, "current"), "column_name", "left")
 
 
 # Impact analysis over the tables as models
@@ -608,13 +684,29 @@ MODEL_STATUS = {"orders": "modified", "customer": "modified", "part": "modified"
 MODEL_VIEWS = ("supplier",)
 
 
-def _models(spark):
-    rows = [
-        (f"model.{n}", n, MODEL_STATUS.get(n), "view" if n in MODEL_VIEWS else "table", MODEL_KEYS[n]) for n in MODEL_KEYS
-    ]
-    return spark.createDataFrame(
-        rows, "node_id string, name string, change_status string, materialized string, primary_key string"
-    )
+def _models(spark, folder):
+    """The tables as models. A table is changed if its two versions hold different rows; those not in ``MODEL_STATUS`` are read downstream."""
+    env = environments(spark, folder)
+    parts = []
+    for side in (BASE, CURRENT):
+        for name in MODEL_KEYS:
+            df = env.table(name, side)
+            columns = sorted(set(env.table(name, BASE).columns) & set(env.table(name, CURRENT).columns))
+            row = F.xxhash64(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))])
+            sums = df.agg(F.concat_ws("|", F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(20,0)"))).alias("checksum"))
+            parts.append(sums.select(F.lit(side).alias("env"), F.lit(f"model.{name}").alias("node_id"), "checksum"))
+    changes = lineage.lineage_diff(reduce(lambda a, b: a.unionByName(b), parts))
+    rows = [(f"model.{n}", n, "view" if n in MODEL_VIEWS else "table", MODEL_KEYS[n]) for n in MODEL_KEYS]
+    models = spark.createDataFrame(rows, "node_id string, name string, materialized string, primary_key string")
+    status = F.when(F.col("name").isin(list(MODEL_STATUS)), F.col("change_status"))
+    return cut(models.join(changes, "node_id", "left").withColumn("change_status", status), "table-models")
+
+
+# The columns whose means are compared.
+NUMBER_COLUMNS = set(
+    "n_regionkey c_nationkey c_acctbal s_nationkey s_acctbal p_size p_retailprice o_custkey o_totalprice l_orderkey l_suppkey "
+    "l_linenumber l_quantity l_extendedprice l_discount l_tax user_id value n_chars label quality toxic turn".split()
+)
 
 
 def _row_differs(name: str) -> str:
@@ -637,36 +729,76 @@ def _model_sql(name: str) -> str:
         {'true' if key == 'no_such_column' else 'false'} as failed, {counts} from {source}"""
 
 
-_IMPACT_SQL = f""", counted as ({" union all ".join(_model_sql(n) for n in MODEL_KEYS)}),
-    found as (select *, rows_added + rows_removed + rows_changed as affected_row_count,
+_VALUE_MODELS = [n for n, key in MODEL_KEYS.items() if n not in MODEL_VIEWS and key not in (None, "no_such_column")]
+_VALUE_SQL = " union all ".join(
+    f"select '{n}' as name, v.* from ("
+    + _impact_sql(n, f"cur_{n}", [MODEL_KEYS[n]], {c: c in NUMBER_COLUMNS for c in CURRENT_COLUMNS[n].split() if c != MODEL_KEYS[n] and c in TABLE_COLUMNS[n].split()})
+    + ") v"
+    for n in _VALUE_MODELS
+)
+_DIFFERENT_SQL = " union all ".join(
+    f"""select '{n}' as name, exists ((select {cs} from {n} except all select {cs} from cur_{n})
+        union all (select {cs} from cur_{n} except all select {cs} from {n})) as differs"""
+    for n in MODEL_STATUS
+    for cs in (", ".join(c for c in CURRENT_COLUMNS[n].split() if c in TABLE_COLUMNS[n].split()),)
+)
+_IMPACT_SQL = f""", {_CELLS_SQL}, counted as ({" union all ".join(_model_sql(n) for n in MODEL_KEYS)}),
+    valued as materialized ({_VALUE_SQL}),
+    touched as (select name, string_agg("column", ',' order by "column") as columns from valued where changed > 0 group by 1),
+    moved as (select node_id as name, string_agg(column_name || ':' || change_status, ',' order by column_name) as schema_changes,
+        string_agg(column_name, ',' order by column_name) as columns from cell_pairs where change_status is not null group by 1),
+    different as ({_DIFFERENT_SQL}),
+    found as (select n.*, rows_added + rows_removed + rows_changed as affected_row_count,
         case when rows_added is null then 'potential' when rows_added + rows_removed + rows_changed > 0 then 'confirmed' else 'none' end as data_impact,
-        case when name in ({", ".join(f"'{n}'" for n in MODEL_STATUS)}) then 'modified' end as change_status,
-        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) + 0 as delta_pct from counted)"""
+        case when d.differs then 'modified' end as change_status, m.schema_changes, m.columns as moved, t.columns as touched,
+        round(cast(current_rows - base_rows as double) / base_rows * 100, 1) + 0 as delta_pct
+        from counted n left join different d on d.name = n.name left join moved m on m.name = n.name left join touched t on t.name = n.name),
+    reasoned as (select *, case when data_impact = 'potential' and moved is not null then 'schema_changed_without_values'
+            when data_impact = 'potential' and change_status = 'modified' then 'changed_without_values'
+            when data_impact = 'potential' and name in ('supplier') then 'view_downstream_without_values'
+            when data_impact = 'potential' then 'downstream_without_values'
+            when data_impact = 'confirmed' and abs(delta_pct) <= 5 and rows_changed / cast(current_rows - rows_added as double) > 0.2
+                and current_rows > rows_added then 'many_values_changed_in_stable_rows' end as reason from found)"""
 
 
 def _impact(spark, folder):
-    changes = spark.createDataFrame([], "node_id string, column_name string, change_status string")
-    return impact.impact_analysis(environments(spark, folder), _models(spark), changes)
+    changes = schema.schema_diff(table_cells(spark, folder)).withColumn("node_id", F.concat(F.lit("model."), "node_id"))
+    return impact.impact_analysis(environments(spark, folder), _models(spark, folder), changes)
 
 
 @query(
-    f"""{_IMPACT_SQL} select name, change_status, base_rows, current_rows, current_rows - base_rows as delta, delta_pct, rows_added,
-        rows_removed, rows_changed, affected_row_count, data_impact, failed,
-        case when data_impact = 'potential' and change_status = 'modified' then 'high' when name in ('supplier') then 'low'
-             when data_impact = 'potential' then 'medium'
-             when data_impact = 'confirmed' and abs(delta_pct) <= 5 and rows_changed / cast(current_rows - rows_added as double) > 0.2
-                  and current_rows > rows_added then 'medium' end as priority
-    from found""",
+    f"""{_IMPACT_SQL} select concat('model.', name) as node_id, name, change_status, case when name in ('supplier') then 'view' else 'table' end as materialized,
+        base_rows, current_rows, current_rows - base_rows as delta, delta_pct, coalesce(schema_changes, '') as schema_changes,
+        rows_added, rows_removed, rows_changed, affected_row_count, data_impact, failed,
+        case when reason is not null then 'profile_diff' end as tool,
+        case reason when 'schema_changed_without_values' then moved when 'many_values_changed_in_stable_rows' then touched end as columns,
+        reason, case reason when 'schema_changed_without_values' then case when change_status = 'modified' then 'high' else 'medium' end
+            when 'changed_without_values' then 'high' when 'view_downstream_without_values' then 'low' when 'downstream_without_values' then 'medium'
+            when 'many_values_changed_in_stable_rows' then 'medium' end as priority
+    from reasoned""",
     ALL_CURRENT,
 )
 def impact_analysis_tables(spark, folder):
+    """All fields but the values of columns, which ``impact_analysis_columns`` lists."""
+    named = F.transform("schema_changes", lambda c: F.concat_ws(":", c["column"], c["change_status"]))
+    action = F.col("next_action")
     return _impact(spark, folder).select(
-        "name", "change_status", "base_rows", "current_rows", "delta", "delta_pct", "rows_added", "rows_removed", "rows_changed",
-        "affected_row_count", "data_impact", F.col("error").isNotNull().alias("failed"),
-        F.col("next_action.priority").alias("priority"),
+        "node_id", "name", "change_status", "materialized", "base_rows", "current_rows", "delta", "delta_pct",
+        F.array_join(named, ",").alias("schema_changes"), "rows_added", "rows_removed", "rows_changed", "affected_row_count", "data_impact",
+        F.col("error").isNotNull().alias("failed"), action["tool"].alias("tool"),
+        F.array_join(F.array_sort(action["columns"]), ",").alias("columns"), action["reason"].alias("reason"), action["priority"].alias("priority"),
     )
 
 
+@query(
+    f"""{_IMPACT_SQL} select name, "column", changed as affected_row_count, base_mean, current_mean from valued""",
+    ALL_CURRENT,
+)
+def impact_analysis_columns(spark, folder):
+    values = _impact(spark, folder).select("name", F.explode("value_columns").alias("v")).select("name", "v.*")
+    return values.withColumns({c: F.round(c, 4) for c in ("base_mean", "current_mean")})
+
+
 @query(
     f"""{_IMPACT_SQL} select count(*) as impacted_models, count(*) filter (where data_impact = 'confirmed') as confirmed,
         count(*) filter (where data_impact = 'none') as none, count(*) filter (where data_impact = 'potential') as potential,
@@ -676,9 +808,10 @@ def impact_analysis_tables(spark, folder):
     f"{ALL_CURRENT} nodes_t",
 )
 def impact_summary_row(spark, folder):
+    """The rows of the lineage tables are models too: none of them is a table, so none is planned for."""
     (nodes,) = derived(spark, folder, "nodes_t")
-    models = _models(spark).select("node_id").unionByName(nodes.select("node_id"))
-    return impact.impact_summary(_impact(spark, folder), models)
+    models = _models(spark, folder)
+    return impact.impact_summary(_impact(spark, folder), models.select("node_id").unionByName(nodes.select("node_id")))
 
 
 # Verdicts and logs
