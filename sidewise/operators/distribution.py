@@ -174,9 +174,9 @@ def distribution_diff(
         raise ComparisonError(f"Mode is {EXACT!r} or {APPROX!r}, not {mode!r}")
     sides = {side: df for side, df in (("base", base), ("curr", current)) if df is not None}
     probes = _probes(sides, columns, mode)
-    unique = _practically_unique(probes)
+    unique = practically_unique(probes)
     cuts = _cuts(sides, probes, mode)
-    return _assembled({s: _described_side(df, probes[s], cuts[s], unique, mode, k) for s, df in sides.items()}, k)
+    return assembled({s: _described_side(df, probes[s], cuts[s], unique, mode, k) for s, df in sides.items()}, k)
 
 
 def _probes(sides: dict[str, DataFrame], columns: Sequence[str] | None, mode: str) -> dict[str, list]:
@@ -210,7 +210,7 @@ def _exact_cuts(tables: dict[str, tuple[DataFrame, list[T.StructField]]]) -> dic
     return result
 
 
-def _practically_unique(probes: dict[str, list]) -> set[str]:
+def practically_unique(probes: dict[str, list]) -> set[str]:
     """Categorical columns whose larger distinct count nearly reaches the larger row count. One row per column is read."""
     cardinality: dict[str, int] = {}
     total = max((row["total"] for rows in probes.values() for row in rows), default=0)
@@ -232,7 +232,8 @@ def _described_side(df: DataFrame, probe: list, cuts: DataFrame, unique: set[str
     return bounds.join(cuts, "column", "left").join(top, "column", "left")
 
 
-def _assembled(described: dict[str, DataFrame], k: int) -> DataFrame:
+def assembled(described: dict[str, DataFrame], k: int) -> DataFrame:
+    """The rows of a distribution diff, from ``column, class, total, min, max, cuts, top`` of each side."""
     stacked = reduce(
         DataFrame.unionByName, [df.select(F.lit(side).alias("side"), "*") for side, df in described.items()]
     )
