@@ -75,3 +75,11 @@ def test_schema_comparison_is_one_shuffle(spark):
     )
     text = plan(schema.schema_diff(columns))
     assert text.count("Exchange hashpartitioning") + text.count("Exchange RoundRobin") == 1 and "Join" not in text
+
+
+def test_histograms_of_all_columns_read_each_side_once(orders):
+    from sidewise.operators import histogram
+
+    text = plan(histogram.histogram_diff_all(*orders))
+    # Base, and the two halves of current; as many for one column as for all.
+    assert text.count("FileScan") == plan(histogram.histogram_diff_all(*orders, ["o_custkey"])).count("FileScan") == 3

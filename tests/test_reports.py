@@ -250,3 +250,25 @@ def test_export(spark, tmp_path):
     with pytest.raises(ComparisonError):
         export_rows(df, f"{tmp_path}/other", "xlsx")
     assert spark.read.csv(export_rows(df, f"{tmp_path}/one", "tsv", max_rows=1), header=True, sep="\t").count() == 1
+
+
+def test_histograms_of_all_columns(spark):
+    """Each column as by itself: with NULLs, NaN, infinities, one value, no value, and times of every span."""
+    import datetime
+
+    day = datetime.datetime(2024, 1, 5)
+    rows = [(i, [None, float("nan"), float("inf"), i / 3][i % 4], 7.0, None, day + datetime.timedelta(days=i), day.date() + datetime.timedelta(days=40 * i), "x", 2**62 * (-1) ** i) for i in range(40)]
+    schema = "id int, x double, same double, none long, at timestamp, on date, word string, wide long"
+    base, current = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[10:], schema).withColumn("id", F.col("id").cast("long"))
+    found: dict = {}
+    for r in H.histogram_diff_all(base, current).collect():
+        found.setdefault(r["column"], []).append(tuple(r)[1:])
+    assert set(found) == {"id", "x", "same", "at", "on", "wide"}
+    for name, own in found.items():
+        alone = H.histogram_diff(base, current, name)
+        text = [F.col(c).cast("string") if c in ("bin_start", "bin_end") else F.col(c) for c in alone.columns]
+        assert sorted(own) == sorted(map(tuple, alone.select(*text).collect()))
+    assert H.histogram_diff_all(base, current, ["none"]).collect() == []
+    assert H.histogram_diff_all(base.select("word"), current.select("word")).collect() == []
+    with pytest.raises(UnsupportedTypeError):
+        H.histogram_diff_all(base, current, ["word"])

@@ -898,6 +898,44 @@ def histogram_diff_daily(spark, folder):
     return _histogram(histogram.histogram_diff(*pair(spark, folder, "events"), "ts"))
 
 
+def _numeric_sql(base: str, current: str, column: str) -> str:
+    size = "((hi - lo) / 50)"
+    return _binned_sql(base, current, column, "50", f"floor((v - lo) / {size})", f"lo + e.bin * {size}", f"lo + e.bin * {size} + {size}")
+
+
+_ALL_HISTOGRAMS = {
+    "orders": {
+        "o_orderkey": _integer_sql("orders", "cur_orders", "o_orderkey"), "o_custkey": _integer_sql("orders", "cur_orders", "o_custkey"),
+        "o_totalprice": _numeric_sql("orders", "cur_orders", "o_totalprice"),
+        "o_orderdate": _calendar_sql("orders", "cur_orders", "o_orderdate", "year", "(year(hi) - year(lo) + 1)"),
+    },
+    "part": {
+        "p_partkey": _integer_sql("part", "cur_part", "p_partkey"), "p_size": _integer_sql("part", "cur_part", "p_size"),
+        "p_retailprice": _numeric_sql("part", "cur_part", "p_retailprice"),
+    },
+}
+
+
+# Labels of double edges are left out: the engines print them differently.
+@query(
+    " union all ".join(
+        f"""select '{t}' as table_name, '{c}' as "column", bin, case when '{c}' not like '%price' then label end as label, base_count, curr_count,
+        base_total, curr_total from (with x0 as (select 1) {text}) h"""
+        for t, columns in _ALL_HISTOGRAMS.items()
+        for c, text in columns.items()
+    ),
+    "cur_orders cur_part",
+)
+def histogram_diff_all_columns(spark, folder):
+    parts = [
+        histogram.histogram_diff_all(*pair(spark, folder, name)).select(F.lit(name).alias("table_name"), "*") for name in _ALL_HISTOGRAMS
+    ]
+    label = F.when(~F.col("column").like("%price"), F.col("label"))
+    return parts[0].unionByName(parts[1]).withColumn("label", label).select(
+        "table_name", "column", "bin", "label", "base_count", "curr_count", "base_total", "curr_total"
+    )
+
+
 DUE = "select o_orderkey, cast(date '2020-01-15' + cast(o_custkey % 400 as integer) as date) as due from {orders}"
 
 
