@@ -9,10 +9,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from sidewise.errors import ComparisonError
+from sidewise.plans import chains
+from sidewise.plans.chains import DEGREE, VERTEX
 from sidewise.plans.storage import cut
 
-PARENT, CHILD, VERTEX, DEGREE = "parent", "child", "vertex", "degree"
+PARENT, CHILD = "parent", "child"
 UP, DOWN = "up", "down"
+# Levels that are taken one by one before chains are looked for.
+PLAIN_LEVELS = 24
 # A frontier is broadcast only while its measured size stays below this; larger ones are joined by shuffling.
 BROADCAST_BYTES = 32 * 1024 * 1024
 
@@ -24,7 +28,8 @@ def closure(
 
     ``edges`` holds ``parent, child`` and ``seeds`` holds ``vertex``; any type with equality will do. One pass per
     degree: the frontier meets the edges, what was seen before is dropped, the rest is stored and becomes the next
-    frontier. Cycles end because vertices are visited once.
+    frontier. Cycles end because vertices are visited once. Graphs deeper than ``PLAIN_LEVELS`` are gone on with by
+    ``plans.chains``, which takes long chains in one step.
     """
     if direction not in (UP, DOWN):
         raise ComparisonError(f"Direction is {UP!r} or {DOWN!r}, not {direction!r}")
@@ -53,6 +58,11 @@ def _spread(steps: DataFrame, start: DataFrame, direction: str, max_degree: int
     levels = [start.withColumn(DEGREE, F.lit(0))]
     size = _size(start)
     while size.count and (max_degree is None or len(levels) <= max_degree):
+        if max_degree is None and len(levels) > PLAIN_LEVELS:
+            source, target = (PARENT, CHILD) if direction == DOWN else (CHILD, PARENT)
+            onward = chains.spread(steps.select(F.col(source).alias("s"), F.col(target).alias("t")), levels[-1])
+            seen = reduce(DataFrame.unionByName, levels).unionByName(onward)
+            return cut(seen.groupBy(VERTEX).agg(F.min(DEGREE).alias(DEGREE)), "closure")
         level = cut(_next_level(steps, levels, direction, size.bytes <= BROADCAST_BYTES), "level")
         size = _size(level)
         if size.count:

@@ -401,3 +401,44 @@ def test_artifact_variants_and_round_trip(spark, tmp_path):
     assert {(r["node_id"], r["column_name"], r["ordinal"], r["data_type"]) for r in back.columns.collect()} == {("model.p.a", "z", 1, "int"), ("model.p.a", "b", 2, None), ("model.p.b", "k", 1, "text")}
     assert {(r["parent_id"], r["child_id"]) for r in back.edges.collect()} == {("source.p.s", "model.p.a"), ("model.p.a", "model.p.b"), ("model.p.b", "test.p.unique_b_k.1")}
     assert [(r["column_name"], r["test_type"]) for r in back.node_tests.collect()] == [("k", "unique")] and back.unreadable.count() == 0
+
+
+def plain_distances(edges, seeds):
+    """Breadth-first search on the driver."""
+    after = {}
+    for s, t in edges:
+        after.setdefault(s, set()).add(t)
+    found, frontier = dict.fromkeys(seeds, 0), set(seeds)
+    while frontier:
+        frontier = {t for s in frontier for t in after.get(s, ())} - set(found)
+        found |= dict.fromkeys(frontier, max(found.values()) + 1)
+    return found
+
+
+@pytest.mark.parametrize("segment", [3, 1024])
+def test_deep_closures(spark, monkeypatch, segment):
+    """Chains, loops, circles, branches and seeds inside chains: the distances of a plain search, from either direction."""
+    from sidewise.plans import chains
+
+    monkeypatch.setattr(closures, "PLAIN_LEVELS", 1)
+    monkeypatch.setattr(chains, "SEGMENT", segment)
+    edges = [(i, i + 1) for i in range(1, 14)] + [(14, 5), (7, 100), (100, 101), (101, 102), (102, 9)]  # a loop and a detour
+    edges += [(200, 201), (201, 202), (202, 200), (14, 300), (300, 301), (301, 302), (302, 303), (303, 303), (3, 400), (400, 3)]
+    table = spark.createDataFrame([*edges, edges[0]], "parent int, child int")
+    for direction, seeds in ((DOWN, [1]), (DOWN, [6, 12, 201]), (UP, [303, 10])):
+        way = edges if direction == DOWN else [(t, s) for s, t in edges]
+        found = closure(table, spark.createDataFrame([(s,) for s in seeds], "vertex int"), direction)
+        assert sorted(map(tuple, found.collect())) == sorted(plain_distances(way, seeds).items())
+
+
+def test_long_chain_in_few_jobs(spark):
+    """A chain of 10 000 vertices, which plain levels would take in as many jobs."""
+    chain = spark.range(10_000).selectExpr("concat('n', id) as parent", "concat('n', id + 1) as child")
+    seeds = spark.createDataFrame([("n0",)], "vertex string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("long-chain", "")
+    found = closure(chain, seeds, DOWN)
+    assert found.agg({"degree": "max", "vertex": "count"}).first().asDict() == {"max(degree)": 10_000, "count(vertex)": 10_001}
+    assert found.filter("degree != cast(substring(vertex, 2) as int)").isEmpty()
+    assert len(tracker.getJobIdsForGroup("long-chain")) < 600
+    spark.sparkContext.setJobGroup("", "")
