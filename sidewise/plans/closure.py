@@ -45,14 +45,6 @@ def closures(
     return [_spread(steps, start, direction, max_degree) for direction in directions]
 
 
-def closure_both_ways(edges: DataFrame, seeds: DataFrame, up: bool = True, down: bool = True) -> DataFrame:
-    """``vertex``: the seeds with all their ancestors and descendants."""
-    wanted = [way for way, on in ((UP, up), (DOWN, down)) if on]
-    if not wanted:
-        return seeds.select(VERTEX).distinct()
-    return reduce(DataFrame.unionByName, closures(edges, seeds, wanted)).select(VERTEX).distinct()
-
-
 def _spread(steps: DataFrame, start: DataFrame, direction: str, max_degree: int | None) -> DataFrame:
     """All levels reached from stored seeds; each level is stored before the next is planned."""
     levels = [start.withColumn(DEGREE, F.lit(0))]
