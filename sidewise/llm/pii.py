@@ -56,6 +56,8 @@ CANDIDATES = {
 KINDS = (*BASE, *CANDIDATES)
 FEATURES = 256
 CONTEXT = 40
+# Hits of a text are walked in parts of so many, so that the time grows little faster than their number.
+PART = 128
 VOTERS = ("format", "gazetteer", "context")
 
 
@@ -68,10 +70,15 @@ def extracted(docs: DataFrame, text_column: str = "text", keep: Sequence[str] =
     kept = [f"c{i}" for i in range(len(keep))]
     patterns = BASE | CANDIDATES
     hits = rows.select(*kept, "__text", *[_hits(kind, pattern).alias(kind) for kind, pattern in patterns.items()])
-    placed = hits.select(*kept, *[_placed(kind, pattern).alias(kind) for kind, pattern in patterns.items()])
+    # Each step on its own, so that what the next one uses twice is computed once.
+    paired = hits.select(*kept, *[_paired(kind, pattern).alias(kind) for kind, pattern in patterns.items()])
+    parted = paired.select(*kept, *[_parts(F.col(kind)).alias(kind) for kind in patterns])
+    begun = parted.select(*kept, *patterns, *[_starts(F.col(kind), _length).alias(f"__{kind}") for kind in patterns])
+    placed = begun.select(*kept, *[_placed(kind).alias(kind) for kind in patterns])
     base = F.array_sort(F.concat(*[_spans(kind, _checked(kind)) for kind in BASE]))
-    based = placed.select(*kept, base.alias("base"), *CANDIDATES)
-    return cut(based.select(*kept, "base", F.concat(*[_voted(kind) for kind in CANDIDATES]).alias("candidates")), "pii")
+    based = placed.select(*kept, base.alias("base"), *[_parts(F.col(kind)).alias(kind) for kind in CANDIDATES])
+    free = based.select(*kept, "base", *[_free(kind).alias(kind) for kind in CANDIDATES])
+    return cut(free.select(*kept, "base", F.concat(*[_voted(kind) for kind in CANDIDATES]).alias("candidates")), "pii")
 
 
 def _hits(kind: str, pattern: str) -> Column:
@@ -87,34 +94,79 @@ def _hits(kind: str, pattern: str) -> Column:
     return F.when(possible, found).otherwise(F.array().cast("array<string>"))
 
 
-def _placed(kind: str, pattern: str) -> Column:
-    """``array<struct<start, end, hit, before, after>>``: places follow from the lengths of what lies between matches."""
+def _paired(kind: str, pattern: str) -> Column:
+    """``array<struct<gap, width, hit, before, after>>``: matches with the lengths of the text before them and their own."""
     gaps = F.split(F.col("__text"), pattern, -1)
     pairs = F.zip_with(
         F.zip_with(gaps, F.col(kind), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))),
         F.slice(gaps, 2, F.size(F.col(kind)) + 1),
         lambda pair, after: F.struct(
             F.char_length(pair["gap"]).alias("gap"),
+            F.char_length(pair["hit"]).alias("width"),
             pair["hit"].alias("hit"),
             F.substring(pair["gap"], -CONTEXT, CONTEXT).alias("before"),
             F.substring(after, 1, 1).alias("after"),
         ),
     )
-    kind_of = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
-    empty = F.array().cast(kind_of)
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    empty = F.array().cast("array<struct<gap:int,width:int,hit:string,before:string,after:string>>")
+    return F.when(F.size(kind) > 0, F.filter(pairs, lambda pair: pair["hit"].isNotNull())).otherwise(empty)
+
+
+def _parts(array: Column) -> Column:
+    """An array cut into parts of ``PART`` elements; one empty part if it is empty."""
+    last = F.floor(F.greatest(F.size(array) - 1, F.lit(0)) / PART).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(array, i * PART + 1, PART))
+
+
+def _length(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda total, pair: total + pair["gap"] + pair["width"])
+
+
+def _starts(parts: Column, length: Callable[[Column], Column]) -> Column:
+    """The position at which each part starts, from the lengths of the parts before."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(
+        F.transform(parts, length),
+        begin,
+        lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["all"], F.array(state["at"])).alias("all")),
+        lambda state: state["all"],
+    )
+
+
+def _placed(kind: str) -> Column:
+    """``array<struct<start, end, hit, before, after>>``: places follow from the lengths of what lies between matches."""
+    empty = F.array().cast("array<struct<start:int,end:int,hit:string,before:string,after:string>>")
 
     def step(state: Column, pair: Column) -> Column:
         first = state["at"] + pair["gap"]
-        end = first + F.char_length(pair["hit"])
+        end = first + pair["width"]
         span = F.struct(
             first.alias("start"), end.alias("end"), pair["hit"].alias("hit"), pair["before"].alias("before"),
             pair["after"].alias("after"),
         )
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).cast(kind_of).alias("found"))
+        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+
+    def part(pairs: Column, at: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), empty.alias("found")), step, lambda state: state["found"])
 
-    hits_only = F.filter(pairs, lambda pair: pair["hit"].isNotNull())
-    return F.when(F.size(kind) > 0, F.aggregate(hits_only, start, step, lambda state: state["found"])).otherwise(empty)
+    return F.flatten(F.zip_with(kind, f"__{kind}", part))
+
+
+def _free(kind: str) -> Column:
+    """The candidates that touch no base span. Each part of them is compared with the base spans between its ends only."""
+
+    def meets(span: Column, start: Column, end: Column) -> Column:
+        return (span["start"] < end) & (start < span["end"])
+
+    def nearby(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0))["start"], F.get(part, F.size(part) - 1)["end"]
+        return F.struct(part.alias("part"), F.filter("base", lambda b: meets(b, first, last)).alias("base"))
+
+    pairs = F.transform(kind, nearby)
+    kept = F.transform(
+        pairs, lambda p: F.filter(p["part"], lambda s: ~F.exists(p["base"], lambda b: meets(b, s["start"], s["end"])))
+    )
+    return F.flatten(kept)
 
 
 def _digits(text: Column) -> Column:
@@ -150,10 +202,7 @@ def _words(words: Sequence[str]) -> str:
 
 
 def _voted(kind: str) -> Column:
-    """Candidates that touch no base span, with their votes (1 for, -1 against, 0 none) and features."""
-    free = F.filter(
-        kind, lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
+    """Candidates with their votes (1 for, -1 against, 0 none) and features."""
     digits = lambda s: F.length(_digits(s["hit"]))
 
     def form(s: Column) -> Column:
@@ -188,7 +237,7 @@ def _voted(kind: str) -> Column:
         return F.transform(named, lambda f: F.pmod(F.xxhash64(f), F.lit(FEATURES)).cast("int"))
 
     return F.transform(
-        free,
+        kind,
         lambda s: F.struct(
             s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"),
             F.array(form(s), words(s), place(s)).alias("votes"), features(s).alias("features"),
@@ -304,21 +353,37 @@ def mask(docs: DataFrame, text_column: str = "text") -> DataFrame:
     found = find_personal_data(docs, text_column, names)
     text = F.col(f"c{names.index(text_column)}")
     kinds = F.array(*[F.lit(f"[{kind.upper()}]") for kind in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, s: Column) -> Column:
-        between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        parts = F.concat(state["parts"], F.array(between, F.element_at(kinds, s["kind"] + 1)))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], parts).otherwise(state["parts"]).alias("parts"),
-        )
-
-    def end(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.char_length(text))
-        return F.array_join(F.concat(state["parts"], F.array(rest)), "")
-
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, end)).otherwise(text)
-    return found.select(
+    parted = found.withColumn("__parts", _parts(F.col("spans")))
+    # How far the spans of each part reach, those before it included; the text of a part goes from one such place to the next.
+    ends = F.transform("__parts", lambda part: F.coalesce(F.array_max(F.transform(part, lambda s: s["end"])), F.lit(0)))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,to:int>>").alias("all"))
+
+    def reach(state: Column, end: Column) -> Column:
+        to = F.greatest(state["at"], end)
+        pair = F.array(F.struct(state["at"].alias("at"), to.alias("to")))
+        return F.struct(to.alias("at"), F.concat(state["all"], pair).alias("all"))
+
+    reached = parted.withColumn("__reach", F.aggregate(ends, begin, reach, lambda state: state["all"]))
+    texts = F.transform(
+        "__reach", lambda r: F.struct(r["at"].alias("at"), F.substring(text, r["at"] + 1, r["to"] - r["at"]).alias("text"))
+    )
+    with_texts = reached.withColumn("__texts", texts)
+
+    def masked_part(spans: Column, own: Column) -> Column:
+        def step(state: Column, s: Column) -> Column:
+            between = F.substring(own["text"], state["at"] - own["at"] + 1, s["start"] - state["at"])
+            pieces = F.concat(state["pieces"], F.array(between, F.element_at(kinds, s["kind"] + 1)))
+            return F.struct(
+                F.greatest(state["at"], s["end"]).alias("at"),
+                F.when(s["start"] >= state["at"], pieces).otherwise(state["pieces"]).alias("pieces"),
+            )
+
+        start = F.struct(own["at"].alias("at"), F.array().cast("array<string>").alias("pieces"))
+        return F.aggregate(spans, start, step, lambda state: F.array_join(state["pieces"], ""))
+
+    rest = F.substring(text, F.element_at("__reach", -1)["to"] + 1, F.char_length(text))
+    whole = F.concat(F.array_join(F.zip_with("__parts", "__texts", masked_part), ""), rest)
+    masked = F.when(F.size("spans") > 0, whole).otherwise(text)
+    return with_texts.select(
         *[(masked if name == text_column else F.col(f"c{i}")).alias(name) for i, name in enumerate(names)]
     )
