@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from typing import Any
 from urllib.parse import urlparse
 
 import pyarrow as pa
@@ -58,3 +59,18 @@ def slices(batches, column: str, most_bytes: int):
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """The strings of a column, nulls as empty."""
     return [text or "" for text in batch.column(column).to_pylist()]
+
+
+_held: dict[str, Any] = {}
+
+
+def held_by(owner: str, build: Callable[[], Any]) -> Any:
+    """What an operator keeps between the tasks of a Python worker, such as results by word.
+
+    A worker holds the things of one operator only: those of the operator before are dropped, so that the caches of many
+    operators never add up.
+    """
+    if owner not in _held:
+        _held.clear()
+        _held[owner] = build()
+    return _held[owner]

@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
 
 import regex
 
+from sidewise.llm.common import held_by
+
 # The pattern that byte-level vocabularies of this family split by.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Space, printable ASCII, line feed, and letters up to Cyrillic: here all Unicode versions agree.
@@ -97,7 +98,6 @@ class _Kept(dict):
         return found
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One encoder for all tasks of a Python worker."""
-    return Encoder(path)
+    return held_by(f"encoder {path}", lambda: Encoder(path))

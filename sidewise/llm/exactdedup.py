@@ -27,10 +27,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from sidewise.llm.common import quoted
+from sidewise.llm.common import quoted, slices
 from sidewise.plans.storage import cut
 
 TABLE_BYTES = 24 << 20
+BATCH_BYTES = 4 << 20
 # How many ways a bucket that does not fit is split.
 FAN_OUT = 16
 
@@ -126,7 +127,7 @@ def _spill(docs: DataFrame, id_column: str, text_column: str, table_bytes: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = TextTable(), []
-        for batch in batches:
+        for batch in slices(batches, "text", BATCH_BYTES):
             held.append(batch)
             # The table is emptied between batches only, so its rows leave in order.
             if sum(b.nbytes for b in held) > table_bytes:
@@ -164,7 +165,9 @@ def _leave(held: list[pa.RecordBatch], table: TextTable, others: list[str]) -> I
     for batch in held:
         part = slice(start, start + batch.num_rows)
         start += batch.num_rows
-        first, mask = is_first[part], pa.array(~is_first[part])
+        first = is_first[part]
+        # Taken by place, a null for each copy.
+        chosen = pa.array(np.arange(batch.num_rows), mask=~first)
         arrays = {
             "row": batch.column("row"),
             "first": pa.array(rows[best_of[part]]),
@@ -176,8 +179,7 @@ def _leave(held: list[pa.RecordBatch], table: TextTable, others: list[str]) -> I
             "id": batch.column("id"),
         }
         for name in ("text", *others):
-            column = batch.column(name)
-            arrays[name] = pc.if_else(mask, pa.scalar(None, column.type), column)
+            arrays[name] = batch.column(name).take(chosen)
         yield pa.RecordBatch.from_arrays(list(arrays.values()), list(arrays))
 
 
@@ -214,7 +216,7 @@ def _resolve(firsts: DataFrame, bucket: Column, table_bytes: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, table, members = None, TextTable(), []
-        for batch in batches:
+        for batch in slices(batches, "text", BATCH_BYTES):
             columns = [batch.column(c).to_pylist() for c in ("bucket", "text", "hash", "row", "copies", "id")]
             for bucket, text, hashed, row, copies, key in zip(*columns):
                 if bucket != current:

@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sidewise.llm.common import only, slices
+from sidewise.llm.common import held_by, only, slices
 from sidewise.llm.components import components
 from sidewise.plans.storage import cut
 
@@ -49,7 +49,8 @@ PARITY_BITS = 1024
 # Members of a random part of a bucket, about.
 PART = 3
 BATCH_BYTES = 8 << 20
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 150_000
+_CACHED_SEQUENCES = 16
 
 _find_words = re.compile(r"[^\W_]+").findall
 _STREAM = np.random.Generator(np.random.PCG64(20190714))
@@ -66,7 +67,6 @@ class _WordHashes(dict):
         return found
 
 
-_hashes = _WordHashes()
 
 
 def words_of(text: str) -> list[str]:
@@ -75,7 +75,8 @@ def words_of(text: str) -> list[str]:
 
 def shingles(words: list[str]) -> np.ndarray:
     """64-bit hashes of the shingles in text order; one shingle if there are fewer words than a shingle has."""
-    values = np.array([_hashes[word] for word in words], np.uint64)
+    known = held_by("word hashes", _WordHashes)
+    values = np.array([known[word] for word in words], np.uint64)
     if len(values) < SHINGLE_WORDS:
         values = np.concatenate([values, np.zeros(SHINGLE_WORDS - len(values), np.uint64)])
     n = len(values) - SHINGLE_WORDS + 1
@@ -351,11 +352,12 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        @lru_cache(maxsize=64)
+        @lru_cache(maxsize=_CACHED_SEQUENCES)
         def sequence(text: str) -> list[int]:
             return shingles(words_of(text)).tolist()
 
-        for batch in batches:
+        pairs = (pair for batch in slices(batches, "text_a", BATCH_BYTES) for pair in slices([batch], "text_b", BATCH_BYTES))
+        for batch in pairs:
             keep = [
                 similar(sequence(a or ""), sequence(b or ""))
                 for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())
