@@ -28,17 +28,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sidewise.llm.common import quoted, slices
+from sidewise.llm.common import held_by, quoted, slices
 from sidewise.plans.storage import cut
 
 UNDETERMINED = "und"
 SAMPLE_DOCUMENTS, SAMPLE_RUNS, RUN_WORDS = 400, 6, 30
 FEATURES = 1 << 14
 ROUNDS = 60
-BATCH_BYTES = 6 << 20
-_CACHED_WORDS = 400_000
-_CACHED_PIECES = 200_000
-_find_words = re.compile(r"[^\W\d_]+").findall
+# Forward-backward holds some 200 bytes for each byte of a batch.
+BATCH_BYTES = 2 << 20
+_CACHED_WORDS = 300_000
+_CACHED_PIECES = 100_000
+_WORD = re.compile(r"[^\W\d_]+")
+_find_words = _WORD.findall
+
+
+def has_letter(word: str) -> bool:
+    """Python counts number signs such as fractions and Roman numerals among word characters; they are no letters."""
+    return word.isalpha() or any(map(str.isalpha, word))
+
+
+def words_of(text: str) -> list[str]:
+    """The lower-case words of a text: runs of letters and number signs with a letter at least."""
+    return [word for word in _find_words(text.lower()) if has_letter(word)]
 
 
 class _Hashed(dict):
@@ -55,11 +67,14 @@ class _Hashed(dict):
         return found
 
 
-_prefix, _suffix, _gram = (_Hashed(tag).__getitem__ for tag in "psn")
+def _numbers() -> tuple:
+    """Look-ups of the feature numbers of prefixes, suffixes and n-grams that this worker has met."""
+    return held_by("language features", lambda: tuple(_Hashed(tag).__getitem__ for tag in "psn"))
 
 
 def features(word: str) -> list[int]:
     """Hashed features of a lower-case word."""
+    _prefix, _suffix, _gram = _numbers()
     edged = f"^{word}$"
     n = len(edged)
     found = [zlib.crc32(word.encode("utf-8", "surrogatepass")) % FEATURES]
@@ -180,9 +195,9 @@ def train_model(runs: list[tuple[str, list[str]]], rounds: int = ROUNDS, seed: i
     ids, labels, first = [], [], []
     for place, i in enumerate(order):
         language, run = runs[i]
-        for word in run:
+        for at, word in enumerate(run):
             # Three runs to a sequence.
-            first.append(place % 3 == 0 and word is run[0] and not (first and first[-1]))
+            first.append(place % 3 == 0 and at == 0)
             ids.append(words.setdefault(word, len(words)))
             labels.append(languages.index(language))
     if not ids:
@@ -224,7 +239,7 @@ def sample_runs(docs: DataFrame, text_column: str, lang_column: str, may_learn:
     rows = docs.filter(may_learn) if may_learn is not None else docs
     rows = rows.select(rows[quoted(lang_column)].alias("lang"), rows[quoted(text_column)].alias("text"))
     # Texts without letters have no words to learn from.
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("draw", F.xxhash64("text", F.lit(11)))
     # Drawn among distinct texts: copies are merged before the shuffle and neither count nor displace others.
     pairs = cut(rows.select("lang", "draw").distinct(), "draws")
@@ -242,7 +257,7 @@ def sample_runs(docs: DataFrame, text_column: str, lang_column: str, may_learn:
         for batch in slices(batches, "text", BATCH_BYTES):
             languages, runs = [], []
             for language, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                words = _find_words(text.lower())
+                words = words_of(text)
                 starts = range(0, len(words), RUN_WORDS)
                 step = max(1, -(-len(starts) // SAMPLE_RUNS))
                 for at in starts[::step]:
@@ -261,14 +276,19 @@ def learn(docs: DataFrame, text_column: str = "text", lang_column: str = "lang",
 
 
 class _Emissions(dict):
-    """Place of each word in a growing table of emissions."""
+    """Place of each word in a growing table of emissions; -1 for what has no letter."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.words = 0
 
     def __missing__(self, word: str) -> int:
-        place = self[word] = len(self)
+        if not has_letter(word):
+            self[word] = -1
+            return -1
+        place = self[word] = self.words
+        self.words += 1
         self.new.append(word)
         return place
 
@@ -292,9 +312,10 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", spans: bo
                 places, table = _Emissions(), table[:0]
             texts = [t or "" for t in batch.column(text).to_pylist()]
             if model.languages:
-                found = [list(map(places.__getitem__, _find_words(t.lower()))) for t in texts]
+                found = [np.array(list(map(places.__getitem__, _find_words(t.lower()))), np.int32) for t in texts]
+                found = [own if own.min(initial=0) >= 0 else own[own >= 0] for own in found]
             else:
-                found = [[] for _ in texts]
+                found = [np.empty(0, np.int32) for _ in texts]
             if places.new:
                 table = np.concatenate([table, model.emissions(places.new)])
                 places.new = []
@@ -302,7 +323,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", spans: bo
             langs, scores, runs = [UNDETERMINED] * len(texts), np.zeros(len(texts)), [[] for _ in texts]
             with_words = np.flatnonzero(lengths)
             if len(with_words):
-                ids = np.concatenate([np.array(found[i], np.int64) for i in with_words])
+                ids = np.concatenate([found[i] for i in with_words])
                 starts = np.concatenate([[0], np.cumsum(lengths[with_words])[:-1]])
                 first = np.zeros(len(ids), bool)
                 first[starts] = True
@@ -331,7 +352,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", spans: bo
 def _runs(text: str, labels: np.ndarray, languages: list[str]) -> list[dict]:
     found: list[dict] = []
     # Lower-casing may change lengths, so places come from the text itself.
-    for match, label in zip(re.finditer(r"[^\W\d_]+", text), labels):
+    for match, label in zip((m for m in _WORD.finditer(text) if has_letter(m.group())), labels):
         if found and found[-1]["lang"] == languages[label]:
             found[-1]["end"] = match.end()
         else:

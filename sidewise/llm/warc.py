@@ -13,7 +13,8 @@ Files of lost task attempts have names of their own and are never read. The driv
 
 Defined results: a null payload is an empty one; of equal payloads the largest id (then the last row) is the response, null
 ids are the smallest; rows of the same id are records of their own; a missing URL is ``urn:unknown``; the capture time is
-that of ``time_column`` (seconds since 1970), else ``FIRST_CAPTURE`` plus the id in seconds; an empty table yields no rows.
+that of ``time_column`` (seconds since 1970, moved into the years 1 to 9999), else ``FIRST_CAPTURE`` plus the id in seconds; an
+empty table yields no rows. A very long payload is held whole by one task, about three times over.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import json
 import re
 import uuid
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
@@ -37,6 +37,8 @@ from sidewise.plans.storage import cut
 
 REVISIT_BYTES = 1000
 FIRST_CAPTURE = 1_700_000_000
+# The first second of the year 1 and the last one of the year 9999, which is all that a record's date can name.
+_FIRST_SECOND, _LAST_SECOND = -62_135_596_800, 253_402_300_799
 FAN_IN, RUN_KEYS, RANGE_ROWS, STREAM_ROWS = 32, 16, 16_384, 512
 BATCH_BYTES = 8 << 20
 _SALTS = 16
@@ -78,28 +80,26 @@ def write_archives(
     columns = {"id": id_column, "url": url_column, "payload": payload_column} | ({"time": time_column} if time_column else {})
     rows = only(pages, **columns).withColumn("row", F.monotonically_increasing_id())
     rows = rows.withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit("").cast("binary")))
-    rows = rows.withColumn("bytes", F.octet_length("payload")).withColumn("digest", F.sha1("payload"))
+    # Records carry SHA-1; what is equal is told by SHA-256, for which no collisions are known.
+    rows = rows.withColumns({"bytes": F.octet_length("payload"), "digest": F.sha1("payload"), "content": F.unhex(F.sha2("payload", 256))})
     if not time_column:
         rows = rows.withColumn("time", F.lit(FIRST_CAPTURE) + F.coalesce(F.col("id"), F.lit(0)) % (10 * 365 * 86_400))
     # Stored, so that both uses see the same row numbers.
     rows = cut(rows, "pages")
     # Only the digests are grouped; few are shared. One digest may be a third of all rows, so the rows that meet it are salted.
     shared = (
-        rows.select("digest", "bytes", "id", "row").filter(F.col("bytes") >= revisit_bytes)
-        .groupBy(F.col("digest").alias("same_digest"), F.col("bytes").alias("same_bytes"))
+        rows.filter(F.col("bytes") >= revisit_bytes).select("content", "id", "row")
+        .groupBy(F.col("content").alias("same_content"))
         .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("id", "row")).alias("response"))
         .filter("n > 1")
         .select(
-            "same_digest", "same_bytes", F.col("response.id").alias("response_id"), F.col("response.row").alias("response_row"),
+            "same_content", F.col("response.id").alias("response_id"), F.col("response.row").alias("response_row"),
             F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("same_salt"),
         )
     )
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(_SALTS)).cast("int"))
-    decided = salted.join(
-        shared,
-        (F.col("digest") == F.col("same_digest")) & (F.col("bytes") == F.col("same_bytes")) & (F.col("salt") == F.col("same_salt")),
-        "left",
-    ).select("id", "row", "url", "payload", "bytes", "digest", "time", "response_id", "response_row")
+    same = (F.col("content") == F.col("same_content")) & (F.col("salt") == F.col("same_salt"))
+    decided = salted.join(shared, same, "left").select("id", "row", "url", "payload", "bytes", "digest", "time", "response_id", "response_row")
     return cut(decided.mapInArrow(_archive_writer(folder), _FILES_DDL), "archives")
 
 
@@ -133,13 +133,14 @@ def _record(row: dict) -> bytes:
     revisit = row["response_row"] is not None and row["response_row"] != row["row"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['bytes']}\r\n\r\n".encode()
     body = http if revisit else http + row["payload"]
-    date = datetime.fromtimestamp(0, timezone.utc) + timedelta(seconds=int(row["time"] or 0))
+    seconds = min(max(int(row["time"] or 0), _FIRST_SECOND), _LAST_SECOND)
+    date = datetime.fromtimestamp(0, timezone.utc) + timedelta(seconds=seconds)
     digest = base64.b32encode(bytes.fromhex(row["digest"])).decode()
     url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m.group()):02X}", row["url"] or "urn:unknown")
     header = {
         "WARC-Type": "revisit" if revisit else "response",
         "WARC-Record-ID": _name(row["id"], row["row"]),
-        "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"),
+        "WARC-Date": date.isoformat(timespec="seconds").replace("+00:00", "Z"),
         "WARC-Target-URI": url,
         "WARC-Payload-Digest": f"sha1:{digest}",
         "Content-Type": "application/http; msgtype=response",
@@ -236,21 +237,27 @@ def _tasks(spark: SparkSession, tasks: list[tuple[int, int, str]]) -> DataFrame:
 
 def _plans(runs: list[list[dict]]) -> list[str]:
     """One merge of runs as several, by key range. A plan names for every run the files that may hold keys of its range."""
-    keys = sorted(tuple(key) for run in runs for file in run for key in json.loads(file["keys"]))
+    parsed = [[[tuple(key) for key in json.loads(file["keys"])] for file in run] for run in runs]
+    keys = sorted(key for run in parsed for file in run for key in file)
     total = sum(file["rows"] for run in runs for file in run)
     if not total:
         return []
     count = min(max(1, -(-total // RANGE_ROWS)), len(keys))
     bounds = sorted({keys[len(keys) * i // count] for i in range(1, count)})
+    firsts = [[file[0] for file in run] for run in parsed]
     plans = []
+    # Ranges ascend, so the files of each run are walked once.
+    begin = [0] * len(runs)
     for low, high in zip([None, *bounds], [*bounds, None]):
         chosen = []
-        for run in runs:
-            first = [tuple(json.loads(file["keys"])[0]) for file in run]
-            start = max(0, bisect_right(first, low) - 1) if low else 0
-            names = [run[i]["name"] for i in range(start, len(run)) if high is None or first[i] < high]
-            if names:
-                chosen.append(names)
+        for r, (run, first) in enumerate(zip(runs, firsts)):
+            while low and begin[r] + 1 < len(run) and first[begin[r] + 1] <= low:
+                begin[r] += 1
+            end = begin[r]
+            while end < len(run) and (high is None or first[end] < high):
+                end += 1
+            if end > begin[r]:
+                chosen.append([file["name"] for file in run[begin[r] : end]])
         plans.append(json.dumps({"low": low, "high": high, "runs": chosen}))
     return plans
 

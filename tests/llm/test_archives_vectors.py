@@ -1,5 +1,6 @@
 """Web archives and vector search against brute force, and the pipeline on a small corpus."""
 
+import json
 import random
 
 import numpy as np
@@ -59,6 +60,35 @@ def test_archives(spark, monkeypatch, fan_in):
     assert payload.decode() == by_id[c["page_id"]] and header["warc-type"] == "response"
 
 
+def test_plans_of_many_files():
+    """Plans name the files that may hold keys of their range, and planning walks each run once."""
+    generator = random.Random(7)
+    runs = []
+    for r in range(3):
+        keys = sorted((f"k{generator.randrange(400):03d}", "t", True, i, i) for i in range(900))
+        runs.append([{"name": f"{r}-{i}", "rows": 30, "keys": json.dumps(keys[i : i + 30 : 10])} for i in range(0, 900, 30)])
+    plans = [json.loads(plan) for plan in warc._plans(runs)]
+    assert plans[0]["low"] is None and plans[-1]["high"] is None
+    assert [p["high"] for p in plans[:-1]] == [p["low"] for p in plans[1:]]
+    for plan in plans:
+        named = {name for names in plan["runs"] for name in names}
+        for run in runs:
+            for i, file in enumerate(run):
+                first = json.loads(file["keys"])[0]
+                last = json.loads(run[i + 1]["keys"])[0] if i + 1 < len(run) else None
+                below = plan["high"] is None or first < plan["high"]
+                above = plan["low"] is None or last is None or last > plan["low"]
+                assert (file["name"] in named) == (below and above)
+
+
+def test_times_beyond_dates(spark):
+    rows = [(1, "http://a.b/", "x", 10**15), (2, "http://a.b/", "y", -(10**15)), (3, "http://a.b/", "z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, seen long")
+    folder = shared_path(spark, "test")
+    captures = warc.read_archives(spark, folder, warc.write_archives(pages, folder, time_column="seen")).collect()
+    assert {c["page_id"]: c["timestamp"] for c in captures} == {1: "99991231235959", 2: "00010101000000", 3: "19700101000000"}
+
+
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = shared_path(spark, "test")

@@ -23,7 +23,8 @@ def words(seed, n):
 
 
 @pytest.mark.parametrize("table_bytes", [1 << 20, 400])
-def test_exact_duplicates(spark, table_bytes):
+def test_exact_duplicates(spark, monkeypatch, table_bytes):
+    monkeypatch.setattr(exactdedup, "BATCH_BYTES", 500)
     rows = [(i, None if i % 5 == 0 else f"text {i % 7}" * (1 + 50 * (i % 3)), "x", i, None) for i in range(60)]
     rows += [(None, "text 1", "y", 1, 2.0), (None, "text 1", "y", 1, 2.0), (7, "", "z", 0, 1.0), (59, rows[59][1], "w", 3, 0.0)]
     rows += [(100, "long" * 50_000, "l", 0, 0.0), (101, "long" * 50_000, "l", 0, 0.0)]
@@ -338,3 +339,81 @@ def test_chats(spark):
     got = {r["conv_id"]: (r["n_turns"], r["copies"], r["rendered"]) for r in chat.maximal_conversations(table).collect()}
     assert got == want
     assert chat.maximal_conversations(table.limit(0)).collect() == []
+
+
+def test_many_hits_in_one_text(spark):
+    """Positions and overlaps of 50 000 numbers and addresses in one text, in seconds, and the same as of short texts."""
+    import time
+
+    line = "call 030 1234567{:04d} or a{}@b.org, é\n"
+    text = "".join(line.format(i % 10_000, i) for i in range(25_000))
+    short = "".join(line.format(i % 10_000, i) for i in range(300))
+    docs = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string").repartition(2)
+    start = time.time()
+    found = {r["c0"]: [(s["start"], s["kind"], s["end"]) for s in r["base"]] for r in pii.find_personal_data(docs, keep=["doc_id"]).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert time.time() - start < 120
+    emails = [m.span() for m in re.finditer(r"a\d+@b\.org", text)]
+    assert [(a, b) for a, kind, b in found[1] if kind == 0] == emails and len(emails) == 25_000
+    assert found[2] == [s for s in found[1] if s[2] <= len(short)]
+    assert masked[1].count("[EMAIL]") == 25_000 and masked[1].startswith(masked[2])
+
+
+def reference_mask(text, spans):
+    at, pieces = 0, []
+    for start, kind, end in spans:
+        if start >= at:
+            pieces += [text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(pieces) + text[at:]
+
+
+@pytest.mark.parametrize("part", [1, 2, 128])
+def test_parts_of_hits(spark, monkeypatch, part):
+    """Whatever the size of the parts, the same spans and the same masked text, overlaps across parts included."""
+    monkeypatch.setattr(pii, "PART", part)
+    generator = random.Random(12)
+    pieces = ["a.b@c.de", "1.2.3.4", "4111 1111 1111 1111", "+49 30 1234567", "+1.2.3.4 555 66", "x [at] y [dot] org", "Dr. Anna Bell", "tel 030 123 4567", "é", " ", "\n", "1", "no"]
+    docs = spark.createDataFrame([(i, " ".join(generator.choices(pieces, k=generator.randrange(30)))) for i in range(60)], "doc_id int, text string")
+    found = {r["c0"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(docs, keep=["doc_id"]).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    for key, text in docs.collect():
+        assert masked[key] == reference_mask(text, found[key])
+        for start, kind, end in found[key]:
+            if kind == 0:
+                assert "@" in text[start:end]
+    total = sorted((key, *s) for key, own in found.items() for s in own)
+    seen = getattr(test_parts_of_hits, "seen", None) or total
+    test_parts_of_hits.seen = seen
+    assert total == seen and len(total) > 50
+
+
+def test_letters_only(spark):
+    """Number signs are no letters: such a text has no language, and such a run is no word."""
+    docs = spark.createDataFrame(
+        [(i, f"{'the cat sat on' if i % 2 else 'der hund lag auf'} {i}", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string"
+    )
+    model = languageid.learn(docs)
+    texts = ["½", "①②", "Ⅷ ²", "½ the cat", "x²y", "", None, "\u4e00"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: (r["__lang"], r["__score"], [(s["start"], s["end"]) for s in r["__spans"]]) for r in languageid.identify(rows, model, spans=True).collect()}
+    assert [found[i][:2] for i in (0, 1, 2, 5, 6)] == [("und", 0.0)] * 5
+    assert found[3][0] == "en" and found[3][2] == [(2, 9)] and all(found[i][0] != "und" for i in (3, 4, 7))
+
+
+def test_sequences_start_by_place():
+    """Equal words inside a run start no sequence: a model of one language never sees a start but the first of three runs."""
+    shared = "same"
+    runs = [("a", [shared] * 5), ("b", ["other"] * 5), ("a", [shared] * 5), ("b", ["more"] * 5)]
+    model = languageid.train_model(runs, rounds=30)
+    # Words of a run follow each other within its language, which only holds if they are linked.
+    assert model.transitions[0, 0] > model.transitions[0, 1] and model.transitions[1, 1] > model.transitions[1, 0]
+
+
+def test_one_operator_at_a_time_holds_results():
+    from sidewise.llm import common
+
+    first = common.held_by("one", dict)
+    assert common.held_by("one", dict) is first
+    common.held_by("two", list)
+    assert list(common._held) == ["two"] and common.held_by("one", dict) is not first
