@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from sidewise.errors import ComparisonError
 from sidewise.functions.columns import col, select_ignoring_case, type_family
 from sidewise.functions.compare import within_tolerance
+from sidewise.plans.codes import countable, encode
 from sidewise.plans.quantiles import ACCURACY, Request, exact_quantiles
 from sidewise.plans.sides import added, base_of, current_of, match, removed
 
-EXACT, APPROX = "exact", "approx"
+EXACT, APPROX, CODES = "exact", "approx", "codes"
 
 PROFILE_SCHEMA = (
     "column_name string, data_type string, row_count long, not_null_proportion double, distinct_proportion double, "
@@ -34,16 +35,19 @@ def profile(
     and NULL uniqueness.
 
     ``distinct="exact"`` counts each column in a scan of that column alone, so the rows are never multiplied by the
-    number of columns; ``"approx"`` needs one scan for all. Exact medians are located before the frame is returned.
+    number of columns; ``"codes"`` is exact too and counts all columns in one scan, before the frame is returned, over
+    stored values and bitmaps (``plans.codes``); ``"approx"`` needs one scan for everything. Exact medians are located
+    before the frame is returned.
     """
-    for mode in (distinct, median):
-        if mode not in (EXACT, APPROX):
-            raise ComparisonError(f"Mode is {EXACT!r} or {APPROX!r}, not {mode!r}")
+    for mode, known in ((distinct, (EXACT, APPROX, CODES)), (median, (EXACT, APPROX))):
+        if mode not in known:
+            raise ComparisonError(f"Mode is one of {known}, not {mode!r}")
     fields = [df.schema[name] for name in select_ignoring_case(df, columns)]
     if not fields:
         return df.sparkSession.createDataFrame([], PROFILE_SCHEMA)
     medians = _medians(df, fields) if median == EXACT else {}
-    parts = [_column_aggregates(f, distinct, median) for f in fields]
+    coded = _coded_counts(df, fields) if distinct == CODES else {}
+    parts = [_column_aggregates(f, distinct, median, coded.get(f.name)) for f in fields]
     if distinct == EXACT:
         rows = [df.agg(*part).select(_profile_row(f, medians).alias("p")) for f, part in zip(fields, parts)]
         return reduce(DataFrame.unionByName, rows).select("p.*")
@@ -92,23 +96,27 @@ def _has_mean(field: T.StructField) -> bool:
     return type_family(field.dataType) in ("numeric", "array")
 
 
-def _counts_distinct(field: T.StructField) -> bool:
-    return not isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
-
-
 def _medians(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, float | None]:
     numeric = [f for f in fields if _has_mean(f)]
     found = exact_quantiles([Request(df, _measured(f), [0.5]) for f in numeric])
     return {f.name: values[0] for f, values in zip(numeric, found)}
 
 
+def _coded_counts(df: DataFrame, fields: Sequence[T.StructField]) -> dict[str, int]:
+    names = [f.name for f in fields if countable(f.dataType)]
+    return {r["column_name"]: r["distinct_count"] for r in encode(df, columns=names).counts().collect()} if names else {}
+
+
 _AGGREGATE_NAMES = ("rows", "filled", "distinct", "low", "high", "mean", "middle")
 
 
-def _column_aggregates(field: T.StructField, distinct: str, median: str) -> list[Column]:
+def _column_aggregates(field: T.StructField, distinct: str, median: str, coded: int | None = None) -> list[Column]:
     value, measured = col(field.name), _measured(field)
     none = F.max(F.lit(None))
-    count = F.count_distinct(value) if distinct == EXACT else F.approx_count_distinct(value)
+    if distinct == CODES:
+        count = F.lit(coded).cast("long")
+    else:
+        count = F.count_distinct(value) if distinct == EXACT else F.approx_count_distinct(value)
     mean = F.avg(F.when(value, 1).otherwise(0)) if type_family(field.dataType) == "boolean" else none
     if _has_mean(field):
         mean = F.avg(measured)
@@ -118,7 +126,7 @@ def _column_aggregates(field: T.StructField, distinct: str, median: str) -> list
     found = [
         F.count(F.lit(1)),
         F.count(value),
-        count if _counts_distinct(field) else none,
+        count if countable(field.dataType) else none,
         none if measured is None else F.min(measured),
         none if measured is None else F.max(measured),
         mean,
