@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from sidewise.errors import ComparisonError
-from sidewise.functions.columns import col, resolve_columns
+from sidewise.functions.columns import classify_column, col, common_columns, resolve_columns
 from sidewise.functions.labels import OTHERS_LABEL, category_label
+from sidewise.plans.heavy import heavy_values
 from sidewise.plans.sides import BASE, CURRENT, of_side, stack
 
 # Fixed value: categories shown.
@@ -68,6 +71,30 @@ def top_k_diff(base: DataFrame, current: DataFrame, column: str, k: int = TOP_K)
     )
 
 
+def top_k_diffs(base: DataFrame, current: DataFrame, columns: Sequence[str] | None = None, k: int = TOP_K) -> DataFrame:
+    """``top_k_diff`` of many columns (by default all common ones that are not nested) in three scans at most, with ``column_name``.
+
+    Frequent values are found by bounded counters and proven by bucket counts (``plans.heavy``), so that columns with few
+    frequent values among many are not shuffled whole.
+    """
+    if k < 1:
+        raise ComparisonError("k must be positive")
+    names = common_columns(base, current, columns=columns)
+    names = [n for n in names if all(classify_column(df.schema[n].dataType) != "skip" for df in (base, current))]
+    if not names:
+        raise ComparisonError("No common column has categories")
+    texts = [df.select(*[col(n).cast("string").alias(n) for n in names]) for df in (base, current)]
+    found = heavy_values(stack(*texts, names), names, of_side(BASE), k)
+    return (
+        found.values.join(F.broadcast(found.totals), "column")
+        .orderBy("column", "place")
+        .select(
+            F.col("column").alias("column_name"), "category", "base_count", "curr_count",
+            "base_total", "base_valids", "curr_total", "curr_valids",
+        )
+    )
+
+
 def top_k_shares(top: DataFrame) -> DataFrame:
     """A top-k diff as shares of the non-NULL rows, with one row for all categories not shown, if there are any."""
     shown = top.agg(

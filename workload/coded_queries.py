@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sidewise.operators import profile
+from sidewise.operators import profile, topk
 from sidewise.plans.codes import encode
-from workload.queries import COLUMNS, ORACLE, _profile, _profile_sql, pair, query
+from workload.queries import COLUMNS, ORACLE, _profile, _profile_sql, _top_sql, pair, query
 
 LINES = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate"
@@ -60,3 +60,26 @@ def profile_codes_lineitem(spark, folder):
 )
 def profile_codes_documents(spark, folder):
     return _profile(profile.profile(pair(spark, folder, "documents")[1], distinct=profile.CODES))
+
+
+def _tops_sql(base: str, current: str, columns: list[str]) -> str:
+    return " union all ".join(f"select '{c}' as column_name, t.* from ({_top_sql(base, current, c, 10)}) t" for c in columns)
+
+
+# Amounts as decimals: the text of a double depends on the engine.
+LINE_SQL = """select l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as decimal(18,2)) as l_quantity,
+    cast(l_extendedprice as decimal(18,2)) as l_extendedprice, cast(l_discount as decimal(18,2)) as l_discount,
+    cast(l_tax as decimal(18,2)) as l_tax, l_returnflag, l_linestatus, l_shipdate from {}"""
+AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query(f""", b0 as ({LINE_SQL.format("lineitem")}), c0 as ({LINE_SQL.format("cur_lineitem")}) {_tops_sql("b0", "c0", LINES)}""", "cur_lineitem")
+def top_k_diffs_lineitem(spark, folder):
+    decimals = {c: F.col(c).cast("decimal(18,2)") for c in AMOUNTS}
+    return topk.top_k_diffs(*(df.withColumns(decimals) for df in pair(spark, folder, "lineitem")))
+
+
+@query(_tops_sql("documents", "cur_documents", COLUMNS["documents"]), "cur_documents")
+def top_k_diffs_documents(spark, folder):
+    """Whole texts among the columns: no candidates, found by their buckets."""
+    return topk.top_k_diffs(*pair(spark, folder, "documents"))
