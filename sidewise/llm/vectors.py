@@ -9,11 +9,13 @@ them), candidates form blocks of ``BLOCK`` distinct vectors, queries too, and ev
 block in a task of its own. Query blocks first search their own small set of strong candidates (the largest norms of all
 blocks) so that the bound is good from the start. Results of a query are merged by a window over k rows per block.
 
-Scores are whole numbers and exact; bounds are computed in double precision with a margin, and only skip.
+Scores are whole numbers and exact: in double precision while they stay below 2^53, in 64-bit integers below 2^62, in unbounded integers
+beyond. Bounds are computed in double precision with a margin, and only skip.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without id;
 rows of equal id and vector count once; a query's own rows are those with its id; vectors of different lengths are never
-compared (a query meets candidates of its length); an empty table yields no rows.
+compared (a query meets candidates of its length); components and scores beyond a 64-bit integer are moved to its ends, where they tie;
+an empty table yields no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ class CoverTree:
     """
 
     def __init__(self, points: np.ndarray):
+        self.whole = points
         self.points = points.astype(np.float64)
         self.norms = np.sqrt((self.points**2).sum(axis=1))
         self.centre: list[int] = []
@@ -89,13 +92,32 @@ class CoverTree:
         return node
 
 
+# Scores that no double and no 64-bit integer can miss, with room for the rounding of the norms.
+DOUBLE_EXACT, LONG_EXACT = 2.0**52, 2.0**62
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
+# Relative to the product of the norms; far above what a sum of products in double precision is off by.
+ROUNDING = 1e-12
+
+
+def products(queries: CoverTree, group: np.ndarray, candidates: CoverTree, own: np.ndarray) -> np.ndarray:
+    """Exact inner products of some queries and some candidates as 64-bit integers."""
+    # No partial sum of a product exceeds the product of the norms.
+    largest = queries.norms[group].max() * candidates.norms[own].max()
+    if largest < DOUBLE_EXACT:
+        return np.rint(queries.points[group] @ candidates.points[own].T).astype(np.int64)
+    if largest < LONG_EXACT:
+        return queries.whole[group] @ candidates.whole[own].T
+    unbounded = queries.whole[group].astype(object) @ candidates.whole[own].astype(object).T
+    return np.clip(unbounded, LOWEST, HIGHEST).astype(np.int64)
+
+
 def search(queries: CoverTree, candidates: CoverTree, worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For every query the ``k`` best candidates of this tree that reach ``worst``: scores and places (-1: none).
 
     ``worst`` holds for each query a score that its kth best is known to reach.
     """
     n = len(queries.points)
-    scores = np.full((n, k), -np.inf)
+    scores = np.full((n, k), LOWEST, np.int64)
     places = np.full((n, k), -1, np.int64)
     if not n or not len(candidates.points):
         return scores, places
@@ -107,19 +129,22 @@ def search(queries: CoverTree, candidates: CoverTree, worst: np.ndarray, k: int)
         qc, cc = queries.centre[q], candidates.centre[c]
         s, r = queries.radius[q], candidates.radius[c]
         bound = queries.points[qc] @ candidates.points[cc] + r * queries.norms[qc] + s * candidates.norms[cc] + r * s
-        if bound + 1e-6 * (1 + abs(bound)) < known[group].min():
+        # Terms that cancel out leave an error in proportion to the norms.
+        error = ROUNDING * (queries.norms[qc] + s) * (candidates.norms[cc] + r)
+        if bound + 1e-6 * (1 + abs(bound)) + error < known[group].min():
             continue
         q_children, c_children = queries.children[q], candidates.children[c]
         if not q_children and not c_children:
             own = candidates.members[c]
-            product = np.rint(queries.points[group] @ candidates.points[own].T)
+            product = products(queries, group, candidates, own)
             both = np.concatenate([scores[group], product], axis=1)
             names = np.concatenate([places[group], np.broadcast_to(own, product.shape)], axis=1)
             # Ties keep the smaller place; candidates are numbered by their smallest id.
-            order = np.lexsort((np.where(names < 0, len(candidates.points), names), -both), axis=1)[:, :k]
+            order = np.lexsort((np.where(names < 0, len(candidates.points), names), ~both), axis=1)[:, :k]
             scores[group] = np.take_along_axis(both, order, axis=1)
             places[group] = np.take_along_axis(names, order, axis=1)
-            known[group] = np.maximum(known[group], scores[group, k - 1])
+            reached = np.where(places[group, k - 1] >= 0, scores[group, k - 1].astype(np.float64), -np.inf)
+            known[group] = np.maximum(known[group], reached)
         elif c_children and (not q_children or r >= s):
             # The most promising child last, so that it is taken first.
             centres = [candidates.centre[x] for x in c_children]
@@ -171,7 +196,7 @@ def _search_blocks(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame
     asked_sizes = {row["width"]: row["count"] for row in asked.groupBy("width").count().collect()}
     spark = asked.sparkSession
     # The largest norms of all candidates, whatever the query, give every query a first bound.
-    norm = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    norm = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double"))
     seeds = {
         width: np.array([row["vector"] for row in candidates.filter(F.col("width") == width).orderBy(norm.desc(), "ids").limit(SEEDS).collect()])
         for width in asked_sizes
@@ -220,7 +245,11 @@ def _block(left: pa.Table, right: pa.Table, seeds: np.ndarray, k: int) -> pa.Tab
         asked = _matrix(left.column("vector"))
         offered = _matrix(right.column("vector"))
         # k + 1: one of the best may be the query itself.
-        first = np.sort(asked @ seeds.T.astype(np.float64), axis=1)[:, ::-1]
+        ends = (asked.astype(np.float64), seeds.astype(np.float64))
+        sizes = [np.sqrt((end**2).sum(axis=1)) for end in ends]
+        first = np.sort(ends[0] @ ends[1].T - ROUNDING * np.outer(*sizes), axis=1)[:, ::-1]
+        # No score is above the largest integer, so a bound must not be either.
+        first = np.minimum(first, float(HIGHEST))
         worst = first[:, k] if first.shape[1] > k else np.full(len(asked), -np.inf)
         found, places = search(CoverTree(asked), CoverTree(offered), worst, k + 1)
         own_ids = right.column("ids").to_pylist()
@@ -240,4 +269,4 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     merged = column.combine_chunks()
     if isinstance(merged, pa.ChunkedArray):
         merged = pa.concat_arrays(merged.chunks)
-    return merged.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(merged), -1)
+    return merged.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(merged), -1)

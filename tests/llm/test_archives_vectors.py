@@ -124,6 +124,24 @@ def test_top_k(spark, monkeypatch, block):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("size, block", [(2**25, 4096), (2**30, 40), (2**33, 4096), (2**45, 40)])
+def test_top_k_of_large_components(spark, monkeypatch, size, block):
+    """Scores beyond doubles, and beyond 64-bit integers, where they are moved to the ends and tie."""
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    generator = random.Random(size)
+    whole = {i: [generator.choice([-1, 1]) * (size + generator.randrange(100)) for _ in range(5)] for i in range(200)}
+    # Pairs whose large terms cancel out.
+    whole |= {200 + i: [size, -size, generator.randrange(9), size + i, -size] for i in range(20)}
+    table = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in whole.items()], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, vectors.top_k(table, F.col("id") % 50 == 0, k=5, scale=256).collect()))
+    want = []
+    for q in (0, 50, 100, 150, 200):
+        scores = {i: sum(a * b for a, b in zip(whole[q], v)) for i, v in whole.items() if i != q}
+        ranked = sorted((-max(-(2**63), min(2**63 - 1, score)), i) for i, score in scores.items())
+        want += [(q, rank, i, -score) for rank, (score, i) in enumerate(ranked[:5], 1)]
+    assert got == want
+
+
 def test_top_k_of_nothing(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectors.top_k(table, F.col("id") % 50 == 0, k=5, scale=256).collect() == []
