@@ -442,3 +442,19 @@ def test_long_chain_in_few_jobs(spark):
     assert found.filter("degree != cast(substring(vertex, 2) as int)").isEmpty()
     assert len(tracker.getJobIdsForGroup("long-chain")) < 600
     spark.sparkContext.setJobGroup("", "")
+
+
+def test_artifacts_are_parsed_once(spark, tmp_path):
+    """Every table comes from stored rows of one parse of the manifests, and of one of the catalogs."""
+    for side in ("base", "current"):
+        folder = tmp_path / side
+        folder.mkdir()
+        node = {"name": "a", "resource_type": "model", "tags": [], "config": {}, "checksum": {"checksum": side}}
+        manifest = {"nodes": {"model.p.a": node}, "sources": {}, "child_map": {"model.p.a": ["test.p.unique_a_k.1"]}}
+        (folder / "manifest.json").write_text(json.dumps(manifest))
+        (folder / "catalog.json").write_text(json.dumps({"nodes": {"model.p.a": {"columns": {"k": {"type": "int"}}}}, "sources": {}}))
+    tables = load_artifact_tables(spark, f"{tmp_path}/*/manifest.json", f"{tmp_path}/*/catalog.json", "current")
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(" text")
+    assert scans(tables.nodes) <= 1 and scans(tables.node_tests) <= 1 and scans(tables.columns) <= 1
+    assert scans(tables.edges) == 0
+    assert sorted((r["checksum"], r["primary_key"]) for r in tables.nodes.collect()) == [("base", "k"), ("current", "k")]
