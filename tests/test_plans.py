@@ -83,3 +83,25 @@ def test_histograms_of_all_columns_read_each_side_once(orders):
     text = plan(histogram.histogram_diff_all(*orders))
     # Base, and the two halves of current; as many for one column as for all.
     assert text.count("FileScan") == plan(histogram.histogram_diff_all(*orders, ["o_custkey"])).count("FileScan") == 3
+
+
+def _shuffled_rows(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_repeated_keys_are_shuffled_once(spark):
+    """Rows of keys that are no hot ones meet once; the counts are those of rows that spread over many tasks."""
+    from sidewise.plans.keys import key_facts, pair_counts
+
+    base = spark.range(6000).selectExpr("id % 2500 as k", "id % 7 as a", "if(id % 5 = 0, null, id * 0.5) as b", "concat('x', id % 3) as c")
+    current = spark.range(5000).selectExpr("id % 2600 as k", "id % 6 as a", "if(id % 4 = 0, null, id * 0.5) as b", "concat('x', id % 3) as c")
+    assert key_facts(base, current, ["k"]).together
+    before = _shuffled_rows(spark)
+    once = pair_counts(base, current, ["k"], ["a", "b", "c"], ["a", "b"], nulls=True, together=True)
+    assert _shuffled_rows(spark) - before < 1.5 * 11000
+    spread = pair_counts(base, current, ["k"], ["a", "b", "c"], ["a", "b"], nulls=True)
+    assert once.select(*spread.columns).first() == spread.first()
+    hot = spark.range(100_001).selectExpr("1 as k", "id as a")
+    assert not key_facts(hot, hot, ["k"]).together
