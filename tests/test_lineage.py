@@ -458,3 +458,16 @@ def test_artifacts_are_parsed_once(spark, tmp_path):
     assert scans(tables.nodes) <= 1 and scans(tables.node_tests) <= 1 and scans(tables.columns) <= 1
     assert scans(tables.edges) == 0
     assert sorted((r["checksum"], r["primary_key"]) for r in tables.nodes.collect()) == [("base", "k"), ("current", "k")]
+
+
+def test_selection_reads_stored_tables(spark, tmp_path):
+    """Steps of a selection read stored nodes and edges, not what these are derived from."""
+    fields = "env string, node_id string, name string, resource_type string, package_name string, schema_name string, materialized string, tags array<string>, checksum string"
+    rows = [(env, n, n, "model", "p", "s", "view", [], sums) for env, n, sums in (("base", "a", "1"), ("current", "a", "2"), ("base", "b", "1"), ("current", "b", "1"), ("base", "c", "1"))]
+    spark.createDataFrame(rows, fields).write.parquet(f"{tmp_path}/nodes")
+    spark.createDataFrame([("base", "b", "c"), ("current", "a", "b")], "env string, parent_id string, child_id string").write.parquet(f"{tmp_path}/edges")
+    graph = LineageGraph.of(spark.read.parquet(f"{tmp_path}/nodes"), spark.read.parquet(f"{tmp_path}/edges"))
+    chosen = graph.select(packages=["p"], changed_models=True).ids
+    assert f"{tmp_path}/nodes" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert not any("/nodes" in f or "/edges/" in f for f in chosen.inputFiles())
+    assert {r["node_id"] for r in chosen.collect()} == {"a", "b", "c"}
