@@ -471,3 +471,15 @@ def test_selection_reads_stored_tables(spark, tmp_path):
     assert f"{tmp_path}/nodes" not in chosen._jdf.queryExecution().executedPlan().toString()
     assert not any("/nodes" in f or "/edges/" in f for f in chosen.inputFiles())
     assert {r["node_id"] for r in chosen.collect()} == {"a", "b", "c"}
+
+
+def test_radius_stores_node_changes(spark, tmp_path):
+    """The changes are made once, whatever they are derived from."""
+    spark.createDataFrame([("a", "modified", "breaking")], "node_id string, change_status string, category string").write.parquet(f"{tmp_path}/made")
+    nodes = spark.createDataFrame([("current", "a"), ("current", "b")], "env string, node_id string")
+    columns = spark.createDataFrame([("current", "a", "k")], "env string, node_id string, column_name string")
+    edges = spark.createDataFrame([("a", None, "b", None)], "parent_node string, parent_column string, child_node string, child_column string")
+    changed = spark.createDataFrame([], "node_id string, column_name string, change_status string")
+    found = L.impact_radius(nodes, columns, edges, spark.read.parquet(f"{tmp_path}/made"), changed)
+    assert not any("/made/" in f for f in found.inputFiles())
+    assert {(r["node_id"], r["column_name"], r["impacted"]) for r in found.collect()} == {("a", None, True), ("b", None, True)}
