@@ -483,3 +483,39 @@ def test_radius_stores_node_changes(spark, tmp_path):
     found = L.impact_radius(nodes, columns, edges, spark.read.parquet(f"{tmp_path}/made"), changed)
     assert not any("/made/" in f for f in found.inputFiles())
     assert {(r["node_id"], r["column_name"], r["impacted"]) for r in found.collect()} == {("a", None, True), ("b", None, True)}
+
+
+def test_columns_are_shuffled_once_by_rows(spark, tmp_path, monkeypatch):
+    """Ordered schema rows need one shuffle, into as many partitions as there are rows for, and store what they are made of."""
+    from sidewise.plans import storage
+
+    monkeypatch.setattr(storage, "ROWS_A_TASK", 2)
+    columns_table(spark, *([[(n, "int") for n in names]] for names in ("abc", "acbd"))).write.parquet(f"{tmp_path}/made")
+    made = spark.read.parquet(f"{tmp_path}/made")
+    for found in (S.schema_diff_ordered(made), S.schema_changed(made)):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1 and f"{-(-made.count() // 2)}, REPARTITION_BY_NUM" in text
+        assert not any("/made/" in f for f in found.inputFiles())
+
+
+def test_causes_from_one_shuffle(spark):
+    """The same rows as by joining changes and hits; a change given twice counts once, one of an unknown column not at all."""
+    columns = columns_table(spark, *([[(n, "int") for n in names]] for names in ("abcd", "adbce")))
+    node = columns.first()["node_id"]
+    changes = spark.createDataFrame([(node, "a", "modified"), (node, "c", "unknown"), (node, "zz", "modified"), (None, "a", "unknown")], "node_id string, column_name string, change_status string")
+    hits = spark.createDataFrame([(node, "b"), (node, "c"), (node, "yy"), (node, "b")], "node_id string, column_name string")
+    joined = S.column_change_causes(S.schema_diff_ordered(columns), changes, hits)
+    found = S.schema_change_causes(columns, changes.unionByName(changes), hits)
+    assert sorted(found.select(joined.columns).collect()) == sorted(joined.collect())
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_derived_table_is_stored_once(spark):
+    """Column changes read the columns that are stored, and lines are shuffled once for each version."""
+    from workload.tables import derived
+
+    columns, changes = derived(spark, "/root/testdata/sf0.001", "columns_t", "column_changes_t", stored=("columns_t",))
+    assert not any("lineitem" in f for f in (*columns.inputFiles(), *changes.inputFiles()))
+    (plain,) = derived(spark, "/root/testdata/sf0.001", "columns_t")
+    assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
+    assert sorted(map(str, plain.collect())) == sorted(map(str, columns.collect()))
