@@ -47,29 +47,42 @@ def heavy_values(rows: DataFrame, columns: Sequence[str], in_base: Column, k: in
     sided = rows.select(in_base.alias("b"), *[F.col(f"`{name.replace('`', '``')}`").cast("string").alias(f"v{i}") for i, name in numbers.items()])
     counters = min(max(COUNTERS * k, FEWEST), MOST)
     candidates = cut(_candidates(sided, len(columns), min(4 * k, counters), counters), "candidates")
-    cells = sided.select("b", F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("category")) for i in numbers])))
-    bucket = F.when(F.col("category").isNotNull(), F.pmod(F.xxhash64("category"), F.lit(buckets)).cast("int"))
-    marked = cells.join(F.broadcast(candidates.withColumn("known", F.lit(True))), ["c", "category"], "left").select(
-        "b", "c", F.col("known").isNotNull().alias("known"), "category", bucket.alias("bucket")
-    )
+
+    def cells(wanted: Sequence[int]) -> DataFrame:
+        """``b, c, category, hash, bucket`` of the columns ``wanted``; NULLs have neither hash nor bucket."""
+        parts = F.inline(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"v{i}").alias("category")) for i in wanted]))
+        hashed = F.when(F.col("category").isNotNull(), _hash())
+        return sided.select("b", parts).select("b", "c", "category", hashed.alias("hash")).withColumn("bucket", F.pmod("hash", F.lit(buckets)).cast("int"))
+
     counts = [F.count_if("b").alias("base_count"), F.count_if(~F.col("b")).alias("curr_count")]
-    name = F.when(F.col("known"), F.col("category"))
-    counted = cut(marked.groupBy("c", "known", name.alias("category"), F.when(~F.col("known"), F.col("bucket")).alias("bucket")).agg(*counts), "buckets")
+    # Candidates are looked up by one number, and cells are counted by two: a candidate's place follows the buckets.
+    known = candidates.select(_hash().alias("hash"), F.col("category").alias("candidate"), "slot").dropDuplicates(["hash"])
+    place = F.when(F.col("candidate") == F.col("category"), F.col("slot") + buckets).otherwise(F.col("bucket"))
+    placed = cells(list(numbers)).join(F.broadcast(known), "hash", "left").select("b", "c", place.alias("place"))
+    counted = cut(placed.groupBy("c", "place").agg(*counts), "buckets")
+    found = (
+        counted.withColumn("slot", F.col("place") - buckets)
+        .join(F.broadcast(candidates), ["c", "slot"])
+        .select("c", "category", "base_count", "curr_count")
+    )
     mark = F.coalesce(F.get(F.sort_array(F.collect_list("curr_count"), asc=False), F.lit(k - 1)), F.lit(0))
-    marks = counted.filter("known").groupBy("c").agg(mark.alias("mark"))
+    marks = counted.filter(F.col("place") >= buckets).groupBy("c").agg(mark.alias("mark"))
     # A column without candidates opens all its buckets.
-    others = counted.filter("not known and bucket is not null").join(F.broadcast(marks), "c", "left")
+    others = counted.filter(F.col("place") < buckets).join(F.broadcast(marks), "c", "left")
     opened = others.filter(F.col("curr_count") >= F.coalesce("mark", F.lit(0)))
-    size = opened.agg(F.coalesce(F.sum(F.col("base_count") + F.col("curr_count")), F.lit(0))).first()[0]
-    found = counted.filter("known").select("c", "category", "base_count", "curr_count")
+    # One row per column.
+    rows_of = {r["c"]: r["n"] for r in opened.groupBy("c").agg(F.sum(F.col("base_count") + F.col("curr_count")).alias("n")).collect()}
+    size = sum(rows_of.values())
     if size:
-        # At most columns * BUCKETS rows of two numbers.
-        few = F.broadcast(opened.select("c", "bucket"))
-        found = found.unionByName(marked.filter(~F.col("known")).join(few, ["c", "bucket"]).groupBy("c", "category").agg(*counts))
+        # Only the columns that have such buckets; at most columns * BUCKETS rows of two numbers.
+        few = F.broadcast(opened.select("c", F.col("place").alias("bucket")))
+        inside = cells(sorted(rows_of)).join(few, ["c", "bucket"]).groupBy("c", "category").agg(*counts)
+        # Candidates of these buckets are counted already.
+        found = found.unionByName(inside.join(F.broadcast(found.select("c", "category")), ["c", "category"], "left_anti"))
     best = Window.partitionBy("c").orderBy(F.desc("curr_count"), F.desc("base_count"), "category")
     ranked = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-    # NULLs are neither known nor in a bucket.
-    filled = F.col("known") | F.col("bucket").isNotNull()
+    # NULLs have no place.
+    filled = F.col("place").isNotNull()
     totals = counted.groupBy("c").agg(
         *[
             F.coalesce(F.sum(F.when(condition, F.col(f"{side}_count"))), F.lit(0)).alias(f"{side}_{kind}")
@@ -84,11 +97,16 @@ def heavy_values(rows: DataFrame, columns: Sequence[str], in_base: Column, k: in
     return Heavy(values, totals, size, all_cells)
 
 
+def _hash() -> Column:
+    """Of a column's number and a value."""
+    return F.xxhash64("c", "category")
+
+
 def _candidates(sided: DataFrame, columns: int, wanted: int, counters: int) -> DataFrame:
-    """``c, category``: the most frequent short values of each column where ``b`` is false, as far as the summaries know."""
+    """``c, slot, category``: the most frequent short values of each column where ``b`` is false, as far as the summaries know."""
     short = [F.when(F.char_length(f"v{i}") <= SHORT, F.col(f"v{i}")) for i in range(columns)]
     tops = [F.call_function("approx_top_k", v, F.lit(wanted), F.lit(counters)).alias(f"t{i}") for i, v in enumerate(short)]
     found = sided.filter(~F.col("b")).agg(*tops)
     lists = [F.struct(F.lit(i).alias("c"), F.col(f"t{i}").alias("items")) for i in range(columns)]
-    items = found.select(F.inline(F.array(*lists))).select("c", F.inline("items"))
-    return items.filter("item is not null").select("c", F.col("item").alias("category"))
+    items = found.select(F.inline(F.array(*lists))).select("c", F.posexplode("items").alias("slot", "found"))
+    return items.select("c", "slot", F.col("found.item").alias("category")).filter("category is not null")

@@ -82,3 +82,12 @@ def test_empty_sides(spark):
     assert left == [tuple(r) for r in top_k_diff(some, empty, "few").collect()] and left
     right = [tuple(r)[1:] for r in top_k_diffs(empty, some, ["FEW"]).collect()]
     assert right == [tuple(r) for r in top_k_diff(empty, some, "few").collect()]
+
+
+def test_only_columns_without_frequent_values_are_counted_by_value(spark):
+    """Cells are looked up by one number, and columns whose buckets stay closed are not stacked a second time."""
+    table = spark.range(20_000).select((F.col("id") % 2 == 0).alias("b"), (F.col("id") % 5).alias("few"), F.col("id").alias("own"))
+    found = heavy_values(table, ["few", "own"], F.col("b"), 3)
+    text = found.values._jdf.queryExecution().executedPlan().toString()
+    assert found.opened <= 20_000 and "AS v0" not in text and "AS v1" in text
+    assert [r["category"] for r in found.values.filter("column = 'few'").orderBy("place").collect()] == ["0", "1", "2"]

@@ -494,7 +494,7 @@ def test_columns_are_shuffled_once_by_rows(spark, tmp_path, monkeypatch):
     made = spark.read.parquet(f"{tmp_path}/made")
     for found in (S.schema_diff_ordered(made), S.schema_changed(made)):
         text = found._jdf.queryExecution().executedPlan().toString()
-        assert text.count("Exchange hashpartitioning") == 1 and f"{-(-made.count() // 2)}, REPARTITION_BY_NUM" in text
+        assert text.count("Exchange hashpartitioning") == 1 and f"{-(-made.count() // 2)}), REPARTITION_BY_NUM" in text
         assert not any("/made/" in f for f in found.inputFiles())
 
 
