@@ -519,3 +519,14 @@ def test_derived_table_is_stored_once(spark):
     (plain,) = derived(spark, "/root/testdata/sf0.001", "columns_t")
     assert plain._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2
     assert sorted(map(str, plain.collect())) == sorted(map(str, columns.collect()))
+
+
+def test_unchecked_nodes_need_one_shuffle(spark):
+    """Nodes and columns meet in one grouping; a node listed on one side, or only in the columns, is not checked."""
+    made = [(env, n, "model", "table") for env in ("base", "current") for n in ("n0", "n1", "n2")]
+    nodes = spark.createDataFrame(made, "env string, node_id string, resource_type string, materialized string")
+    listed = [("base", "n0"), ("current", "n0"), ("current", "n0"), ("base", "n1"), ("base", "zz"), ("current", "zz")]
+    found = S.unchecked_nodes(nodes, spark.createDataFrame(listed, "env string, node_id string"))
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
+    assert {r["node_id"] for r in found.collect()} == {"n1", "n2"}
