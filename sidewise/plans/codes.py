@@ -1,22 +1,23 @@
 """Exact distinct counts of all columns, stored by part and merged for any set of parts without reading the table again.
 
-One scan stacks the columns into rows of (part, column, value) and keeps every pair of part and value once; copies are merged before
-the shuffle. A dictionary gives each distinct value of a column a whole number, without gaps and in value order, and a part keeps the
-numbers of its values as bitmaps of 32 768 bits. Counts of any parts are unions of bitmaps: the values themselves are not
-touched again. Further parts extend the dictionary by the values it lacks.
+One scan counts the rows of each part, and a second one stacks the columns and keeps every value of a column once, with a bit for each
+part that holds it; copies are merged before the shuffle. A dictionary gives each distinct value of a column a whole number, without
+gaps and in value order, and a part keeps the numbers of its values as bitmaps of 32 768 bits. Counts of any parts are unions of
+bitmaps: the values themselves are not touched again. Further parts extend the dictionary by the values it lacks.
 
 A value is told by its text (floating-point zeros are one value, times are told by their microseconds). Texts beyond ``LONG`` characters
 are told by length and SHA-512, so that a dictionary does not hold a second copy of a table of long texts.
 
 Defined results: NULL is no value; a column without values counts 0; nested columns are left out; an empty table counts 0 in every column;
 a part added twice counts its rows twice and its values once. Rows added later need the same columns, whatever the case of their names, of
-the same types. One writer at a time.
+the same types. One writer at a time; both scans of the rows must find the same ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -28,6 +29,11 @@ from sidewise.plans.storage import cut, shared_path
 # Longer texts are told by their hash; no shorter text looks like one.
 LONG = 128
 PART = "part"
+# Parts to a row of a value, and parts that are sent to every task.
+_BITS = 64
+_BROADCAST_PARTS = 100_000
+# Types whose values are grouped as they are; others by their text.
+_PLAIN = (T.FractionalType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def countable(dtype: T.DataType) -> bool:
@@ -128,23 +134,67 @@ def _describe(df: DataFrame, part: Column | None, names: dict[str, str], path: s
     """``names`` maps each stored column name to that of ``df``; codes go on after ``last``."""
     spark = df.sparkSession
     key = (F.lit("") if part is None else part).cast("string").alias(PART)
-    cells = [F.struct(F.lit(n).alias("column"), value_text(col(c), df.schema[c].dataType).alias("value")) for n, c in names.items()]
-    counted = df.select(key, F.inline(F.array(*cells))).groupBy(PART, "column", "value").agg(F.count(F.lit(1)).alias("n"))
-    pairs = cut(counted, "pairs")
-    values = pairs.filter("value is not null").select("column", "value").distinct()
-    if known is not None:
-        values = values.join(known, ["column", "value"], "left_anti")
-    codes = number_rows(values, ["column", "value"]).select("column", "value", (F.col(POSITION) + last).cast("long").alias("code"))
+    counts = [F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names.values())]
+    filled = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), *counts), "filled")
+    each = [F.struct(F.lit(n).alias("column"), "rows", F.col(f"n{i}").alias("filled")) for i, n in enumerate(names)]
+    facts = filled.select(PART, F.inline(F.array(*each)))
     # Every column has a row, also where the table has none.
     none = spark.createDataFrame([(n,) for n in names], "column string").select(
         F.lit(None).cast("string").alias(PART), "column", F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("filled")
     )
-    filled = F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
-    facts = pairs.groupBy(PART, "column").agg(F.sum("n").alias("rows"), filled.alias("filled"))
-    codes.write.mode("append").parquet(f"{path}/dictionary")
-    placed = pairs.filter("value is not null").join(spark.read.parquet(f"{path}/dictionary"), ["column", "value"])
+    # Parts are numbered, so that a value has one row for 64 of them: their chunk, and a bit for each.
+    place = F.col(POSITION) - 1
+    parts = number_rows(filled.select(PART), PART).select(
+        PART, F.floor(place / _BITS).cast("int").alias("chunk"), F.expr(f"shiftleft(1L, cast(({POSITION} - 1) % {_BITS} as int))").alias("bit")
+    )
+    parts, number = cut(parts, "parts"), filled.count()
+    parts = F.broadcast(parts) if number <= _BROADCAST_PARTS else parts
+    pairs = cut(_values(df.select(key, *[_raw(df, c).alias(f"v{i}") for i, c in enumerate(names.values())]), list(names), parts), "pairs")
+    met = None
+    if known is not None:
+        pairs = cut(pairs.join(known, ["column", "value"], "left"), "known")
+        pairs, met = pairs.filter("code is null").drop("code"), pairs.filter("code is not null")
+    one = F.struct("chunk", "mask")
+    if number <= _BITS:
+        values = pairs.select("column", "value", F.array(one).alias("masks"))
+    else:
+        # In the order of the codes, so that rows are brought together once for both.
+        order = [F.col(c).asc_nulls_last() for c in ("column", "value")]
+        values = pairs.repartitionByRange(*order).groupBy("column", "value").agg(F.collect_list(one).alias("masks"))
+    coded = number_rows(values, ["column", "value"]).withColumn("code", (F.col(POSITION) + last).cast("long"))
+    coded.select("column", "value", "code").write.mode("append").parquet(f"{path}/dictionary")
+    placed = coded.select("column", "code", F.inline("masks"))
+    if met is not None:
+        placed = placed.unionByName(met.select("column", "code", "chunk", "mask"))
+    placed = placed.join(parts, "chunk").filter(F.col("mask").bitwiseAND(F.col("bit")) != 0)
     placed = placed.select(PART, "column", F.bitmap_bucket_number("code").alias("bucket"), F.bitmap_bit_position("code").alias("bit"))
     # Codes meet by bucket before they become bitmaps: a bitmap per bucket and task would outweigh the codes.
     by_bucket = placed.repartition(PART, "column", "bucket").groupBy(PART, "column", "bucket")
     by_bucket.agg(F.bitmap_construct_agg("bit").alias("bitmap")).write.mode("append").parquet(f"{path}/bitmaps")
     facts.unionByName(none).write.mode("append").parquet(f"{path}/facts")
+
+
+def _raw(df: DataFrame, name: str) -> Column:
+    """A value as it is grouped: of a plain type as it is (whole numbers as one type), else as its text."""
+    dtype = df.schema[name].dataType
+    if isinstance(dtype, T.IntegralType):
+        return col(name).cast("long")
+    return col(name) if isinstance(dtype, _PLAIN) else value_text(col(name), dtype)
+
+
+def _values(df: DataFrame, names: list[str], parts: DataFrame) -> DataFrame:
+    """``column, value, chunk, mask``: the distinct values of ``v0, v1, ...`` with the parts that hold them, NULLs left out.
+
+    A cell has a field for each type among the columns, so that values are grouped as they are and only distinct ones become texts.
+    """
+    types = [df.schema[f"v{i}"].dataType for i in range(len(names))]
+    slots = {t: f"s{i}" for i, t in enumerate(dict.fromkeys(types))}
+    cells = [
+        F.struct(F.lit(i).alias("at"), *[(F.col(f"v{i}") if t == own else F.lit(None).cast(t)).alias(s) for t, s in slots.items()])
+        for i, own in enumerate(types)
+    ]
+    numbered = df.join(parts.withColumnRenamed(PART, "__part"), F.col(PART).eqNullSafe(F.col("__part")))
+    stacked = numbered.select("chunk", "bit", F.inline(F.array(*cells))).filter(reduce(Column.__or__, [F.col(s).isNotNull() for s in slots.values()]))
+    grouped = stacked.groupBy("at", *slots.values(), "chunk").agg(F.bit_or("bit").alias("mask"))
+    text = F.coalesce(*[F.col(s) if isinstance(t, T.StringType) else value_text(F.col(s), t) for t, s in slots.items()])
+    return grouped.select(F.get(F.array(*map(F.lit, names)), F.col("at")).alias("column"), text.alias("value"), "chunk", "mask")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sidewise.errors import ComparisonError
 from sidewise.operators.profile import CODES, profile
 from sidewise.plans.codes import LONG, encode
-from sidewise.plans.storage import shared_path
+from sidewise.plans.storage import cut, shared_path
 
 SCHEMA = "day string, n long, x double, word string, raw binary, at timestamp, flag boolean, list array<int>"
 PARTS = ["mon", "tue", "wed", None]
@@ -83,6 +83,36 @@ def test_added_parts(spark):
         codes.add(second.drop("x"), F.lit("three"))
 
 
+@pytest.mark.parametrize("count", [3, 64, 65, 200])
+def test_values_stored_once_whatever_the_parts(spark, monkeypatch, count):
+    """A value that many parts hold is one row with a bit for each, not one row for each part."""
+    stored = {}
+
+    def noting(df, purpose="rows"):
+        stored[purpose] = cut(df, purpose)
+        return stored[purpose]
+
+    monkeypatch.setattr("sidewise.plans.codes.cut", noting)
+    monkeypatch.setattr("sidewise.plans.codes._BROADCAST_PARTS", 100, raising=False)
+    table = spark.range(40 * count).select(
+        F.nullif(F.col("id") % count, F.lit(1)).cast("string").alias("day"), (F.col("id") % 40).cast("int").alias("n"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7 / 2).alias("x"), F.expr("cast(id % 9 as decimal(9,2))").alias("d"),
+        F.expr("cast(id % 5 as float) / 3").alias("f"), F.expr("timestamp_ntz'2026-03-29 02:30:00' + make_dt_interval(0, 0, 0, id % 4)").alias("t"),
+    )
+    codes = encode(table, F.col("day"))
+    assert counted(codes.counts()) == exact(table)
+    for some in ("part in ('0', '2')", "part is null", f"part = '{count - 1}'"):
+        assert counted(codes.counts(some)) == exact(table.filter(some.replace("part", "day")))
+    values = codes.dictionary()
+    assert [r["code"] for r in values.orderBy("column", "value").collect()] == list(range(1, values.count() + 1))
+    place = {day: i for i, day in enumerate(sorted((r["day"] for r in table.select("day").distinct().collect()), key=lambda d: (d is None, d or "")))}
+    assert stored["pairs"].filter("column = 'n'").count() == len({(r["n"], place[r["day"]] // 64) for r in table.select("n", "day").distinct().collect()})
+    more = table.withColumns({"n": F.col("n") + 20, "day": F.concat(F.lit("m"), F.col("day"))})
+    codes.add(more, F.col("day"))
+    assert counted(codes.counts()) == exact(table.unionByName(more))
+    assert counted(codes.counts("part in ('0', 'm0', 'm2')")) == exact(table.unionByName(more).filter("day in ('0', 'm0', 'm2')"))
+
+
 def test_nothing_to_count(spark):
     empty = spark.createDataFrame([], SCHEMA)
     codes = encode(empty)
