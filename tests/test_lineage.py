@@ -530,3 +530,31 @@ def test_unchecked_nodes_need_one_shuffle(spark):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in text and text.count("Exchange") == 1 and "REPARTITION_BY_NUM" in text
     assert {r["node_id"] for r in found.collect()} == {"n1", "n2"}
+
+
+@pytest.mark.parametrize("hashed", [L.HASHED_IDS, 0])
+def test_merged_edges_are_shuffled_by_child_and_not_sorted(spark, monkeypatch, hashed):
+    """Edges meet once for the grouping and the look-up of the child; known ids are looked up by hash while they are few."""
+    monkeypatch.setattr(L, "HASHED_IDS", hashed)
+    ids = spark.range(60).select(F.concat(F.lit("n"), F.col("id")).alias("node_id"))
+    nodes = ids.select(F.lit("base").alias("env"), "node_id").unionByName(ids.select(F.lit("current").alias("env"), "node_id"))
+    drawn = spark.range(4000).select(
+        F.expr("if(id % 2 = 0, 'base', 'current')").alias("env"), F.expr("concat('n', nullif(id * 7 % 71, 5))").alias("parent_id"),
+        F.expr("concat('n', nullif(id * 11 % 67 % 65, 9))").alias("child_id"),
+    ).filter("not (env = 'base' and parent_id = 'n3') and not (env = 'current' and child_id = 'n4')")
+    merged = L.merged_edges(drawn, nodes)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    sides = {}
+    for r in drawn.collect():
+        sides.setdefault((r["parent_id"], r["child_id"]), set()).add(r["env"])
+    known = {f"n{i}" for i in range(60)}
+    label = lambda envs: "added" if "base" not in envs else "removed" if "current" not in envs else None
+    want = sorted((*edge, str(label(envs))) for edge, envs in sides.items() if set(edge) <= known)
+    assert sorted((r["parent_id"], r["child_id"], str(r["change_status"])) for r in merged.collect()) == want
+    assert {w[2] for w in want} == {"added", "removed", "None"}
+    if hashed:
+        assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+        # Edges by child and by parent, known ids for each.
+        assert plan.count("Exchange hashpartitioning") == 4 and plan.count("Exchange hashpartitioning(child_id") == 1
+    else:
+        assert "ShuffledHashJoin" not in plan
