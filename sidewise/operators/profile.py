@@ -35,7 +35,7 @@ def profile(
     and NULL uniqueness.
 
     ``distinct="exact"`` counts each column in a scan of that column alone, so the rows are never multiplied by the
-    number of columns; ``"codes"`` is exact too and counts all columns in one scan, before the frame is returned, over
+    number of columns; ``"codes"`` is exact too and counts all columns in two scans, before the frame is returned, over
     stored values and bitmaps (``plans.codes``); ``"approx"`` needs one scan for everything. Exact medians are located
     before the frame is returned.
     """

@@ -558,3 +558,19 @@ def test_merged_edges_are_shuffled_by_child_and_not_sorted(spark, monkeypatch, h
         assert plan.count("Exchange hashpartitioning") == 4 and plan.count("Exchange hashpartitioning(child_id") == 1
     else:
         assert "ShuffledHashJoin" not in plan
+
+
+def test_edges_of_the_workload_are_made_by_child(spark, monkeypatch):
+    """Lines are shuffled once, as numbers: neither making the edges distinct nor grouping both sides shuffles their texts."""
+    from workload import tables
+
+    monkeypatch.setattr(tables, "LINES_A_TASK", 1000)
+    folder = "/root/testdata/sf0.001"
+    (edges,), (plain,) = tables.derived(spark, folder, "edges_t", by_child=True), tables.derived(spark, folder, "edges_t")
+    assert edges.exceptAll(plain).isEmpty() and plain.exceptAll(edges).isEmpty() and not edges.isEmpty()
+    nodes = spark.range(3).select(F.lit("base").alias("env"), F.col("id").cast("string").alias("node_id"))
+    plan = L.merged_edges(edges, nodes, by_child=True)._jdf.queryExecution().executedPlan().toString()
+    # Edges by parent, and known ids for child and parent, beside what each table's rows are shuffled by.
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len([line for line in shuffles if "REPARTITION_BY_NUM" not in line]) == 3
+    assert all("REPARTITION_BY_NUM" in line for line in shuffles if "concat(order." in line or "child_id" in line)
